@@ -20,3 +20,25 @@ def local_session(cores: str = "8", name: str = "folio", **conf: str) -> SparkSe
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python workers refer to the package's modules by name.
+    """
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_folio_shipped", None) == sc.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="folio-"), "folio-code.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(path)
+    sc._folio_shipped = sc.applicationId
