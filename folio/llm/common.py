@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.session import ship
+
 #: Rows of one Arrow batch; documents may be long, and a batch is held as a whole.
 BATCH_ROWS = 1000
 
@@ -38,7 +40,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the rows of an Arrow batch, unless the session already asks for fewer."""
+    """Send the code to the executors, and lower the rows of an Arrow batch unless the session asks for fewer."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import scratch, written
+from folio.llm.common import scratch, small_batches, written
 
 #: Bytes of an archive before compression that a file should hold.
 FILE_BYTES = 32 << 20
@@ -116,10 +116,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     decided = decide(source, min_bytes)
-    writer = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark = pages.sparkSession
-    if int(spark.conf.get(writer)) > 200:
-        spark.conf.set(writer, "200")
+    small_batches(pages.sparkSession, 200)
     large = source.agg(F.max(F.octet_length("__html")).cast("long")).first()[0] or 0
     bounds = [1 << 16, 1 << 20, 1 << 24, large + 1]
     low = 0
