@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def bytes_in(path_df: DataFrame, column: str) -> int:
     """Sum of the UTF-8 bytes of a text column, counted where the rows are."""
     return path_df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+
+
+def total_vector(parts: DataFrame, size: int, dtype: str) -> np.ndarray:
+    """The sum of the vectors in ``parts`` (lot int, v binary of zlib), added up by lots and then in all.
+
+    A lot is a random number below 256, so that no task and not the driver gathers all partitions'.
+    """
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(size, dtype)
+        for v in table.column("v"):
+            total += np.frombuffer(zlib.decompress(v.as_py()), dtype)
+        return pa.table({"lot": pa.array([0], pa.int32()), "v": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    row = parts.groupBy("lot").applyInArrow(add, "lot int, v binary").groupBy(F.lit(0).alias("one")).applyInArrow(add, "lot int, v binary").first()
+    return np.frombuffer(zlib.decompress(row["v"]), dtype).copy() if row else np.zeros(size, dtype)
+
+
+def vector_part(total: np.ndarray) -> pa.RecordBatch:
+    """One partition's vector, as ``total_vector`` takes it."""
+    lot = int(np.random.default_rng().integers(256))
+    return pa.RecordBatch.from_arrays([pa.array([lot], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["lot", "v"])
+
+
+def id_fold(id_col: str, n: int):
+    """crc32 of the id as text, modulo ``n``; null for a null id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

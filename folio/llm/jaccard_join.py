@@ -7,7 +7,8 @@ too; there no pivot tells them apart. The join therefore recurses over two kinds
 1. Coarse regions. Single shingles are the pivots. All shingles have one order, the rarer first, and
    a document's region is that of its first pivot. Two sets with similarity t or more differ so
    little that their first pivots lie within the first n - ceil(t*n) + 1 of each: that window copies
-   a document into the regions in which a neighbour can be at home. A region whose members are all
+   a document into the regions in which a neighbour can be at home. Long sets are first cut in parts
+   by hash: of two similar sets, one pair of parts at least is as similar. A region whose members are all
    apart (by a sketch that never exceeds the true difference) falls to pieces at once; what hangs
    together, over all regions, is a family. No link leaves a family.
 2. Voronoi regions. In a family distances vary. Each point goes to the region of its nearest pivot
@@ -23,7 +24,6 @@ set of the links, each verified on whole sets), and the components that they mak
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -33,23 +33,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import small_batches, written
-from folio.llm.hashing import U64, shingle_sets, shingles, text_bytes, word_hashes, words
+from folio.llm.hashing import U64, mix, shingle_sets, shingles, text_bytes, word_hashes, words
 
 SHINGLE_WORDS, PERCENT = 3, 90
 #: Counters of the shingle-frequency sketch, and blocks in which partial counts travel.
 SKETCH_BITS, SKETCH_BLOCKS = 21, 64
-#: Longs of a set's parity sketch.
-PARITY_WORDS = 8
+#: Longs of a part's parity sketch, and the elements a part should have: as many as the sketch can tell apart.
+PARITY_WORDS, PART_SIZE = 8, 1200
 #: Members of a coarse region that are compared by sketches; a larger one hangs together as a whole.
 REGION_ROWS = 1500
 #: Shingles of a family that one task joins; pivots a split takes.
 FAMILY_SHINGLES, SPLIT_PIVOTS = 3_000_000, 8
 LEAF = 12
-
-
-def least_overlap(a: int, b: int, percent: int) -> int:
-    """Least size of an intersection of sets of a and b elements with 100*i >= percent*u."""
-    return -(-percent * (a + b) // (100 + percent))
+#: Bytes of the table of family members up to which it is broadcast to the scan of the texts.
+BROADCAST_BYTES = 8 << 20
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -114,40 +111,66 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(U64)
 
 
+def part_counts(n: int, percent: int) -> list[int]:
+    """Into how many parts a set of n is cut (powers of two): as its own size and as that of the largest neighbour asks."""
+    own = [1 << max(0, (size - 1) // PART_SIZE).bit_length() for size in (n, 100 * n // percent)]
+    return sorted({*own, *(1 << i for i in range(own[0].bit_length(), own[1].bit_length() - 1))})
+
+
+def parts_of(s: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, its elements) of a set; equal part numbers of two sets are cut alike."""
+    if not len(s):
+        return
+    for m in part_counts(len(s), percent):
+        home = (mix(s) >> U64(20)) & U64(m - 1)
+        for j in np.unique(home) if m > 1 else [0]:
+            yield (m << 32) + int(j), s[home == U64(j)] if m > 1 else s
+
+
+POINT = "doc_id long, n long, s1 long, s2 long, parts array<struct<part: long, n: long, parity: array<long>, pivots: array<long>>>"
+
+
 def document_sets(docs: DataFrame, levels: bytes, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, s1, s2, pivots): size and digest of each document's set, and its window of pivots."""
+    """(doc_id, n, s1, s2, parts): size and digest of each document's set, and the pivot windows of its parts."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(levels)  # 2**SKETCH_BITS bytes
+    part_type = pa.list_(pa.struct([("part", pa.int64()), ("n", pa.int64()), ("parity", pa.list_(pa.int64())), ("pivots", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            n, s1, s2, pivots, parities = [], [], [], [], []
+            n, s1, s2, offs = [], [], [], [0]
+            part, size, parities, pivots = [], [], [], []
             for s in shingle_sets(b.column("text"), k):
                 n.append(len(s))
                 s1.append(int(_signed((s * U64(0x9E3779B97F4A7C15) ^ (s >> U64(29))).sum(keepdims=True))[0]) if len(s) else 0)
                 s2.append(int(_signed(np.bitwise_xor.reduce(s * (s | U64(1)), keepdims=True))[0]) if len(s) else 0)
-                if len(s):
-                    p = prefix_length(len(s), percent)
-                    order = np.lexsort((s, level[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]))[:p]
-                    pivots.append(_signed(s[order]))
-                    parities.append(_signed(parity(s)))
-                else:
-                    pivots.append(np.zeros(0, np.int64))
-                    parities.append(np.zeros(PARITY_WORDS, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(pivots, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))],
-                ["doc_id", "n", "s1", "s2", "pivots", "parity"],
-            )
+                for key, own in parts_of(s, percent):
+                    order = np.lexsort((own, level[(own >> U64(64 - SKETCH_BITS)).astype(np.int64)]))[: prefix_length(len(own), percent)]
+                    part.append(key)
+                    size.append(len(own))
+                    parities.append(parity(own))
+                    # A pivot belongs to one way of cutting.
+                    pivots.append(mix(own[order] ^ U64(key >> 32)))
+                offs.append(len(part))
+            lengths = np.concatenate([[0], np.cumsum([len(p) for p in pivots])]).astype(np.int32)
+            fields = [
+                pa.array(part, pa.int64()),
+                pa.array(size, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(_signed(np.concatenate([np.zeros(0, U64), *parities])))),
+                pa.ListArray.from_arrays(pa.array(lengths), pa.array(_signed(np.concatenate([np.zeros(0, U64), *pivots])))),
+            ]
+            parts = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(part_type.value_type)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), parts], ["doc_id", "n", "s1", "s2", "parts"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, pivots array<long>, parity array<long>")
+    return source.mapInArrow(run, POINT)
 
 
 # ------------------------------------------------------------------ coarse regions
 def repeated_pivots(points: DataFrame) -> DataFrame:
-    """(pivot, point, n) of pivots that more than one point has in its window."""
-    rows = points.select(F.explode("pivots").alias("pivot"), "point", "n")
+    """(pivot, point, part) of pivots that more than one point has in a part's window."""
+    rows = points.select("point", F.explode("parts").alias("p")).select(F.explode("p.pivots").alias("pivot"), "point", "p.part")
     dealt = rows.repartition("pivot").sortWithinPartitions("pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +190,7 @@ def repeated_pivots(points: DataFrame) -> DataFrame:
             yield b.filter(pa.array(keep))
             last = (b.slice(len(b) - 1, 1), bool(keep[-1]))
 
-    return dealt.mapInArrow(run, "pivot long, point long, n long")
+    return dealt.mapInArrow(run, "pivot long, point long, part long")
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -380,54 +403,48 @@ def family_links(sized: DataFrame, percent: int) -> DataFrame:
 def split_family(rows: DataFrame, family: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """A family that is too large for one task, split by broadcast pivots: (links, rows of the regions).
 
-    Rows: family, point, values. Pivots are few, so they go to every task; each row meets them all. A
-    point that is within half the radius of a pivot has all its neighbours within one and a half
-    radii; regions whose points are all that near hang together already and end here.
+    Rows: family, point, values. Pivots are few, so they go to every task; each row meets them all and
+    notes, in bits, which ones it links to and in which ones' regions or windows it lies. Only the
+    distinct notes, at most 2**SPLIT_PIVOTS, reach the driver: they tell which pivots hang together.
+    A region whose points all hang together already ends here.
     """
     spark = rows.sparkSession
     own = rows.where(F.col("family") == family)
-    chosen = own.orderBy(F.xxhash64("point", F.lit(depth))).select("point", "values").limit(SPLIT_PIVOTS).collect()
-    names = np.asarray([r["point"] for r in chosen], np.int64)
-    pivot_sets = spark.sparkContext.broadcast([np.asarray(r["values"], np.int64).view(U64) for r in chosen])
+    chosen = own.orderBy(F.xxhash64("point", F.lit(depth)), "point").select("point", "values").limit(SPLIT_PIVOTS).collect()
+    names = [r["point"] for r in chosen]
+    shared = spark.sparkContext.broadcast([np.asarray(r["values"], np.int64).view(U64) for r in chosen])
     radius = 1 - percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = pivot_sets.value
+        pivots = shared.value
         for b in batches:
             points, sets = _sets_of(pa.Table.from_batches([b]))
-            if not len(points):
-                continue
-            d, linked = [], []
-            for p in pivots:
+            d, linked = np.ones((len(pivots), len(points))), np.zeros(len(points), np.int32)
+            for q, p in enumerate(pivots):
                 both = sets.overlap(p, np.arange(len(points)))
                 union = len(p) + sets.n - both
-                d.append(1 - both / union)
-                linked.append(100 * both >= percent * union)
-            d = np.stack(d)
-            nearest = d.min(axis=0)
-            kind, a, at, vals = [], [], [], []
-            column = b.column("values")
-            for i in range(len(points)):
-                for q in range(len(pivots)):
-                    if linked[q][i] and points[i] != names[q]:
-                        kind.append(-1)
-                        a.append(int(names[q]))
-                        at.append(int(points[i]))
-                        vals.append(None)
-                if points[i] not in names:
-                    for q in np.flatnonzero(d[:, i] <= nearest[i] + 2 * radius + 1e-9):
-                        kind.append(int(q))
-                        a.append(1 if d[q, i] <= radius else 0)
-                        at.append(int(points[i]))
-                        vals.append(column[i].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(at, pa.int64()), pa.array(vals, pa.list_(pa.int64()))], ["kind", "a", "point", "values"])
-
-    out = written(own.select("point", "values").mapInArrow(run, "kind int, a long, point long, values array<long>"), "voronoi")
-    links = out.where("kind < 0").select("a", F.col("point").alias("b"))
-    cells = out.where("kind >= 0")
-    # A region all of whose points are linked to its pivot is one component.
-    open_cells = cells.groupBy("kind").agg(F.min("a").alias("__all"), F.count("*").alias("__n")).where("__all = 0 and __n > 1").select("kind")
-    left = cells.join(F.broadcast(open_cells), "kind", "left_semi").select(F.xxhash64(F.lit(family), F.lit(depth), "kind").alias("family"), "point", "values")
+                d[q] = 1 - both / union
+                linked |= (100 * both >= percent * union).astype(np.int32) << q
+            windows = d <= d.min(axis=0) + 2 * radius + 1e-9
+            cells = (windows * (1 << np.arange(len(pivots), dtype=np.int32))[:, None]).sum(axis=0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("point"), pa.array(linked), pa.array(cells), b.column("values")], ["point", "linked", "cells", "values"])
+
+    out = written(own.select("point", "values").mapInArrow(run, "point long, linked int, cells int, values array<long>"), "voronoi")
+    bits = f"filter(sequence(0, {len(names) - 1}), q -> (shiftright({{}}, q) & 1) = 1)"
+    name_of = F.array(*[F.lit(n) for n in names])
+    met = out.where("linked > 0").select(F.explode(F.expr(bits.format("linked"))).alias("q"), "point")
+    links = met.select(F.get(name_of, F.col("q")).alias("a"), F.col("point").alias("b")).where("a <> b")
+    top = list(range(len(names)))
+    for r in out.select("linked").distinct().collect():
+        found = [q for q in range(len(names)) if r["linked"] >> q & 1]
+        for q in found[1:]:
+            x, y = top[found[0]], top[q]
+            top = [min(x, y) if t in (x, y) else t for t in top]
+    group = F.get(F.array(*[F.lit(t) for t in top]), F.expr(f"get({bits.format('linked')}, 0)"))
+    rest = out.where(~F.col("point").isin(names)).withColumn("__part", F.when(F.col("linked") > 0, group.cast("long")).otherwise(F.col("point")))
+    cells = rest.select(F.explode(F.expr(bits.format("cells"))).alias("q"), "point", "__part", "values")
+    open_cells = [r["q"] for r in cells.groupBy("q").agg((F.min("__part") != F.max("__part")).alias("open")).where("open").collect()]
+    left = cells.where(F.col("q").isin(open_cells)).select(F.xxhash64(F.lit(family), F.lit(depth), "q").alias("family"), "point", "values")
     return links, left
 
 
@@ -446,16 +463,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     levels = frequency_levels(docs, k, text_col)
     rows = written(document_sets(docs, levels, k, percent, id_col, text_col), "sets")
     real = rows.where("n > 0").withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    points = real.groupBy("s1", "s2", "n").agg(F.min("__id").alias("point"), F.first("pivots").alias("pivots"), F.first("parity").alias("parity"))
-    # Two sets can share a least id only where ids repeat: then the digest tells them apart.
-    points = written(points.withColumn("id", F.col("point")).withColumn("point", F.xxhash64("s1", "s2", "n")), "points")
+    points = real.groupBy("s1", "s2", "n").agg(F.min("__id").alias("id"), F.first("parts").alias("parts"))
+    # Two sets can share a least id where ids repeat: points are named by the digest.
+    points = written(points.withColumn("point", F.xxhash64("s1", "s2", "n")), "points")
 
     shared = written(repeated_pivots(points), "regions")
-    sketches = points.select("point", "parity").join(shared.select("point").distinct(), "point", "left_semi")
-    edges = family_edges(shared.join(sketches, "point"), percent)
+    sketches = points.select("point", F.explode("parts").alias("p")).select("point", "p.part", "p.n", "p.parity").join(shared.select("point", "part").distinct(), ["point", "part"], "left_semi")
+    edges = family_edges(shared.join(sketches, ["point", "part"]), percent)
     families = written(components(edges, "families"), "family-of").select("point", F.col("component").alias("family"))
 
-    members = points.select("point", "id").join(families, "point").select("point", "family", F.col("id").alias("doc_id"))
+    members = written(points.select("point", "id").join(families, "point").select("point", "family", F.col("id").alias("doc_id")), "members")
     links = written(_all_links(docs, members, percent, k, id_col, text_col), "links")
     linked = components(links, "components")
     named = points.select("point", "s1", "s2", "n", "id").join(linked, "point", "left").withColumn("component", F.coalesce("component", "point"))
@@ -472,7 +489,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
 def _all_links(docs: DataFrame, members: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
     """Verified spanning links of all families; ``members``: point, family, doc_id that has the point's text."""
     wanted = members.select(F.col("doc_id").alias("__m"), "family", "point")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__m"), F.col(text_col).alias("text")).join(wanted, "__m")
+    n = members.count()
+    side = F.broadcast(wanted) if 24 * n <= BROADCAST_BYTES else wanted
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__m"), F.col(text_col).alias("text")).join(side, "__m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
