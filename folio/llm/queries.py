@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import jaccard_join, language, line_dedup, minhash, packing, sharding, toxicity, warc
+from folio.llm import decontaminate, jaccard_join, language, line_dedup, minhash, packing, pii, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold=0, folds=5)
 
@@ -54,8 +62,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_language": op5_language,
     "op6_sharding": op6_sharding,
+    "op7_pii": op7_pii,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+#: op4: windows are compared as the lines themselves; the order of occurrences is (doc_id, position), ids being unique.
+_OP4_SQL = """
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL
+), nb AS (
+  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k
+  FROM l WHERE length(trim(line, ' ' || chr(9) || chr(13))) > 0
+), w AS (
+  SELECT * FROM (SELECT doc_id, k, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM nb WINDOW d AS (PARTITION BY doc_id ORDER BY k))
+  WHERE c IS NOT NULL
+), later AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS n FROM w) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT later.doc_id, later.k + j AS k FROM later CROSS JOIN (SELECT unnest([0, 1, 2]) AS j)
+), marked AS (
+  SELECT l.doc_id, l.i, l.line, nb.k, gone.k IS NOT NULL AS out,
+         coalesce(max(CASE WHEN nb.k IS NOT NULL THEN nb.k END) OVER (PARTITION BY l.doc_id ORDER BY l.i), -1) AS before
+  FROM l LEFT JOIN nb USING (doc_id, i) LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.k = nb.k
+), kept AS (
+  SELECT m.doc_id, m.i, m.line FROM marked m
+  LEFT JOIN gone g1 ON g1.doc_id = m.doc_id AND g1.k = m.before
+  LEFT JOIN gone g2 ON g2.doc_id = m.doc_id AND g2.k = m.before + 1
+  WHERE NOT m.out AND NOT (m.k IS NULL AND g1.k IS NOT NULL AND g2.k IS NOT NULL)
+), done AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce((SELECT count(*) FROM nb WHERE nb.doc_id = d.doc_id), 0)::BIGINT AS n_lines,
+       coalesce((SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id), 0)::BIGINT AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(done.text, '') END AS text
+FROM documents d LEFT JOIN done ON done.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op4_line_dedup": _OP4_SQL}
