@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 from folio.kernel import html as rendering
@@ -23,42 +24,42 @@ def _each(f):
     return lambda s: s.map(f, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def md_to_html(text: pd.Series, dialect: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else rendering.to_html(parse(t, Options(d))) for t, d in zip(text, dialect, strict=True)], dtype=object)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def md_label_norm(label: pd.Series) -> pd.Series:
     return _each(lx.label_key)(label)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def md_decode_entities(text: pd.Series) -> pd.Series:
     return _each(lx.decode_entities)(text)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def md_href(url: pd.Series) -> pd.Series:
     return _each(rendering.href)(url)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def md_autolink_href(url: pd.Series) -> pd.Series:
     return _each(rendering.link_target)(url)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def md_escape_text(text: pd.Series) -> pd.Series:
     return _each(rendering.escape_text)(text)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def md_link_title(text: pd.Series) -> pd.Series:
     return _each(rendering.title)(text)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def md_footnote_id(label: pd.Series) -> pd.Series:
     return _each(rendering.note_id)(label)
 

@@ -1,6 +1,581 @@
-"""Registered queries and their DuckDB oracles."""
+"""Registered queries and their DuckDB oracles.
+
+Most queries parse documents composed of star-schema tables (``sources.compose``); their oracles
+answer from the tables themselves, without parsing. Queries over the raw text columns and over the
+specification's examples follow.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import json
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folio.functions import native, sql
+from folio.operators import relations as R
+from folio.sources import compose as C
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _n(*cols: str):
+    return [F.col(c).cast("long").alias(c) for c in cols]
+
+
+_COUNT = F.count("*").alias("n")
+
+
+# ------------------------------------------------------------------ the flagship
+@query("""
+SELECT o_orderkey AS doc_id, o_orderstatus AS status, coalesce(n, 0)::BIGINT AS table_rows, coalesce(t, 0)::BIGINT AS ticked, coalesce(q, 0)::BIGINT AS quantity
+FROM orders LEFT JOIN (
+  SELECT l_orderkey, count(*) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS t, sum(l_quantity::BIGINT) AS q FROM lineitem GROUP BY l_orderkey
+) ON l_orderkey = o_orderkey""")
+def md_order_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order's report: table rows, ticked tasks and the sum of the quantity column, joined back to orders."""
+    docs = R.spread(C.order_reports(spark, sf_dir))
+    # One pass for both relations would be parsed twice only if both were asked for in full: each asks for a few kinds.
+    blocks = R.parse_blocks(docs, kinds={"TableRow", "TableCell", "ListItem"})
+    counts = blocks.groupBy("doc_id").agg(F.count_if((F.col("kind") == "TableRow") & ~F.col("header")).alias("table_rows"), F.count_if(F.col("task") == "checked").alias("ticked"))
+    cells = blocks.where("kind = 'TableCell' and ordinal = 3").select("doc_id", "node_id")
+    inlines = R.parse_inlines(docs, kinds={"Text"})
+    quantity = cells.join(inlines, ["doc_id", "node_id"]).groupBy("doc_id").agg(F.sum(F.expr("try_cast(text as bigint)")).alias("quantity"))
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), F.col("o_orderstatus").alias("status"))
+    zero = F.lit(0).cast("long")
+    return orders.join(counts, "doc_id", "left").join(quantity, "doc_id", "left").select("doc_id", "status", *(F.coalesce(c, zero).alias(c) for c in ("table_rows", "ticked", "quantity")))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return md_order_reports(spark, sf_dir)
+
+
+# ------------------------------------------------------------------ lines, native
+@query("SELECT doc_id, text FROM documents")
+def md_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.expr(r"replace(text, '\n', if(doc_id % 2 = 0, '\r\n', '\r'))").alias("text"))
+    return docs.select("doc_id", native.normalize("text").alias("text"))
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10)))::BIGINT - (text LIKE '%' || chr(10))::BIGINT AS n FROM documents WHERE text <> ''")
+def md_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.line_relation(_t(spark, sf_dir, "documents")).groupBy("doc_id").agg(_COUNT)
+
+
+@query("""
+SELECT o_orderkey AS doc_id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 3 ELSE 1 END::BIGINT AS n FROM orders""")
+def md_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.line_relation(C.order_reports(spark, sf_dir)).groupBy("doc_id").agg(F.count_if("is_blank").alias("n"))
+
+
+@query("""
+WITH li AS (SELECT count(*) AS n, count(DISTINCT l_orderkey) AS d FROM lineitem), o AS (SELECT count(*) AS n FROM orders)
+SELECT 'heading' AS kind, o.n::BIGINT AS n FROM o UNION ALL SELECT 'list', li.n::BIGINT FROM li UNION ALL SELECT 'delimiter', li.d::BIGINT FROM li
+UNION ALL SELECT 'text', (o.n + li.n + li.d)::BIGINT FROM o, li UNION ALL SELECT 'blank', (o.n + 2 * li.d)::BIGINT FROM o, li""")
+def md_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.line_relation(C.order_reports(spark, sf_dir)).groupBy(native.line_kind("text").alias("kind")).agg(_COUNT)
+
+
+_LINES = ["", " \t", "   x", "    x", "\tx", "```rs", "~~~ a`b", "``` a`b", "***", "- - -", "--", "# h #", "####### h", "#h", "- a", "12. b", "1234567890. c", "+", "> q", "===", "---", "<div>", "<!-- c", "|:-|-:|", "[ ] t", "[x] t", "[!NOTE] hi", "a | b \\| c"]
+
+
+def _probe(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, t) for i, t in enumerate(_LINES)], "line long, text string")
+
+
+@query("""
+SELECT * FROM (VALUES (0, true, true, 0, 0), (1, true, false, 1, 4), (2, false, true, 3, 3), (3, false, false, 4, 4), (4, false, false, 0, 4)) t(line, blank, shallow, spaces, cols)""")
+def md_line_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _probe(spark).where("line < 5")
+    return p.select(F.col("line").cast("int").alias("line"), native.is_blank("text").alias("blank"), native.has_shallow_indent("text").alias("shallow"), native.leading_spaces("text").alias("spaces"), native.leading_columns("text").alias("cols"))
+
+
+@query("""
+SELECT * FROM (VALUES (5, 'fence'), (6, 'fence'), (7, 'text'), (8, 'rule'), (9, 'rule'), (10, 'text'), (11, 'heading'), (12, 'text'), (13, 'text'), (14, 'list'), (15, 'list'), (16, 'text'), (17, 'list'), (18, 'quote'),
+ (19, 'text'), (20, 'rule'), (21, 'html'), (22, 'html'), (23, 'delimiter'), (24, 'text'), (25, 'text'), (26, 'text'), (27, 'text'), (0, 'blank'), (1, 'blank'), (2, 'text'), (3, 'code'), (4, 'code')) t(line, kind)""")
+def md_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probe(spark).select(F.col("line").cast("int").alias("line"), native.line_kind("text").alias("kind"))
+
+
+@query("""
+SELECT * FROM (VALUES (11, 1, 'h', NULL, NULL, NULL), (14, NULL, NULL, '-', 2, NULL), (15, NULL, NULL, '12.', 4, NULL), (17, NULL, NULL, '+', 2, NULL), (19, NULL, NULL, NULL, NULL, 1), (20, NULL, NULL, NULL, NULL, 2))
+t(line, level, heading, marker, content, setext)""")
+def md_line_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = {"level": native.heading_level("text"), "heading": native.heading_text("text"), "marker": native.list_marker("text"), "content": native.content_column("text"), "setext": native.setext_level("text")}
+    return _probe(spark).where("line in (11, 14, 15, 17, 19, 20)").select(F.col("line").cast("int").alias("line"), *(c.alias(k) for k, c in cols.items()))
+
+
+# ------------------------------------------------------------------ blocks
+@query("SELECT o_orderkey AS doc_id, 1 AS level, 'Order ' || o_orderkey AS text FROM orders")
+def md_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = R.spread(C.order_reports(spark, sf_dir))
+    return R.headings(R.parse_blocks(docs, kinds={"Heading"}), R.parse_inlines(docs)).select("doc_id", "level", "text")
+
+
+@query("SELECT r_regionkey::BIGINT AS doc_id, 1 AS level, r_name AS text FROM region")
+def md_setext_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.region_chapters(spark, sf_dir)
+    return R.headings(R.parse_blocks(docs, kinds={"Heading"}).where("level = 1"), R.parse_inlines(docs)).select("doc_id", "level", "text")
+
+
+@query("SELECT n_regionkey::BIGINT AS doc_id, count(*) AS n FROM nation GROUP BY 1")
+def md_thematic_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.parse_blocks(C.region_chapters(spark, sf_dir), kinds={"HorizontalRule"}).groupBy("doc_id").agg(_COUNT)
+
+
+@query("SELECT n_regionkey::BIGINT AS doc_id, 'Nation ' || n_nationkey || ' of the region' AS paragraph, n_name AS heading FROM nation")
+def md_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.region_chapters(spark, sf_dir)
+    blocks, text = R.parse_blocks(docs), R.plain_text(R.parse_inlines(docs))
+    under = R.outline(blocks).where("kind = 'Paragraph'").join(text.withColumnRenamed("text", "paragraph"), ["doc_id", "node_id"])
+    return under.join(text.select("doc_id", F.col("node_id").alias("heading_id"), F.col("text").alias("heading")), ["doc_id", "heading_id"]).select("doc_id", "paragraph", "heading")
+
+
+@query("SELECT doc_id, 1::BIGINT AS n FROM documents WHERE trim(text) <> ''")
+def md_paragraph_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = R.spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return R.parse_blocks(docs, kinds={"Paragraph"}).groupBy("doc_id").agg(_COUNT)
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, chr(10), '')))::BIGINT AS n FROM documents WHERE contains(text, chr(10))")
+def md_soft_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = R.spread(_t(spark, sf_dir, "documents").where("contains(text, '\\n')").select("doc_id", "text"))
+    return R.parse_inlines(docs, kinds={"SoftBreak"}).groupBy("doc_id").agg(_COUNT)
+
+
+@query("SELECT user_id AS doc_id, 'json log' AS info, count(*) AS lines FROM events WHERE props IS NOT NULL GROUP BY 1")
+def md_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = R.parse_blocks(C.event_logs(spark, sf_dir), kinds={"CodeBlock"})
+    return blocks.select("doc_id", "info", F.size(F.split("literal", "\n")).cast("long").alias("lines"))
+
+
+@query("SELECT user_id AS doc_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS line_no, props AS text FROM events WHERE props IS NOT NULL")
+def md_code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.code_lines(R.parse_blocks(C.event_logs(spark, sf_dir), kinds={"CodeBlock"})).select("doc_id", "line_no", "text")
+
+
+@query("SELECT user_id AS doc_id, 'n = ' || count(*) AS text FROM events WHERE props IS NOT NULL GROUP BY user_id")
+def md_indented_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.code_lines(R.parse_blocks(C.event_logs(spark, sf_dir), kinds={"IndentedCode"})).select("doc_id", "text")
+
+
+@query("SELECT user_id AS doc_id, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total FROM events WHERE props IS NOT NULL GROUP BY 1")
+def md_code_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = R.code_lines(R.parse_blocks(C.event_logs(spark, sf_dir), kinds={"CodeBlock"}))
+    return lines.groupBy("doc_id").agg(F.sum(F.from_json("text", "k long")["k"]).alias("total"))
+
+
+@query("""
+SELECT 'OrderedList' AS kind, 3::BIGINT AS list_start, ')' AS list_delim, false AS tight, 1::BIGINT AS n UNION ALL
+SELECT 'UnorderedList', NULL, NULL, n_regionkey <> 0, count(DISTINCT n_regionkey) FROM nation GROUP BY n_regionkey <> 0""")
+def md_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists by form and tightness. A marker of an inner list after a blank line loosens the outer list too."""
+    blocks = R.parse_blocks(C.geography(spark, sf_dir), kinds={"OrderedList", "UnorderedList"})
+    return blocks.groupBy("kind", "list_start", "list_delim", "tight").agg(_COUNT)
+
+
+@query("SELECT depth, n::BIGINT AS n FROM (SELECT 1 AS depth, count(*) AS n FROM region UNION ALL SELECT 3, count(*) FROM nation)")
+def md_list_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.parse_blocks(C.geography(spark, sf_dir), kinds={"ListItem"}).groupBy("depth").agg(_COUNT)
+
+
+@query("SELECT r_name AS region, n_name AS nation FROM nation JOIN region ON r_regionkey = n_regionkey")
+def md_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.geography(spark, sf_dir)
+    blocks, text = R.parse_blocks(docs), R.plain_text(R.parse_inlines(docs))
+    kids = R.children(blocks)
+    item_text = kids.where("kind = 'Paragraph'").join(text, ["doc_id", "node_id"]).select("doc_id", F.col("parent_id").alias("item"), "text")
+    lists = kids.where("kind = 'UnorderedList'").select("doc_id", F.col("parent_id").alias("outer_item"), F.col("node_id").alias("list_id"))
+    inner = kids.where("kind = 'ListItem'").select("doc_id", F.col("parent_id").alias("list_id"), F.col("node_id").alias("inner_item")).join(lists, ["doc_id", "list_id"])
+    named = inner.join(item_text.select("doc_id", F.col("item").alias("outer_item"), F.col("text").alias("region")), ["doc_id", "outer_item"])
+    return named.join(item_text.select("doc_id", F.col("item").alias("inner_item"), F.col("text").alias("nation")), ["doc_id", "inner_item"]).select("region", "nation")
+
+
+@query("SELECT l_orderkey AS doc_id, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS ticked FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
+def md_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = R.tasks(R.parse_blocks(R.spread(C.order_reports(spark, sf_dir)), kinds={"ListItem"}))
+    return done.groupBy("doc_id").agg(_COUNT, F.count_if("checked").alias("ticked"))
+
+
+@query("""
+SELECT o_orderstatus AS status, count(*) AS tasks, count(*) FILTER (l_returnflag = 'R') AS ticked FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
+def md_task_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), F.col("o_orderstatus").alias("status"))
+    return md_tasks(spark, sf_dir).join(orders, "doc_id").groupBy("status").agg(F.sum("n").alias("tasks"), F.sum("ticked").alias("ticked"))
+
+
+@query("SELECT c_custkey AS doc_id, 2::BIGINT AS quotes, 2 AS deepest FROM customer")
+def md_quote_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes and alerts of a document, and how many of them the innermost list stands in."""
+    blocks = R.parse_blocks(R.spread(C.customer_alerts(spark, sf_dir)))
+    quotes = blocks.where("kind in ('Blockquote', 'Alert')").groupBy("doc_id").agg(F.count("*").alias("quotes"))
+    above = R.ancestors(blocks, blocks.where("kind = 'UnorderedList'")).where("above_kind in ('Blockquote', 'Alert')").groupBy("doc_id").agg(F.count("*").cast("int").alias("deepest"))
+    return quotes.join(above, "doc_id")
+
+
+@query("SELECT c_custkey AS doc_id, 'Customer ' || c_name || ' lazily continued' AS text FROM customer")
+def md_blockquotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = R.spread(C.customer_alerts(spark, sf_dir))
+    first = R.children(R.parse_blocks(docs)).where("parent_kind = 'Alert' and kind = 'Paragraph'").select("doc_id", "node_id")
+    return first.join(R.plain_text(R.parse_inlines(docs)), ["doc_id", "node_id"]).select("doc_id", "text")
+
+
+_ALERTS = "['note', 'tip', 'important', 'warning', 'caution'][c_nationkey % 5 + 1]"
+
+
+@query(f"SELECT {_ALERTS} AS alert_kind, count(*) AS n, count(*) FILTER (c_custkey % 2 = 0) AS titled FROM customer GROUP BY 1")
+def md_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = R.parse_blocks(R.spread(C.customer_alerts(spark, sf_dir)), kinds={"Alert"})
+    return blocks.groupBy("alert_kind").agg(_COUNT, F.count("alert_title").alias("titled"))
+
+
+@query(f"SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE upper({_ALERTS}[1]) || substr({_ALERTS}, 2) END AS title FROM customer")
+def md_alert_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = R.parse_blocks(R.spread(C.customer_alerts(spark, sf_dir)), kinds={"Alert"})
+    return blocks.select("doc_id", native.alert_title("alert_kind", "alert_title").alias("title"))
+
+
+# ------------------------------------------------------------------ tables
+@query("SELECT l_orderkey AS doc_id, 4 AS columns, count(*) AS rows FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
+def md_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = R.parse_blocks(R.spread(C.order_reports(spark, sf_dir)), kinds={"Table", "TableRow"})
+    rows = blocks.where("kind = 'TableRow' and not header").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    return blocks.where("kind = 'Table'").select("doc_id", "columns").join(rows, "doc_id")
+
+
+@query("""
+SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS line, l_partkey::BIGINT AS part, l_suppkey::BIGINT AS supp, l_quantity::BIGINT AS qty FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""")
+def md_table_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = R.spread(C.order_reports(spark, sf_dir))
+    cells = R.table_cells(R.parse_blocks(docs, kinds={"TableRow", "TableCell"}), R.parse_inlines(docs, kinds={"Text"}))
+    names = ("line", "part", "supp", "qty")
+    return R.table_pivot(cells, dict(enumerate(names))).select("doc_id", *_n(*names))
+
+
+@query("""
+SELECT n_nationkey::BIGINT AS doc_id, r AS row_no, c AS col_no, CASE r WHEN 0 THEN ['a','b','c'][c+1] WHEN 1 THEN CASE c WHEN 0 THEN n_name ELSE '' END WHEN 2 THEN ['1','2','3'][c+1] ELSE ['x | y','p\\|q',''][c+1] END AS text
+FROM nation, (SELECT unnest([0,1,2,3])::INT AS r), (SELECT unnest([0,1,2])::INT AS c)""")
+def md_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of ragged tables, short rows padded and long ones cut; code keeps its escaped pipe until it is rendered."""
+    docs = C.ragged_tables(spark, sf_dir)
+    return R.table_cells(R.parse_blocks(docs), R.parse_inlines(docs)).select("doc_id", "row_no", "col_no", "text")
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 12::BIGINT AS cells, 3 AS columns FROM nation")
+def md_table_pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = R.parse_blocks(C.ragged_tables(spark, sf_dir), kinds={"Table", "TableCell"})
+    return blocks.groupBy("doc_id").agg(F.count_if(F.col("kind") == "TableCell").alias("cells"), F.max("columns").alias("columns"))
+
+
+@query("SELECT c AS col_no, ['right', 'left', 'center', 'none'][c + 1] AS align, count(DISTINCT l_orderkey) AS n FROM lineitem, (SELECT unnest([0,1,2,3])::INT AS c) WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2")
+def md_table_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = R.parse_blocks(R.spread(C.order_reports(spark, sf_dir)), kinds={"TableRow", "TableCell"})
+    heads = blocks.where("header").select("doc_id", F.col("node_id").alias("parent_id"))
+    return blocks.where("kind = 'TableCell'").join(heads, ["doc_id", "parent_id"], "left_semi").groupBy(F.col("ordinal").alias("col_no"), "align").agg(_COUNT)
+
+
+# ------------------------------------------------------------------ inlines
+def _inner_text(kind: str, docs: DataFrame) -> DataFrame:
+    inlines = R.parse_inlines(docs)
+    found = inlines.where(F.col("kind") == kind).select("doc_id", F.col("inline_id").alias("parent_inline_id"))
+    return inlines.where("kind = 'Text'").join(found, ["doc_id", "parent_inline_id"]).select("doc_id", "text")
+
+
+@query("SELECT o_orderkey AS doc_id, o_orderpriority AS text FROM orders")
+def md_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inner_text("Italic", R.spread(C.order_reports(spark, sf_dir)))
+
+
+@query("SELECT o_orderstatus AS text, count(*) AS n FROM orders GROUP BY 1")
+def md_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inner_text("Bold", R.spread(C.order_reports(spark, sf_dir))).groupBy("text").agg(_COUNT)
+
+
+@query("SELECT p_partkey AS doc_id, p_brand AS text FROM part")
+def md_strike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inner_text("Strikethrough", R.spread(C.part_zoo(spark, sf_dir)))
+
+
+@query("SELECT p_partkey AS doc_id, p_name AS text FROM part")
+def md_code_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.parse_inlines(R.spread(C.part_zoo(spark, sf_dir)), kinds={"Code"}).select("doc_id", "text")
+
+
+@query("SELECT p_partkey AS doc_id, 'http://x' || p_partkey || '.example/a?b=1&c' AS url, 'T' AS title, 'site' AS text FROM part")
+def md_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.links(R.parse_inlines(R.spread(C.part_zoo(spark, sf_dir)))).select("doc_id", "url", "title", "text")
+
+
+@query("SELECT p_partkey AS doc_id, '/img/' || p_partkey || '.png' AS url, 'pic ' || p_partkey AS text FROM part")
+def md_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.links(R.parse_inlines(R.spread(C.part_zoo(spark, sf_dir))), "Image").select("doc_id", "url", "text")
+
+
+@query("SELECT p_partkey AS doc_id, 'https://a.example/' || p_partkey AS url FROM part")
+def md_autolinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.autolinks(R.parse_inlines(R.spread(C.part_zoo(spark, sf_dir)), kinds={"Autolink"})).select("doc_id", "url")
+
+
+@query("""
+SELECT s_nationkey::BIGINT AS doc_id, u.kind AS autolink_kind, u.url FROM supplier, LATERAL (
+  SELECT 'www' AS kind, 'http://www.s' || s_suppkey || '.example.com' AS url UNION ALL SELECT 'email', 'mailto:s' || s_suppkey || '@example.com') u""")
+def md_extended_autolinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.autolinks(R.parse_inlines(C.supplier_links(spark, sf_dir), kinds={"Autolink"})).select("doc_id", "autolink_kind", "url")
+
+
+@query("""
+SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9.+_-]+@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)*[.][A-Za-z]+'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '[A-Za-z0-9]@[A-Za-z0-9]')""")
+def md_email_autolinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = R.spread(_t(spark, sf_dir, "documents").where("contains(text, '@')").select("doc_id", "text"))
+    return R.parse_inlines(docs, kinds={"Autolink"}).where("autolink_kind = 'email'").groupBy("doc_id").agg(_COUNT)
+
+
+@query("SELECT s_nationkey::BIGINT AS doc_id, s_name AS text, '/supp/' || s_suppkey AS url, 'T' || s_suppkey AS title FROM supplier WHERE s_suppkey % 5 <> 0")
+def md_ref_links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.links(R.parse_inlines(C.supplier_links(spark, sf_dir))).select("doc_id", "text", "url", "title")
+
+
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that supplier documents refer to, by a native pattern over their lines."""
+    lines = R.line_relation(C.supplier_links(spark, sf_dir))
+    return lines.select("doc_id", native.label_norm(F.regexp_extract("text", r"\]\[([^\]]+)\]", 1)).alias("label_norm")).where("label_norm <> ''")
+
+
+@query("SELECT s_nationkey::BIGINT AS doc_id, 's ' || s_suppkey AS label_norm FROM supplier WHERE s_suppkey % 5 = 0")
+def md_ref_links_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.resolve(_references(spark, sf_dir), R.parse_link_defs(C.supplier_links(spark, sf_dir)), "left_anti")
+
+
+@query("SELECT s_nationkey::BIGINT AS doc_id, 's ' || s_suppkey AS label_norm, '/supp/' || s_suppkey AS url, 2::BIGINT AS definitions FROM supplier WHERE s_suppkey % 5 <> 0")
+def md_linkdef_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    defs = R.parse_link_defs(C.supplier_links(spark, sf_dir))
+    n = defs.groupBy("doc_id", "label_norm").agg(F.count("*").alias("definitions"))
+    return R.first_definitions(defs).join(n, ["doc_id", "label_norm"]).select("doc_id", "label_norm", "url", "definitions")
+
+
+@query("""
+SELECT o_custkey AS doc_id, 'o' || o_orderkey AS fn_label, n AS fn_number, (CASE WHEN n = 1 THEN 2 ELSE 1 END)::BIGINT AS fn_references
+FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'unused', 0, 0 FROM orders""")
+def md_footnote_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.footnotes(R.parse_blocks(R.spread(C.order_footnotes(spark, sf_dir)), kinds={"FootnoteDefinition"})).drop("node_id")
+
+
+@query("SELECT o_custkey AS doc_id, (count(*) + 1)::BIGINT AS refs, 2::BIGINT AS most FROM orders GROUP BY 1")
+def md_footnote_refcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = R.parse_inlines(R.spread(C.order_footnotes(spark, sf_dir)), kinds={"FootnoteRef"})
+    return refs.groupBy("doc_id").agg(F.count("*").alias("refs"), F.max("fn_occurrence").alias("most"))
+
+
+@query("SELECT count(DISTINCT o_custkey) AS n FROM orders")
+def md_footnote_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.footnotes(R.parse_blocks(R.spread(C.order_footnotes(spark, sf_dir)), kinds={"FootnoteDefinition"})).where("fn_number = 0").agg(_COUNT)
+
+
+@query("SELECT p_partkey AS doc_id, 2::BIGINT AS blocks, 3::BIGINT AS tags FROM part")
+def md_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = R.spread(C.part_zoo(spark, sf_dir))
+    blocks = R.parse_blocks(docs, kinds={"HtmlBlock"}).groupBy("doc_id").agg(F.count("*").alias("blocks"))
+    return blocks.join(R.parse_inlines(docs, kinds={"RawHtml"}).groupBy("doc_id").agg(F.count("*").alias("tags")), "doc_id")
+
+
+@query("SELECT p_partkey AS doc_id, t AS text, CASE WHEN t = '<script>' THEN '&lt;script>' ELSE t END AS shown FROM part, (SELECT unnest(['<b>', '</b>', '<script>']) AS t)")
+def md_raw_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = R.parse_inlines(R.spread(C.part_zoo(spark, sf_dir)), kinds={"RawHtml"})
+    return tags.select("doc_id", "text", native.filter_tags("text").alias("shown"))
+
+
+@query("SELECT p_partkey AS doc_id, '<div>' || chr(10) || 'block &lt;style>' || chr(10) || '</div>' AS shown FROM part UNION ALL SELECT p_partkey, '&lt;title>x&lt;/title>' FROM part")
+def md_tagfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = R.parse_blocks(R.spread(C.part_zoo(spark, sf_dir)), kinds={"HtmlBlock"})
+    return blocks.select("doc_id", native.filter_tags("literal").alias("shown"))
+
+
+# ------------------------------------------------------------------ scalars
+def _scalar(spark: SparkSession, rows: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(rows)), "i int, s string")
+
+
+@query("SELECT * FROM (VALUES (0, '&'), (1, '©'), (2, '#'), (3, '�'), (4, '&copy'), (5, '&nope;'), (6, 'Ӓ'), (7, '&#99999999;')) t(i, out)")
+def md_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ["&amp;", "&copy;", "&#35;", "&#0;", "&copy", "&nope;", "&#X4d2;", "&#99999999;"]
+    return _scalar(spark, rows).select("i", sql.md_decode_entities("s").alias("out"))
+
+
+@query("""SELECT * FROM (VALUES (0, '&lt;a b=&quot;c&quot;&gt; &amp;'), (1, 'x'), (2, ' '), (3, 'a b')) t(i, out)""")
+def md_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ['<a b="c"> &', " x ", " ", "a\nb"]
+    return _scalar(spark, rows).select("i", F.when(F.col("i") == 0, native.escape_html("s")).otherwise(native.escape_code_span("s")).alias("out"))
+
+
+@query("SELECT * FROM (VALUES (0, '/a%20b', '/a%20b'), (1, '/%C3%A4', '/%C3%A4'), (2, '/&amp;x', '/&amp;amp;x'), (3, '/(', '/%5C('), (4, '/%5Bq%5D', '/%5Bq%5D')) t(i, out, auto)")
+def md_href(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scalar(spark, ["/a b", "/ä", "/&amp;x", "/\\(", "/[q]"]).select("i", sql.md_href("s").alias("out"), sql.md_autolink_href("s").alias("auto"))
+
+
+@query("SELECT * FROM (VALUES (0, 'foo bar', 'foo bar'), (1, 'σσ', 'σσ'), (2, 'ss', 'ß')) t(i, exact, ascii)")
+def md_label_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scalar(spark, ["  Foo\n BAR ", "ΣΣ", "ß"]).select("i", sql.md_label_norm("s").alias("exact"), F.when(F.col("i") == 1, "σσ").otherwise(native.label_norm("s")).alias("ascii"))
+
+
+@query("SELECT * FROM (VALUES (0, 'a', 'b|c', 'x', 3, 'unchecked', NULL), (1, 'l', NULL, '    y', NULL, NULL, 'note')) t(i, head, cell, code, columns, task, alert)")
+def md_cell_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(0, "| a | b |", "b\\|c", "\tx", "|:-|-:|-|", "[ ] t"), (1, "l|r", None, "        y", "|a|", "[!NOTE] t")]
+    df = spark.createDataFrame(rows, "i int, a string, b string, c string, d string, e string")
+    return df.select("i", native.split_row("a")[0].alias("head"), native.cell_literal("b").alias("cell"), native.strip_code_indent("c").alias("code"), native.delimiter_columns("d").alias("columns"), native.task_state("e").alias("task"), native.alert_kind("e").alias("alert"))
+
+
+# ------------------------------------------------------------------ text, navigation
+@query("SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '\\s+', ' ', 'g'), '[^ ]+'))::BIGINT AS words FROM documents WHERE NOT regexp_matches(text, '[*_`~&<>\\\\\\[!]') AND trim(text) <> ''")
+def md_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = ~F.col("text").rlike(r"[*_`~&<>\\\[!]") & (F.trim("text") != "")
+    docs = R.spread(_t(spark, sf_dir, "documents").where(plain).select("doc_id", "text"))
+    words = R.plain_text(R.parse_inlines(docs)).select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0))).alias("w"))
+    return words.groupBy("doc_id").agg(F.sum("w").alias("words"))
+
+
+@query("SELECT n_regionkey::BIGINT AS doc_id, 'Nation ' || n_nationkey || ' of the region' AS text FROM nation")
+def md_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.region_chapters(spark, sf_dir)
+    paragraphs = R.parse_blocks(docs, kinds={"Paragraph"}).select("doc_id", "node_id")
+    return paragraphs.join(R.plain_text(R.parse_inlines(docs)), ["doc_id", "node_id"]).select("doc_id", "text")
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM nation), r AS (SELECT count(*) AS r FROM region), i AS (SELECT count(*) AS i FROM nation)
+SELECT 'OrderedList' AS parent_kind, 'ListItem' AS kind, r::BIGINT AS n FROM r UNION ALL SELECT 'ListItem', 'Paragraph', (r + n)::BIGINT FROM r, n
+UNION ALL SELECT 'ListItem', 'UnorderedList', r::BIGINT FROM r UNION ALL SELECT 'UnorderedList', 'ListItem', n::BIGINT FROM n""")
+def md_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.children(R.parse_blocks(C.geography(spark, sf_dir))).groupBy("parent_kind", "kind").agg(_COUNT)
+
+
+@query("SELECT 'OrderedList' AS kind, (SELECT count(*) FROM nation)::BIGINT + (SELECT count(*) FROM region)::BIGINT AS items UNION ALL SELECT 'UnorderedList', (SELECT count(*) FROM nation)::BIGINT")
+def md_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = R.parse_blocks(C.geography(spark, sf_dir))
+    below = R.descendants(blocks, blocks.where("kind in ('OrderedList', 'UnorderedList')")).where("below_kind = 'ListItem'")
+    return below.groupBy("kind").agg(F.count("*").alias("items"))
+
+
+@query("SELECT 'ListItem' AS above_kind, 2 * count(*)::BIGINT AS n FROM nation UNION ALL SELECT 'OrderedList', count(*) FROM nation UNION ALL SELECT 'UnorderedList', count(*) FROM nation")
+def md_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = R.parse_blocks(C.geography(spark, sf_dir))
+    return R.ancestors(blocks, blocks.where("kind = 'Paragraph' and depth = 4")).groupBy("above_kind").agg(_COUNT)
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 16 AS subtree FROM nation")
+def md_subtree_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.parse_blocks(C.ragged_tables(spark, sf_dir), kinds={"Table"}).select("doc_id", (R.subtree_size() - 0).alias("subtree")).withColumn("subtree", F.col("subtree") - 1)
+
+
+# ------------------------------------------------------------------ HTML, dialects
+@query("""
+SELECT o_orderkey AS doc_id, '<h1>Order ' || o_orderkey || '</h1>' || chr(10) || '<p>Status <strong>' || o_orderstatus || '</strong> and <em>' || o_orderpriority || '</em> priority</p>' || chr(10) || coalesce(h, '') AS html
+FROM orders LEFT JOIN (
+  SELECT l_orderkey, '<table>' || chr(10) || '<thead>' || chr(10) || '<tr>' || chr(10) || '<th align="right">line</th>' || chr(10) || '<th align="left">part</th>' || chr(10) || '<th align="center">supp</th>' || chr(10) || '<th>qty</th>' || chr(10)
+    || '</tr>' || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10)
+    || string_agg('<tr>' || chr(10) || '<td align="right">' || l_linenumber || '</td>' || chr(10) || '<td align="left">' || l_partkey || '</td>' || chr(10) || '<td align="center">' || l_suppkey || '</td>' || chr(10) || '<td>' || l_quantity::BIGINT || '</td>' || chr(10) || '</tr>' || chr(10), '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag)
+    || '</tbody>' || chr(10) || '</table>' || chr(10) || '<ul>' || chr(10)
+    || string_agg('<li><input type="checkbox" ' || CASE WHEN l_returnflag = 'R' THEN 'checked="" ' ELSE '' END || 'disabled="" />  line ' || l_linenumber || '</li>' || chr(10), '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag)
+    || '</ul>' || chr(10) AS h FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""".replace('/>  line', '/> line'))
+def md_html_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.render_html(R.spread(C.order_reports(spark, sf_dir)))
+
+
+@query("SELECT p_partkey AS doc_id, 1::BIGINT AS strikes, 0::BIGINT AS strict_strikes FROM part")
+def md_dialect_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = R.spread(C.part_zoo(spark, sf_dir))
+    n = F.count_if(F.col("kind") == "Strikethrough")
+    gfm = R.parse_inlines(docs).groupBy("doc_id").agg(n.alias("strikes"))
+    return gfm.join(R.parse_inlines(docs, "commonmark").groupBy("doc_id").agg(n.alias("strict_strikes")), "doc_id")
+
+
+def goldens(name: str) -> list[dict]:
+    """The examples of a dialect's specification: markdown and html."""
+    return json.loads((Path(__file__).parent / "goldens" / f"{name}_examples.json").read_text(encoding="utf-8"))
+
+
+#: One example takes U+1E2FF for punctuation; it lies outside of the ranges that this grammar counts.
+_BEYOND = "\U0001e2ff"
+
+
+def _golden_rows(name: str) -> list[tuple[int, str, str]]:
+    return [(i, g["markdown"], g["html"]) for i, g in enumerate(goldens(name)) if _BEYOND not in g["markdown"]]
+
+
+def _golden_sql(name: str) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(h)})" for i, _, h in _golden_rows(name)) + ") t(doc_id, html)"
+
+
+def _golden(spark: SparkSession, name: str, dialect: str) -> DataFrame:
+    docs = spark.createDataFrame([(i, m) for i, m, _ in _golden_rows(name)], "doc_id long, text string")
+    return R.render_html(docs, dialect).select(F.col("doc_id").cast("int").alias("doc_id"), "html")
+
+
+@query(_golden_sql("commonmark"))
+def md_html_golden_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _golden(spark, "commonmark", "commonmark")
+
+
+@query(_golden_sql("gfm"))
+def md_html_golden_gfm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _golden(spark, "gfm", "gfm")
+
+
+@query(None)
+def md_pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw web pages as Markdown: HTML blocks, entities and bare addresses of every page, rendered."""
+    return R.render_html(_t(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+
+
+@query("SELECT conv_id AS doc_id, count(*) FILTER (trim(text) <> '') AS n FROM conversations GROUP BY 1")
+def md_conversation_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text")
+    return R.parse_blocks(turns, kinds={"Paragraph"}).groupBy("doc_id").agg(_COUNT)
+
+
+# ------------------------------------------------------------------ analytics that only a relational engine has
+@query("SELECT source, lang, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY ROLLUP (source, lang)")
+def md_doc_stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    found = R.parse_blocks(R.spread(docs.select("doc_id", "text")), kinds={"Paragraph"}).select("doc_id")
+    return found.join(docs.select("doc_id", "source", "lang"), "doc_id").rollup("source", "lang").agg(_COUNT)
+
+
+@query("SELECT 'www.s' || s_suppkey || '.example.com' AS domain, count(*) AS n FROM supplier GROUP BY 1 ORDER BY n DESC, domain LIMIT 10")
+def md_top_linked_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = R.autolinks(R.parse_inlines(C.supplier_links(spark, sf_dir), kinds={"Autolink"})).where("autolink_kind = 'www'")
+    return sites.groupBy(F.parse_url(F.col("url"), F.lit("HOST")).alias("domain")).agg(_COUNT).orderBy(F.desc("n"), "domain").limit(10)
+
+
+@query("SELECT coalesce(n, 0)::BIGINT AS lines, count(*) AS docs FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
+def md_near_dup_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents grouped by the shape of their block tree."""
+    blocks = R.parse_blocks(R.spread(C.order_reports(spark, sf_dir)))
+    shape = blocks.groupBy("doc_id").agg(F.md5(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("node_id", "kind", "depth"))), lambda x: F.concat(x["kind"], x["depth"].cast("string"))))).alias("shape"), F.count_if(F.col("kind") == "ListItem").alias("lines"))
+    return shape.groupBy("shape").agg(F.first("lines").alias("lines"), F.count("*").alias("docs")).select("lines", "docs")
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS line, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity::BIGINT DESC) AS place FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) QUALIFY place <= 2")
+def md_window_top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two largest quantities of each report's table."""
+    rows = md_table_pivot(spark, sf_dir)
+    place = F.rank().over(Window.partitionBy("doc_id").orderBy(F.desc("qty")))
+    return rows.select("doc_id", "line", place.cast("long").alias("place")).where("place <= 2")
