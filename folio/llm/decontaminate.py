@@ -71,7 +71,7 @@ class Index:
         self.bound = np.asarray([len(t) - Q + 1 - k * Q for t, k in zip(self.items, self.k, strict=True)], np.int64)
         keys, item, place = [], [], []
         for n, t in enumerate(self.items):
-            if len(t) >= Q:
+            if len(t) >= Q + LEAST_SHARED:
                 h = gram_hashes(np.frombuffer(t, np.uint8))[: len(t) - Q + 1]
                 keys.append(h)
                 item.append(np.full(len(h), n))
@@ -108,11 +108,20 @@ class Index:
         item, place, text_at = item[sel], place[sel], text_at[sel]
         width = self.k[item] + 1
         band = (text_at - place) // width
-        key = np.concatenate([np.stack([item, band, place], 1), np.stack([item, band - 1, place], 1)])
-        key = np.unique(key, axis=0)  # a q-gram of the item counts once in a band
-        pairs, shared = np.unique(key[:, :2], axis=0, return_counts=True)
-        good = shared >= np.maximum(1, self.bound[pairs[:, 0]])
-        return [(int(n), int(b * (self.k[n] + 1)), int(2 * (self.k[n] + 1))) for n, b in pairs[good]]
+        low, bands = int(band.min()) - 1, int(band.max() - band.min()) + 2
+        pair = np.concatenate([item * bands + (band - low), item * bands + (band - 1 - low)])
+        pairs, inverse, hits = np.unique(pair, return_inverse=True, return_counts=True)
+        bound = np.maximum(1, self.bound[pairs // bands])
+        full = hits >= bound
+        if not full.any():
+            return []
+        # A q-gram of the item counts once in a band, however often the text repeats it.
+        sel = full[inverse]
+        longest = int(place.max()) + 1
+        once = np.unique(inverse[sel] * longest + np.concatenate([place, place])[sel])
+        shared = np.bincount(once // longest, minlength=len(pairs))
+        good = pairs[shared >= bound]
+        return [(int(n), int((b + low) * (self.k[n] + 1)), int(2 * (self.k[n] + 1))) for n, b in zip(good // bands, good % bands, strict=True)]
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, width: int, k: int) -> tuple[int, int, int] | None:
@@ -122,6 +131,10 @@ def align(item: np.ndarray, text: np.ndarray, low: int, width: int, k: int) -> t
     a diagonal: row i holds the distances of the item's first i bytes to stretches that end at i + d.
     """
     first, span = low - k, width + 2 * k
+    at = max(0, first)
+    exact = text[at : max(at, first + span - 1 + len(item))].tobytes().find(item.tobytes())
+    if exact >= 0:
+        return 0, at + exact, at + exact + len(item)
     diagonals = np.arange(span)
     big = len(item) + span + 1
     ends = first + diagonals  # of row 0: a stretch may begin at any place of the band
