@@ -41,7 +41,9 @@ def _n(*cols: str):
     return [F.col(c).cast("long").alias(c) for c in cols]
 
 
-_COUNT = F.count("*").alias("n")
+def _count():
+    return F.count("*").alias("n")
+
 
 
 # ------------------------------------------------------------------ the flagship
@@ -77,7 +79,7 @@ def md_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, len(string_split(text, chr(10)))::BIGINT - (text LIKE '%' || chr(10))::BIGINT AS n FROM documents WHERE text <> ''")
 def md_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.line_relation(_t(spark, sf_dir, "documents")).groupBy("doc_id").agg(_COUNT)
+    return R.line_relation(_t(spark, sf_dir, "documents")).groupBy("doc_id").agg(_count())
 
 
 @query("""
@@ -91,7 +93,7 @@ WITH li AS (SELECT count(*) AS n, count(DISTINCT l_orderkey) AS d FROM lineitem)
 SELECT 'heading' AS kind, o.n::BIGINT AS n FROM o UNION ALL SELECT 'list', li.n::BIGINT FROM li UNION ALL SELECT 'delimiter', li.d::BIGINT FROM li
 UNION ALL SELECT 'text', (o.n + li.n + li.d)::BIGINT FROM o, li UNION ALL SELECT 'blank', (o.n + 2 * li.d)::BIGINT FROM o, li""")
 def md_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.line_relation(C.order_reports(spark, sf_dir)).groupBy(native.line_kind("text").alias("kind")).agg(_COUNT)
+    return R.line_relation(C.order_reports(spark, sf_dir)).groupBy(native.line_kind("text").alias("kind")).agg(_count())
 
 
 _LINES = ["", " \t", "   x", "    x", "\tx", "```rs", "~~~ a`b", "``` a`b", "***", "- - -", "--", "# h #", "####### h", "#h", "- a", "12. b", "1234567890. c", "+", "> q", "===", "---", "<div>", "<!-- c", "|:-|-:|", "[ ] t", "[x] t", "[!NOTE] hi", "a | b \\| c"]
@@ -138,7 +140,7 @@ def md_setext_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_regionkey::BIGINT AS doc_id, count(*) AS n FROM nation GROUP BY 1")
 def md_thematic_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.parse_blocks(C.region_chapters(spark, sf_dir), kinds={"HorizontalRule"}).groupBy("doc_id").agg(_COUNT)
+    return R.parse_blocks(C.region_chapters(spark, sf_dir), kinds={"HorizontalRule"}).groupBy("doc_id").agg(_count())
 
 
 @query("SELECT n_regionkey::BIGINT AS doc_id, 'Nation ' || n_nationkey || ' of the region' AS paragraph, n_name AS heading FROM nation")
@@ -152,13 +154,13 @@ def md_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, 1::BIGINT AS n FROM documents WHERE trim(text) <> ''")
 def md_paragraph_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = R.spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
-    return R.parse_blocks(docs, kinds={"Paragraph"}).groupBy("doc_id").agg(_COUNT)
+    return R.parse_blocks(docs, kinds={"Paragraph"}).groupBy("doc_id").agg(_count())
 
 
 @query("SELECT doc_id, (length(text) - length(replace(text, chr(10), '')))::BIGINT AS n FROM documents WHERE contains(text, chr(10))")
 def md_soft_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = R.spread(_t(spark, sf_dir, "documents").where("contains(text, '\\n')").select("doc_id", "text"))
-    return R.parse_inlines(docs, kinds={"SoftBreak"}).groupBy("doc_id").agg(_COUNT)
+    return R.parse_inlines(docs, kinds={"SoftBreak"}).groupBy("doc_id").agg(_count())
 
 
 @query("SELECT user_id AS doc_id, 'json log' AS info, count(*) AS lines FROM events WHERE props IS NOT NULL GROUP BY 1")
@@ -189,12 +191,12 @@ SELECT 'UnorderedList', NULL, NULL, n_regionkey <> 0, count(DISTINCT n_regionkey
 def md_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists by form and tightness. A marker of an inner list after a blank line loosens the outer list too."""
     blocks = R.parse_blocks(C.geography(spark, sf_dir), kinds={"OrderedList", "UnorderedList"})
-    return blocks.groupBy("kind", "list_start", "list_delim", "tight").agg(_COUNT)
+    return blocks.groupBy("kind", "list_start", "list_delim", "tight").agg(_count())
 
 
 @query("SELECT depth, n::BIGINT AS n FROM (SELECT 1 AS depth, count(*) AS n FROM region UNION ALL SELECT 3, count(*) FROM nation)")
 def md_list_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.parse_blocks(C.geography(spark, sf_dir), kinds={"ListItem"}).groupBy("depth").agg(_COUNT)
+    return R.parse_blocks(C.geography(spark, sf_dir), kinds={"ListItem"}).groupBy("depth").agg(_count())
 
 
 @query("SELECT r_name AS region, n_name AS nation FROM nation JOIN region ON r_regionkey = n_regionkey")
@@ -212,7 +214,7 @@ def md_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey AS doc_id, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS ticked FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
 def md_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = R.tasks(R.parse_blocks(R.spread(C.order_reports(spark, sf_dir)), kinds={"ListItem"}))
-    return done.groupBy("doc_id").agg(_COUNT, F.count_if("checked").alias("ticked"))
+    return done.groupBy("doc_id").agg(_count(), F.count_if("checked").alias("ticked"))
 
 
 @query("""
@@ -244,7 +246,7 @@ _ALERTS = "['note', 'tip', 'important', 'warning', 'caution'][c_nationkey % 5 +
 @query(f"SELECT {_ALERTS} AS alert_kind, count(*) AS n, count(*) FILTER (c_custkey % 2 = 0) AS titled FROM customer GROUP BY 1")
 def md_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = R.parse_blocks(R.spread(C.customer_alerts(spark, sf_dir)), kinds={"Alert"})
-    return blocks.groupBy("alert_kind").agg(_COUNT, F.count("alert_title").alias("titled"))
+    return blocks.groupBy("alert_kind").agg(_count(), F.count("alert_title").alias("titled"))
 
 
 @query(f"SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE upper({_ALERTS}[1]) || substr({_ALERTS}, 2) END AS title FROM customer")
@@ -289,7 +291,7 @@ def md_table_pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def md_table_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = R.parse_blocks(R.spread(C.order_reports(spark, sf_dir)), kinds={"TableRow", "TableCell"})
     heads = blocks.where("header").select("doc_id", F.col("node_id").alias("parent_id"))
-    return blocks.where("kind = 'TableCell'").join(heads, ["doc_id", "parent_id"], "left_semi").groupBy(F.col("ordinal").alias("col_no"), "align").agg(_COUNT)
+    return blocks.where("kind = 'TableCell'").join(heads, ["doc_id", "parent_id"], "left_semi").groupBy(F.col("ordinal").alias("col_no"), "align").agg(_count())
 
 
 # ------------------------------------------------------------------ inlines
@@ -306,7 +308,7 @@ def md_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderstatus AS text, count(*) AS n FROM orders GROUP BY 1")
 def md_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inner_text("Bold", R.spread(C.order_reports(spark, sf_dir))).groupBy("text").agg(_COUNT)
+    return _inner_text("Bold", R.spread(C.order_reports(spark, sf_dir))).groupBy("text").agg(_count())
 
 
 @query("SELECT p_partkey AS doc_id, p_brand AS text FROM part")
@@ -345,7 +347,7 @@ def md_extended_autolinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9.+_-]+@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)*[.][A-Za-z]+'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '[A-Za-z0-9]@[A-Za-z0-9]')""")
 def md_email_autolinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = R.spread(_t(spark, sf_dir, "documents").where("contains(text, '@')").select("doc_id", "text"))
-    return R.parse_inlines(docs, kinds={"Autolink"}).where("autolink_kind = 'email'").groupBy("doc_id").agg(_COUNT)
+    return R.parse_inlines(docs, kinds={"Autolink"}).where("autolink_kind = 'email'").groupBy("doc_id").agg(_count())
 
 
 @query("SELECT s_nationkey::BIGINT AS doc_id, s_name AS text, '/supp/' || s_suppkey AS url, 'T' || s_suppkey AS title FROM supplier WHERE s_suppkey % 5 <> 0")
@@ -386,7 +388,7 @@ def md_footnote_refcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(DISTINCT o_custkey) AS n FROM orders")
 def md_footnote_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.footnotes(R.parse_blocks(R.spread(C.order_footnotes(spark, sf_dir)), kinds={"FootnoteDefinition"})).where("fn_number = 0").agg(_COUNT)
+    return R.footnotes(R.parse_blocks(R.spread(C.order_footnotes(spark, sf_dir)), kinds={"FootnoteDefinition"})).where("fn_number = 0").agg(_count())
 
 
 @query("SELECT p_partkey AS doc_id, 2::BIGINT AS blocks, 3::BIGINT AS tags FROM part")
@@ -463,7 +465,7 @@ WITH n AS (SELECT count(*) AS n FROM nation), r AS (SELECT count(*) AS r FROM re
 SELECT 'OrderedList' AS parent_kind, 'ListItem' AS kind, r::BIGINT AS n FROM r UNION ALL SELECT 'ListItem', 'Paragraph', (r + n)::BIGINT FROM r, n
 UNION ALL SELECT 'ListItem', 'UnorderedList', r::BIGINT FROM r UNION ALL SELECT 'UnorderedList', 'ListItem', n::BIGINT FROM n""")
 def md_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.children(R.parse_blocks(C.geography(spark, sf_dir))).groupBy("parent_kind", "kind").agg(_COUNT)
+    return R.children(R.parse_blocks(C.geography(spark, sf_dir))).groupBy("parent_kind", "kind").agg(_count())
 
 
 @query("SELECT 'OrderedList' AS kind, (SELECT count(*) FROM nation)::BIGINT + (SELECT count(*) FROM region)::BIGINT AS items UNION ALL SELECT 'UnorderedList', (SELECT count(*) FROM nation)::BIGINT")
@@ -476,7 +478,7 @@ def md_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'ListItem' AS above_kind, 2 * count(*)::BIGINT AS n FROM nation UNION ALL SELECT 'OrderedList', count(*) FROM nation UNION ALL SELECT 'UnorderedList', count(*) FROM nation")
 def md_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = R.parse_blocks(C.geography(spark, sf_dir))
-    return R.ancestors(blocks, blocks.where("kind = 'Paragraph' and depth = 4")).groupBy("above_kind").agg(_COUNT)
+    return R.ancestors(blocks, blocks.where("kind = 'Paragraph' and depth = 4")).groupBy("above_kind").agg(_count())
 
 
 @query("SELECT n_nationkey::BIGINT AS doc_id, 16 AS subtree FROM nation")
@@ -548,7 +550,7 @@ def md_pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id AS doc_id, count(*) FILTER (trim(text) <> '') AS n FROM conversations GROUP BY 1")
 def md_conversation_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text")
-    return R.parse_blocks(turns, kinds={"Paragraph"}).groupBy("doc_id").agg(_COUNT)
+    return R.parse_blocks(turns, kinds={"Paragraph"}).groupBy("doc_id").agg(_count())
 
 
 # ------------------------------------------------------------------ analytics that only a relational engine has
@@ -556,13 +558,13 @@ def md_conversation_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def md_doc_stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     found = R.parse_blocks(R.spread(docs.select("doc_id", "text")), kinds={"Paragraph"}).select("doc_id")
-    return found.join(docs.select("doc_id", "source", "lang"), "doc_id").rollup("source", "lang").agg(_COUNT)
+    return found.join(docs.select("doc_id", "source", "lang"), "doc_id").rollup("source", "lang").agg(_count())
 
 
 @query("SELECT 'www.s' || s_suppkey || '.example.com' AS domain, count(*) AS n FROM supplier GROUP BY 1 ORDER BY n DESC, domain LIMIT 10")
 def md_top_linked_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = R.autolinks(R.parse_inlines(C.supplier_links(spark, sf_dir), kinds={"Autolink"})).where("autolink_kind = 'www'")
-    return sites.groupBy(F.parse_url(F.col("url"), F.lit("HOST")).alias("domain")).agg(_COUNT).orderBy(F.desc("n"), "domain").limit(10)
+    return sites.groupBy(F.parse_url(F.col("url"), F.lit("HOST")).alias("domain")).agg(_count()).orderBy(F.desc("n"), "domain").limit(10)
 
 
 @query("SELECT coalesce(n, 0)::BIGINT AS lines, count(*) AS docs FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
