@@ -190,16 +190,19 @@ def alert_title(kind: _Col, custom: _Col) -> Column:
 
 def line_kind(c: _Col) -> Column:
     """What a line is by itself: blank, code, fence, rule, heading, quote, list, html, delimiter or text."""
+    # The first character rules out most kinds, so that few patterns run on a line.
+    lead = F.substring(_c(c), 1, 1)
+    first = F.substring(F.ltrim(_c(c)), 1, 1)
     return (
-        F.when(is_blank(c), "blank")
-        .when(~has_shallow_indent(c), "code")
-        .when(opens_fence(c), "fence")
-        .when(is_rule(c), "rule")
-        .when(heading_level(c).isNotNull(), "heading")
-        .when(_matches(c, "^>"), "quote")
-        .when(list_marker(c).isNotNull(), "list")
-        .when(opens_html(c).isNotNull(), "html")
-        .when(delimiter_columns(c).isNotNull() & _c(c).contains("|"), "delimiter")
+        F.when(first.isin("", "\t", "\f", "\r", "\n") & is_blank(c), "blank")
+        .when(lead.isin(" ", "\t") & ~has_shallow_indent(c), "code")
+        .when(first.isin("`", "~") & opens_fence(c), "fence")
+        .when(first.isin("-", "*", "_") & is_rule(c), "rule")
+        .when((first == "#") & heading_level(c).isNotNull(), "heading")
+        .when(first == ">", "quote")
+        .when(first.isin("-", "+", "*", *map(str, range(10))) & list_marker(c).isNotNull(), "list")
+        .when((first == "<") & opens_html(c).isNotNull(), "html")
+        .when(first.isin("|", ":", "-") & _c(c).contains("|") & delimiter_columns(c).isNotNull(), "delimiter")
         .otherwise("text")
     )
 

@@ -2,7 +2,7 @@
 
 ``register(spark)`` makes available ``md_to_html(text, dialect)``, ``md_label_norm``,
 ``md_decode_entities``, ``md_href`` and ``md_link_title`` as Arrow-batched scalars, and ``md_blocks``,
-``md_inlines`` and ``md_link_defs`` as table functions, for use with LATERAL.
+``md_inlines``, ``md_link_defs`` and ``md_texts`` as table functions, for use with LATERAL.
 """
 
 from __future__ import annotations
@@ -68,13 +68,10 @@ SCALARS = (md_to_html, md_label_norm, md_decode_entities, md_href, md_autolink_h
 
 
 def _table_function(relation: str):
-    names = [c.split(":")[0].split()[0] for c in relations.SCHEMAS[relation].replace("array<struct<pad: int, text: string>>", "x").split(", ")]
-
     class Rows:
         def eval(self, doc_id: int, text: str, dialect: str):
             if text is not None:
-                for r in relations._kernel(relation, Options(dialect), None)(doc_id, text):
-                    yield tuple(r[n] for n in names)
+                yield from relations._kernel(relation, Options(dialect), None)(doc_id, text)
 
     Rows.__name__ = f"Md{relation.title().replace('_', '')}"
     return udtf(Rows, returnType=relations.SCHEMAS[relation])
@@ -84,7 +81,7 @@ def register(spark: SparkSession) -> None:
     ship(spark)
     for f in SCALARS:
         spark.udf.register(f.__name__, f)
-    for relation in ("blocks", "inlines", "link_defs"):
+    for relation in ("blocks", "inlines", "link_defs", "texts"):
         spark.udtf.register(f"md_{relation}", _table_function(relation))
 
 

@@ -7,29 +7,91 @@ from folio.kernel.block import Block, Document
 from folio.kernel.inline import Inline
 
 
-def block_rows(doc: Document) -> list[tuple[Block, dict]]:
-    """(block, row) in pre-order; see ``operators.relations.BLOCKS`` for the columns."""
-    out: list[tuple[Block, dict]] = []
+class Nodes:
+    """The blocks of a document in pre-order, as parallel lists."""
 
-    def visit(b: Block, parent: int | None, ordinal: int, depth: int) -> None:
-        a = b.attrs
-        node = len(out)
-        lines = a.get("lines")
-        row = {
-            "node_id": node, "parent_id": parent, "ordinal": ordinal, "depth": depth, "subtree_len": 0, "kind": b.kind,
-            "level": a.get("level"), "list_start": a.get("start"), "list_delim": a.get("delim"), "tight": a.get("tight"), "task": a.get("task"),
-            "alert_kind": a.get("alert"), "alert_title": a.get("title"), "info": a.get("info"), "literal": a.get("literal"),
-            "code_lines": [{"pad": p, "text": t} for p, t in lines] if lines is not None else None,
-            "columns": a.get("columns"), "header": a.get("header"), "align": a.get("align"),
-            "fn_label": a.get("label"), "fn_number": a.get("number"), "fn_references": a.get("references"),
-        }
-        out.append((b, row))
+    __slots__ = ("blocks", "depths", "ordinals", "parents", "sizes")
+
+    def __init__(self, doc: Document):
+        self.blocks: list[Block] = []
+        self.parents: list[int | None] = []
+        self.ordinals: list[int] = []
+        self.depths: list[int] = []
+        self.sizes: list[int] = []
+        for k, b in enumerate(doc.blocks):
+            self._add(b, None, k, 0)
+
+    def _add(self, b: Block, parent: int | None, ordinal: int, depth: int) -> None:
+        node = len(self.blocks)
+        self.blocks.append(b)
+        self.parents.append(parent)
+        self.ordinals.append(ordinal)
+        self.depths.append(depth)
+        self.sizes.append(0)
         for k, child in enumerate(b.children):
-            visit(child, node, k, depth + 1)
-        row["subtree_len"] = len(out) - node - 1
+            self._add(child, node, k, depth + 1)
+        self.sizes[node] = len(self.blocks) - node - 1
+
+
+#: Columns of a block that are attributes of the same, or another, name.
+ATTRIBUTES = {
+    "level": "level", "list_start": "start", "list_delim": "delim", "tight": "tight", "task": "task", "alert_kind": "alert", "alert_title": "title", "info": "info", "literal": "literal", "code_lines": "lines",
+    "columns": "columns", "header": "header", "align": "align", "fn_label": "label", "fn_number": "number", "fn_references": "references",
+}
+_KEYS = tuple(ATTRIBUTES.values())
+
+
+def block_tuples(nodes: Nodes, only: frozenset[str] | None = None) -> list[tuple]:
+    """Rows without the document's id, in the order of ``operators.relations.BLOCKS``."""
+    out = []
+    for n, b in enumerate(nodes.blocks):
+        if only is None or b.kind in only:
+            a = b.attrs
+            values = [a.get(k) for k in _KEYS]
+            if values[9] is not None:
+                values[9] = [{"pad": p, "text": t} for p, t in values[9]]
+            out.append((n, nodes.parents[n], nodes.ordinals[n], nodes.depths[n], nodes.sizes[n], b.kind, *values))
+    return out
 
-    for k, b in enumerate(doc.blocks):
-        visit(b, None, k, 0)
+
+def block_rows(doc: Document) -> list[tuple[Block, dict]]:
+    """(block, row by column) in pre-order."""
+    nodes = Nodes(doc)
+    names = ("node_id", "parent_id", "ordinal", "depth", "subtree_len", "kind", *ATTRIBUTES)
+    return [(b, dict(zip(names, r, strict=True))) for b, r in zip(nodes.blocks, block_tuples(nodes), strict=True)]
+
+
+def text_of(inline: list[Inline]) -> str:
+    """The plain text of inline content: texts, code and addresses; breaks as blanks."""
+    out: list[str] = []
+    stack = inline[::-1]
+    while stack:
+        x = stack.pop()
+        kind = x.kind
+        if kind == "Text":
+            out.append(lx.decode_entities(x.text))
+        elif kind in ("Code", "Autolink"):
+            out.append(x.text)
+        elif kind in ("SoftBreak", "HardBreak"):
+            out.append(" ")
+        elif x.children:
+            stack.extend(x.children[::-1])
+    return "".join(out)
+
+
+def text_tuples(nodes: Nodes, only: frozenset[str] | None = None) -> list[tuple]:
+    """Rows of ``operators.relations.TEXTS``: leaves with their text, list items, cells with their place."""
+    out = []
+    for n, b in enumerate(nodes.blocks):
+        kind = b.kind
+        if (b.inline is None and kind != "ListItem") or (only is not None and kind not in only):
+            continue
+        table = row = col = None
+        if kind == "TableCell":
+            up = nodes.parents[n]
+            table, row, col = nodes.parents[up], nodes.ordinals[up], nodes.ordinals[n]
+        a = b.attrs
+        out.append((n, nodes.parents[n], kind, a.get("level"), a.get("task"), table, row, col, a.get("align"), text_of(b.inline) if b.inline else "" if b.inline is not None else None))
     return out
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from folio.kernel.block import Options, parse
-from folio.kernel.flatten import block_rows, definition_rows, inline_rows
+from folio.kernel.flatten import Nodes, block_tuples, definition_rows, inline_rows, text_tuples
 from folio.kernel.html import to_html
 from folio.session import ship
 
@@ -30,8 +30,9 @@ INLINES = (
     "autolink_kind string, fn_label string, fn_number long, fn_occurrence long"
 )
 LINK_DEFS = "doc_id long, def_order int, label string, label_norm string, url string, title string, scope string"
+TEXTS = "doc_id long, node_id int, parent_id int, kind string, level int, task string, table_id int, row_no int, col_no int, align string, text string"
 HTML = "doc_id long, html string"
-SCHEMAS = {"blocks": BLOCKS, "inlines": INLINES, "link_defs": LINK_DEFS, "html": HTML}
+SCHEMAS = {"blocks": BLOCKS, "inlines": INLINES, "link_defs": LINK_DEFS, "texts": TEXTS, "html": HTML}
 #: Rows of an Arrow batch of documents, and relation rows given out at a time.
 DOCUMENTS_PER_BATCH, ROWS_PER_BATCH = 256, 20_000
 
@@ -56,22 +57,26 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _kernel(relation: str, options: Options, only: frozenset[str] | None):
-    def rows_of(doc_id, text: str) -> list[dict]:
+    """The rows of one document, as tuples in the order of the relation's columns."""
+
+    def rows_of(doc_id, text: str) -> list[tuple]:
         doc = parse(text, options)
         if relation == "html":
-            return [{"doc_id": doc_id, "html": to_html(doc)}]
+            return [(doc_id, to_html(doc))]
         if relation == "link_defs":
-            return [{"doc_id": doc_id} | r for r in definition_rows(doc)]
-        blocks = block_rows(doc)
+            return [(doc_id, *r.values()) for r in definition_rows(doc)]
+        nodes = Nodes(doc)
         if relation == "blocks":
-            return [{"doc_id": doc_id} | r for _, r in blocks if only is None or r["kind"] in only]
-        out: list[dict] = []
+            return [(doc_id, *r) for r in block_tuples(nodes, only)]
+        if relation == "texts":
+            return [(doc_id, *r) for r in text_tuples(nodes, only)]
+        out: list[tuple] = []
         n = 0
-        for b, r in blocks:
+        for k, b in enumerate(nodes.blocks):
             if b.inline:
-                own = inline_rows(b.inline, r["node_id"], n)
+                own = inline_rows(b.inline, k, n)
                 n += len(own)
-                out += [{"doc_id": doc_id} | x for x in own if only is None or x["kind"] in only]
+                out += [(doc_id, *x.values()) for x in own if only is None or x["kind"] in only]
         return out
 
     return rows_of
@@ -82,19 +87,22 @@ def _parse(df: DataFrame, relation: str, dialect: str, id_col: str, text_col: st
     schema = T.StructType.fromDDL(SCHEMAS[relation])
     arrow = to_arrow_schema(schema)
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[tuple] = []
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id"), b.column("text"), strict=True):
-                if text.is_valid:
-                    held += rows_of(doc_id.as_py(), text.as_py())
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if text is not None:
+                    held += rows_of(doc_id, text)
                 elif relation == "html":
-                    held.append({"doc_id": doc_id.as_py(), "html": None})
+                    held.append((doc_id, None))
                 if len(held) >= ROWS_PER_BATCH:
-                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                    yield batch(held)
                     held = []
         if held:
-            yield pa.RecordBatch.from_pylist(held, schema=arrow)
+            yield batch(held)
 
     return _source(df, id_col, text_col).mapInArrow(run, schema)
 
@@ -117,6 +125,14 @@ def parse_link_defs(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id",
     return _parse(df, "link_defs", dialect, id_col, text_col, **limits)
 
 
+def parse_texts(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id", text_col: str = "text", kinds: set[str] | None = None, **limits: int) -> DataFrame:
+    """Headings, paragraphs, list items and table cells with their plain text and a cell's place.
+
+    What joins of blocks and inlines give too (``headings``, ``table_cells``), without a shuffle.
+    """
+    return _parse(df, "texts", dialect, id_col, text_col, kinds, **limits)
+
+
 def render_html(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """doc_id and html; a null text has a null html."""
     return _parse(df, "html", dialect, id_col, text_col, **limits)

@@ -54,16 +54,14 @@ FROM orders LEFT JOIN (
 ) ON l_orderkey = o_orderkey""")
 def md_order_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order's report: table rows, ticked tasks and the sum of the quantity column, joined back to orders."""
-    docs = R.spread(C.order_reports(spark, sf_dir))
-    # One pass for both relations would be parsed twice only if both were asked for in full: each asks for a few kinds.
-    blocks = R.parse_blocks(docs, kinds={"TableRow", "TableCell", "ListItem"})
-    counts = blocks.groupBy("doc_id").agg(F.count_if((F.col("kind") == "TableRow") & ~F.col("header")).alias("table_rows"), F.count_if(F.col("task") == "checked").alias("ticked"))
-    cells = blocks.where("kind = 'TableCell' and ordinal = 3").select("doc_id", "node_id")
-    inlines = R.parse_inlines(docs, kinds={"Text"})
-    quantity = cells.join(inlines, ["doc_id", "node_id"]).groupBy("doc_id").agg(F.sum(F.expr("try_cast(text as bigint)")).alias("quantity"))
+    found = R.parse_texts(R.spread(C.order_reports(spark, sf_dir)), kinds={"TableCell", "ListItem"})
+    body = (F.col("kind") == "TableCell") & (F.col("row_no") > 0)
+    counts = found.groupBy("doc_id").agg(
+        F.count_if(body & (F.col("col_no") == 0)).alias("table_rows"), F.count_if(F.col("task") == "checked").alias("ticked"), F.sum(F.when(body & (F.col("col_no") == 3), F.expr("try_cast(text as bigint)"))).alias("quantity")
+    )
     orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), F.col("o_orderstatus").alias("status"))
     zero = F.lit(0).cast("long")
-    return orders.join(counts, "doc_id", "left").join(quantity, "doc_id", "left").select("doc_id", "status", *(F.coalesce(c, zero).alias(c) for c in ("table_rows", "ticked", "quantity")))
+    return orders.join(counts, "doc_id", "left").select("doc_id", "status", *(F.coalesce(c, zero).alias(c) for c in ("table_rows", "ticked", "quantity")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +126,7 @@ def md_line_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ blocks
 @query("SELECT o_orderkey AS doc_id, 1 AS level, 'Order ' || o_orderkey AS text FROM orders")
 def md_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = R.spread(C.order_reports(spark, sf_dir))
-    return R.headings(R.parse_blocks(docs, kinds={"Heading"}), R.parse_inlines(docs)).select("doc_id", "level", "text")
+    return R.parse_texts(R.spread(C.order_reports(spark, sf_dir)), kinds={"Heading"}).select("doc_id", "level", "text")
 
 
 @query("SELECT r_regionkey::BIGINT AS doc_id, 1 AS level, r_name AS text FROM region")
@@ -266,8 +263,7 @@ def md_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS line, l_partkey::BIGINT AS part, l_suppkey::BIGINT AS supp, l_quantity::BIGINT AS qty FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""")
 def md_table_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = R.spread(C.order_reports(spark, sf_dir))
-    cells = R.table_cells(R.parse_blocks(docs, kinds={"TableRow", "TableCell"}), R.parse_inlines(docs, kinds={"Text"}))
+    cells = R.parse_texts(R.spread(C.order_reports(spark, sf_dir)), kinds={"TableCell"})
     names = ("line", "part", "supp", "qty")
     return R.table_pivot(cells, dict(enumerate(names))).select("doc_id", *_n(*names))
 

@@ -58,6 +58,17 @@ def test_odd_documents(spark):
     assert R.parse_blocks(docs.limit(0)).count() == 0
 
 
+def test_texts_are_what_the_joins_give(spark):
+    from folio.sources import compose
+
+    for docs in (compose.ragged_tables(spark, SF), compose.region_chapters(spark, SF), compose.order_reports(spark, SF).limit(50)):
+        docs = docs.cache()
+        blocks, inlines, texts = R.parse_blocks(docs), R.parse_inlines(docs), R.parse_texts(docs)
+        assert R.same_structure(R.headings(blocks, inlines), texts.where("kind = 'Heading'").select("doc_id", "node_id", "level", "text"))
+        cells = texts.where("kind = 'TableCell'").select("doc_id", "table_id", "row_no", "col_no", "align", "text")
+        assert R.same_structure(R.table_cells(blocks, inlines), cells)
+
+
 def test_native_line_functions_agree_with_the_kernel(spark):
     lines = [*catalogue._LINES, "  \t x", "> q", "    - a", "***a", "- ", "-\tb", "10) x", "`` ` ``", "~~~", "#\tq", "# a # b ##", "+ + +", "_ _ _", "1.", "1.x", "  # in", "=", "= ="]
     cols = {
