@@ -473,7 +473,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     families = written(components(edges, "families"), "family-of").select("point", F.col("component").alias("family"))
 
     members = written(points.select("point", "id").join(families, "point").select("point", "family", F.col("id").alias("doc_id")), "members")
-    links = written(_all_links(docs, members, percent, k, id_col, text_col), "links")
+    links = written(all_links(docs, members, percent, k, id_col, text_col), "links")
     linked = components(links, "components")
     named = points.select("point", "s1", "s2", "n", "id").join(linked, "point", "left").withColumn("component", F.coalesce("component", "point"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -486,7 +486,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     )
 
 
-def _all_links(docs: DataFrame, members: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
+def all_links(docs: DataFrame, members: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
     """Verified spanning links of all families; ``members``: point, family, doc_id that has the point's text."""
     wanted = members.select(F.col("doc_id").alias("__m"), "family", "point")
     n = members.count()

@@ -6,8 +6,8 @@ of a text. All functions run over all shingles of a text at once in numpy. Two t
 values estimates the Jaccard similarity of their shingle sets.
 
 Near duplicates: bands of the signatures are joined in Spark, each bucket as a star around its least
-member, so a bucket of any size gives as many pairs as rows; the Jaccard similarity of each pair is
-then verified on the whole shingle sets.
+member, so a bucket of any size gives as many edges as rows; within what the edges connect, Jaccard
+similarities are verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import shuffle_partitions, small_batches, written
 from folio.llm.hashing import U64, shingle_sets, shingles, text_bytes, word_hashes, words
+from folio.llm.jaccard_join import all_links, components
 
 PERMUTATIONS, SHINGLE_WORDS, SEED = 128, 5, 11
 #: Bits of a minimum that a signature keeps; two that differ agree in them once in 2**16.
@@ -68,6 +69,18 @@ def text_of(sig: np.ndarray) -> str:
 
 
 # ------------------------------------------------------------------ documents beside their next one
+def _above(cuts: list[int], key: Column) -> Column:
+    """How many of the ascending ``cuts`` lie above the key: counted in a coarse list, then in one stretch of the fine one."""
+    if not cuts:
+        return F.lit(0)
+    cuts = cuts[::-1]
+    step = max(1, int(len(cuts) ** 0.5))
+    every, fine = (F.array(*[F.lit(c) for c in x]).cast("array<bigint>") for x in (cuts[::step], cuts))
+    whole = F.size(F.filter(every, lambda c: c > key))
+    start = F.greatest(whole - 1, F.lit(0)) * step
+    return (start + F.size(F.filter(F.slice(fine, start + 1, F.lit(step)), lambda c: c > key))).cast("int")
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
     """Documents dealt by ranges of descending id, each range followed by the document after it.
 
@@ -78,19 +91,17 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, s
     keys = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__key"))
     parts = max(1, shuffle_partitions(spark), docs.rdd.getNumPartitions())
     cuts = sorted({int(x) for x in keys.approxQuantile("__key", [i / parts for i in range(1, parts)], 1e-3 / 4)}) if parts > 1 else []
-    cut_array = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    # Part 0 holds the greatest ids: the number of cuts above the key.
-    by_key = F.size(F.filter(cut_array, lambda c: c > F.col("__key"))) if cuts else F.lit(0)
-    heads = keys.select("__key", by_key.alias("__part")).groupBy("__part").agg(F.max("__key").alias("__head")).orderBy("__part").collect()
-    follows = {heads[(i + 1) % len(heads)]["__head"]: heads[i]["__part"] for i in range(len(heads))}
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__key"))
-    if follows:
-        pairs = F.create_map(*[F.lit(x) for kv in follows.items() for x in kv])
-        also = F.element_at(pairs, F.col("__key"))
-    else:
-        also = F.lit(None).cast("int")
-    own = F.struct(by_key.cast("int").alias("part"), F.lit(False).alias("extra"))
-    copies = F.when(also.isNull(), F.array(own)).otherwise(F.array(own, F.struct(also.cast("int").alias("part"), F.lit(True).alias("extra"))))
+    by_key = _above(cuts, F.col("__key"))
+    heads = {r["__part"]: r["__head"] for r in keys.select("__key", by_key.alias("__part")).groupBy("__part").agg(F.max("__key").alias("__head")).collect()}
+    # The greatest id of a part follows the last document of the part before it that has any; of the first part, of the last.
+    full = sorted(heads)
+    before = {p: full[i - 1] for i, p in enumerate(full)}
+    head_of = F.array(*[F.lit(heads.get(p)) for p in range(len(cuts) + 1)]).cast("array<bigint>")
+    also_to = F.array(*[F.lit(before.get(p)) for p in range(len(cuts) + 1)]).cast("array<int>")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__key")).withColumn("__own", by_key)
+    own = F.struct(F.col("__own").alias("part"), F.lit(False).alias("extra"))
+    copy = F.struct(F.get(also_to, F.col("__own")).alias("part"), F.lit(True).alias("extra"))
+    copies = F.when(F.get(head_of, F.col("__own")) == F.col("__key"), F.array(own, copy)).otherwise(F.array(own))
     dealt = base.withColumn("__to", F.explode(copies)).select("doc_id", "text", "__key", F.col("__to.part").alias("__part"), F.col("__to.extra").alias("__extra"))
     ordered = dealt.repartitionById(len(cuts) + 1, F.col("__part")).sortWithinPartitions("__part", "__extra", F.desc("__key"), "text")
     return ordered, "__part", "__extra"
@@ -151,40 +162,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 # ------------------------------------------------------------------ near duplicates
-def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 16, rows: int = 8, k: int = SHINGLE_WORDS) -> DataFrame:
-    """(a, b, similarity): pairs of different texts that share a band and have Jaccard >= threshold.
-
-    Equal texts are one document, its least id. Each bucket of a band links its members to its least
-    one: no bucket gives more pairs than rows. Texts without words match nothing.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bands: int = 20, rows: int = 5, k: int = SHINGLE_WORDS) -> DataFrame:
+    """One row per document: doc_id, class_id (the least id of its near-duplicate class), n_shingles.
+
+    Signature bands are joined in Spark: each bucket gives a star around its least member, so a bucket
+    of any size gives as many edges as rows. What the edges connect is a family; within it all sets
+    are compared (by ``jaccard_join.links_of``, which splits families of any size), so a class lacks no
+    link between two documents of a family: only pairs that share no band are missed, with probability
+    (1 - s**rows)**bands for similarity s, 4e-4 at 0.8. Equal texts are one point. Null and empty
+    texts, and those without words, are classes of their own. Rows that repeat an id have a row each.
     """
     small_batches(docs.sparkSession)
-    reps = docs.where(F.col(text_col).isNotNull()).groupBy(F.sha2(text_col, 256).alias("__d")).agg(F.min(id_col).alias("doc_id"), F.first(text_col).alias("text")).select("doc_id", "text")
-    reps = written(reps, "minhash-texts")
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out_id, out_band, out_hash = b.column("doc_id").to_pylist(), [], [], []
-            for doc_id, s in zip(ids, shingle_sets(b.column("text"), k), strict=True):
-                if len(s):
-                    sig = signature(s)
-                    for band in range(bands):
-                        out_id.append(doc_id)
-                        out_band.append(band)
-                        out_hash.append(int.from_bytes(hashlib.blake2b(sig[band * rows : (band + 1) * rows].tobytes(), digest_size=8).digest(), "little", signed=True))
-            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_band, pa.int32()), pa.array(out_hash, pa.int64())], ["doc_id", "band", "h"])
-
-    banded = written(reps.mapInArrow(band_rows, "doc_id long, band int, h long"), "minhash-bands")
-    least = banded.groupBy("band", "h").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = banded.join(least, ["band", "h"]).where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    left = reps.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = reps.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sims = []
-            for x, y in zip(shingle_sets(batch.column("ta"), k), shingle_sets(batch.column("tb"), k), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                sims.append(both / max(1, len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims)], ["a", "b", "similarity"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+            n, point, banded = [], [], []
+            for s in shingle_sets(b.column("text"), k):
+                n.append(len(s))
+                point.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+                sig = signature(s)
+                banded.append([int.from_bytes(hashlib.blake2b(bytes([i]) + sig[i * rows : (i + 1) * rows].tobytes(), digest_size=8).digest(), "little", signed=True) for i in range(bands)] if len(s) else [])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(point, pa.int64()), pa.array(banded, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "point", "bands"])
+
+    told = written(source.mapInArrow(describe, "doc_id long, n_shingles long, point long, bands array<long>"), "minhash-points")
+    points = told.where("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    points = written(points, "minhash-distinct")
+    buckets = points.select("point", F.explode("bands").alias("h"))
+    least = buckets.groupBy("h").agg(F.min("point").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    edges = buckets.join(least, "h").where("point <> a").select("a", F.col("point").alias("b")).distinct()
+    families = written(components(edges, "minhash-families"), "minhash-family-of").select("point", F.col("component").alias("family"))
+    members = written(points.join(families, "point").select("point", "family", F.col("id").alias("doc_id")), "minhash-members")
+    links = written(all_links(docs, members, percent, k, id_col, text_col), "minhash-links")
+    linked = components(links, "minhash-components")
+    named = points.select("point", "id").join(linked, "point", "left").withColumn("component", F.coalesce("component", "point"))
+    classes = named.select("point", "component").join(named.groupBy("component").agg(F.min("id").alias("class_id")), "component").select("point", "class_id")
+    own = told.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("point")).alias("point"))
+    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
+    some = own.where("n_shingles > 0").join(classes, "point").select(real("doc_id"), real("class_id"), "n_shingles")
+    return some.unionByName(own.where("n_shingles = 0").select(real("doc_id"), real("doc_id").alias("class_id"), "n_shingles"))

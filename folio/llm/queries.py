@@ -18,6 +18,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of the operator: near-duplicate classes from the signatures' bands."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), percent=90, k=3)
 
@@ -57,6 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
@@ -99,4 +105,33 @@ SELECT d.doc_id, coalesce((SELECT count(*) FROM nb WHERE nb.doc_id = d.doc_id),
 FROM documents d LEFT JOIN done ON done.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op4_line_dedup": _OP4_SQL}
+#: op2: shingles as strings; components by a recursive walk over the links.
+_OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	
+
+]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END)) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b, i = x.n AND i = y.n AS same FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = d.doc_id), d.doc_id)) AS component_id,
+       least(d.doc_id, coalesce((SELECT min(a) FROM links WHERE links.b = d.doc_id AND same), d.doc_id)) AS class_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+#: op10: base32 from the hexadecimal digest, five bits a letter.
+_OP10_SQL = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda j: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', hex[j])]), '') AS bits FROM d),
+e AS (SELECT page_id, size, hex, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * bits[5*i+1]::INT + 8 * bits[5*i+2]::INT + 4 * bits[5*i+3]::INT + 2 * bits[5*i+4]::INT + bits[5*i+5]::INT]), '') AS digest,
+  min(page_id) OVER (PARTITION BY hex) AS first FROM b)
+SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM e
+"""
+
+ORACLES: dict[str, str] = {"op2_jaccard_join": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op10_warc": _OP10_SQL}

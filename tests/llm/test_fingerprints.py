@@ -51,7 +51,29 @@ def test_one_document_is_next_to_itself(spark):
     assert got[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest() and got[0].near_next == 1.0
 
 
-def test_near_duplicate_pairs(spark):
-    base = " ".join(f"w{i}" for i in range(200))
-    docs = spark.createDataFrame([(1, base), (2, base + " tail"), (3, " ".join(f"v{i}" for i in range(200))), (4, base), (5, None)], "doc_id long, text string")
-    assert [(r.a, r.b) for r in minhash.near_duplicate_pairs(docs).collect()] == [(1, 2)]
+def test_near_duplicate_classes(spark):
+    base = [f"w{i}" for i in range(200)]
+    far = list(base)
+    for i in range(0, 200, 25):
+        far[i] = "x"  # from the first 40 / 236 shingles apart, one step from each neighbour
+    rows = [(1, base), (2, [*base, "tail"]), (3, [f"v{i}" for i in range(200)]), (4, base), (6, base[:190]), (7, far)]
+    docs = spark.createDataFrame([*((i, " ".join(w)) for i, w in rows), (5, None), (8, ""), (8, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id) for r in minhash.near_duplicates(docs).collect())
+    a, b = (_shingles(" ".join(w)) for w in (base, far))
+    joined = len(a & b) / len(a | b) >= 0.8
+    assert got == [(1, 1), (2, 1), (3, 3), (4, 1), (5, 5), (6, 1), (7, 1 if joined else 7), (8, 8), (8, 8)]
+
+
+def test_near_duplicate_classes_of_the_table(spark):
+    """The banded classes against the exact join of the same shingles and threshold."""
+    from folio.llm.jaccard_join import jaccard_components
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    want = {r.doc_id: r.component_id for r in jaccard_components(docs, 80, 5).collect()}
+    assert sum(got[i] == want[i] for i in want) / len(want) > 0.998
+
+
+def test_near_duplicates_of_odd_rows(odd, none):
+    assert minhash.near_duplicates(odd).count() == len(ODD)
+    assert minhash.near_duplicates(none).count() == 0
