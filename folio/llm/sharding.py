@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.llm.common import written
+
 #: Rows that a bucket of an order should hold, and the most buckets (a power of two) of one order.
 BUCKET_ROWS, MOST_BUCKET_BITS = 4096, 16
 
@@ -52,6 +54,8 @@ def interleave(docs: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_i
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
     ).withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"))
+    # The texts are read once; what is sorted from here on is some 60 bytes a row.
+    base = written(base, "shard-rows")
     sizes = base.groupBy("__source").agg(F.count("*").alias("__rows"))
     total, largest = sizes.agg(F.coalesce(F.sum("__rows"), F.lit(0)), F.coalesce(F.max("__rows"), F.lit(0))).first()
     ties = ["__h", "doc_id", "size", "text_crc32"]
