@@ -29,6 +29,8 @@ from folio.llm.common import scratch, small_batches, written
 FILE_BYTES = 32 << 20
 #: Bytes of the table of repeated payloads up to which it is broadcast (about 100 bytes a row).
 BROADCAST_BYTES = 8 << 20
+#: Keys that a response's row is copied to for the join with its revisits.
+SALTS = 16
 ANCHORS = ("response", "revisit", "resource")
 DATE = "2024-01-01T00:00:00Z"
 
@@ -236,10 +238,15 @@ def page_captures(captures: DataFrame) -> DataFrame:
         return F.expr(f"try_cast(nullif(regexp_extract(metadata[0].block, '(?m)^{name}: (-?[0-9]+)', 1), '') as bigint)")
 
     slim = captures.select("record_id", "record_type", "payload_digest", "refers_to_id", field("page_id").alias("page_id"), field("payload_bytes").alias("__stated"), "payload_bytes")
+    # One response may be what a third of all captures revisit: its row is copied to SALTS keys, its revisits dealt to them.
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
     targets = slim.where(F.col("record_type") == "response").select(F.col("record_id").alias("__rid"), F.col("page_id").alias("__rpage"))
-    return slim.join(targets, F.col("refers_to_id") == F.col("__rid"), "left").select(
-        "page_id", F.coalesce("payload_bytes", "__stated").alias("payload_bytes"), "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("__rpage")).alias("refers_to")
-    )
+    wanted = slim.where(F.col("record_type") == "revisit").select(F.col("refers_to_id").alias("__rid")).distinct()
+    targets = targets.join(wanted, "__rid", "left_semi").withColumn("__salt", salts)
+    revisits = slim.where(F.col("record_type") == "revisit").withColumn("__salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+    found = revisits.join(targets, (F.col("refers_to_id") == F.col("__rid")) & (revisits["__salt"] == targets["__salt"]), "left")
+    kept = ("page_id", F.coalesce("payload_bytes", "__stated").alias("payload_bytes"), "payload_digest", "record_type")
+    return slim.where(F.col("record_type") != "revisit").select(*kept, F.lit(None).cast("long").alias("refers_to")).unionByName(found.select(*kept, F.col("__rpage").alias("refers_to")))
 
 
 def warc_roundtrip(pages: DataFrame, min_bytes: int = 0, **columns: str) -> DataFrame:
@@ -248,4 +255,4 @@ def warc_roundtrip(pages: DataFrame, min_bytes: int = 0, **columns: str) -> Data
     path = scratch(spark, "warc")
     write_archives(pages, path, min_bytes=min_bytes, **columns)
     slim = written(read_records(spark, path, keep_blocks=False), "warc-index")
-    return page_captures(assemble(slim))
+    return page_captures(written(assemble(slim), "warc-captures"))
