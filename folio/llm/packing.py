@@ -31,7 +31,8 @@ END_ID = 0
 NODE_LIMIT = 4000
 #: Fillings kept of one enumeration, the fullest first, and steps that it may take.
 FILLINGS, FILLING_STEPS = 24, 4000
-RANK_BUCKETS = 1024
+#: Rows of a bucket within which a length's pieces are ranked, and the least and most buckets.
+RANK_ROWS, RANK_BUCKETS = 20_000, (64, 1 << 20)
 
 #: The pre-tokenisation pattern of byte-level BPE files, and the bytes that stand for themselves in them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -291,15 +292,17 @@ def plan_rows(runs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
-def place(pieces: DataFrame, runs: list[tuple[tuple[int, ...], int]]) -> DataFrame:
+def place(pieces: DataFrame, runs: list[tuple[tuple[int, ...], int]], most: int = 0) -> DataFrame:
     """``pieces`` with sequence_id and offset. The plan has as many rows as it has runs and lengths of
-    them, which the capacity bounds, not the corpus; it goes to the tasks with the function."""
+    them, which the capacity bounds, not the corpus; it goes to the tasks with the function. ``most``:
+    how many pieces have the most frequent length."""
+    buckets = min(RANK_BUCKETS[1], max(RANK_BUCKETS[0], -(-most // RANK_ROWS)))
     by: dict[int, list] = {}
     for size, *rest in plan_rows(runs):
         by.setdefault(size, []).append(rest)
     stretches = {size: np.asarray(sorted(rest), np.int64) for size, rest in by.items()}
     # Order within a length: by bucket of a hash, then by id; counts per bucket give each bucket's first rank.
-    keyed = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(RANK_BUCKETS)))
+    keyed = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)))
     counts = keyed.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
@@ -332,4 +335,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """
     pieces = written(token_pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, id_col, text_col), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    return place(pieces, complete_bins(histogram, capacity))
+    return place(pieces, complete_bins(histogram, capacity), max(histogram.values(), default=0))
