@@ -1,6 +1,7 @@
 """SQL names: scalar functions and table functions over the kernel.
 
-``register(spark)`` makes available ``md_to_html(text, dialect)``, ``md_label_norm``,
+``register(spark)`` makes available the native ``md_normalize``, ``md_is_blank``, ``md_is_hr``,
+``md_heading_level``, ``md_task_state`` and ``md_escape_html``, then ``md_to_html(text, dialect)``, ``md_label_norm``,
 ``md_decode_entities``, ``md_href`` and ``md_link_title`` as Arrow-batched scalars, and ``md_blocks``,
 ``md_inlines``, ``md_link_defs`` and ``md_texts`` as table functions, for use with LATERAL.
 """
@@ -77,8 +78,21 @@ def _table_function(relation: str):
     return udtf(Rows, returnType=relations.SCHEMAS[relation])
 
 
+#: Native functions as SQL functions: their bodies are inlined into the query, and run in generated code.
+NATIVE = {
+    "md_normalize": ("string", r"regexp_replace(x, r'\r\n?', '\n')"),
+    "md_is_blank": ("boolean", r"x rlike r'^[ \t\f\r\n]*\z'"),
+    "md_is_hr": ("boolean", r"x rlike r'^ {0,3}([-*_])[ \t]*(\1[ \t]*){2,}\z'"),
+    "md_heading_level": ("int", r"nullif(length(regexp_extract(x, r'^ {0,3}(#{1,6})(?:[ \t]|\z)', 1)), 0)"),
+    "md_task_state": ("string", r"case regexp_extract(x, r'^ {0,3}\[([ xX])\](?=\s|\z)', 1) when ' ' then 'unchecked' when '' then null else 'checked' end"),
+    "md_escape_html": ("string", "replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"),
+}
+
+
 def register(spark: SparkSession) -> None:
     ship(spark)
+    for name, (kind, body) in NATIVE.items():
+        spark.sql(f"create or replace temporary function {name}(x string) returns {kind} return {body}")
     for f in SCALARS:
         spark.udf.register(f.__name__, f)
     for relation in ("blocks", "inlines", "link_defs", "texts"):

@@ -265,6 +265,20 @@ def footnotes(blocks: DataFrame) -> DataFrame:
     return blocks.where("kind = 'FootnoteDefinition'").select("doc_id", "node_id", "fn_label", "fn_number", "fn_references")
 
 
+def number_footnotes(references: DataFrame) -> DataFrame:
+    """References (doc_id, inline_id, fn_label) with fn_number, by first use in the document, and fn_occurrence.
+
+    The relational form of what the parser numbers itself.
+    """
+    uses = Window.partitionBy("doc_id", "fn_label").orderBy("inline_id")
+    first = F.min("inline_id").over(Window.partitionBy("doc_id", "fn_label"))
+    return (
+        references.select("doc_id", "inline_id", "fn_label", first.alias("__first"), F.row_number().over(uses).cast("long").alias("fn_occurrence"))
+        .withColumn("fn_number", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("__first")).cast("long"))
+        .drop("__first")
+    )
+
+
 def same_structure(a: DataFrame, b: DataFrame) -> bool:
     """Whether two relations hold the same rows."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -113,6 +113,18 @@ def test_sql_names(spark):
     assert tuple(r) == ("a b", "<", "a%20b", "&amp;&lt;", "&quot;x", "a%20b", "%5B")
 
 
+def test_sql_names_of_native_functions(spark):
+    sql.register(spark)
+    r = spark.sql(r"select md_normalize('a\r\nb\rc'), md_is_blank(' \t'), md_is_hr(' * * *'), md_is_hr('--'), md_heading_level('### x'), md_heading_level('x'), md_task_state('[x] a'), md_task_state('a'), md_escape_html('<\"&>')").first()
+    assert tuple(r) == ("a\nb\nc", True, True, False, 3, None, "checked", None, "&lt;&quot;&amp;&gt;")
+
+
+def test_footnotes_numbered_by_windows(spark):
+    docs = spark.createDataFrame([(1, "[^b] [^a] [^b]\n\n[^a]: x [^c]\n[^b]: y\n[^c]: z\n"), (2, "none"), (3, "[^a][^a]\n\n[^a]: q")], "doc_id long, text string")
+    refs = R.parse_inlines(docs, kinds={"FootnoteRef"}).select("doc_id", "inline_id", "fn_label", "fn_number", "fn_occurrence")
+    assert refs.count() == 6 and R.same_structure(refs, R.number_footnotes(refs.drop("fn_number", "fn_occurrence")).select(refs.columns))
+
+
 def test_files_and_relations_round_trip(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(b"# A\r\n\r\ntext\rmore\r\n")
     docs = files.read_markdown(spark, f"{tmp_path}/*.md")
