@@ -84,3 +84,18 @@ def vector_part(total: np.ndarray) -> pa.RecordBatch:
 def id_fold(id_col: str, n: int):
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+#: Bytes of a table of ids (16 each) up to which it is broadcast to the documents it takes away.
+BROADCAST_BYTES = 8 << 20
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the ids in the only column of ``gone``; a null id there takes all null ids away.
+
+    The ids are counted first: a table within BROADCAST_BYTES goes to every task and no text is
+    shuffled, a larger one is joined by a shuffle.
+    """
+    ids = written(gone.toDF("__gone").distinct(), "gone")
+    side = F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
+    return docs.join(side, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")

@@ -13,10 +13,11 @@ too; there no pivot tells them apart. The join therefore recurses over two kinds
    together, over all regions, is a family. No link leaves a family.
 2. Voronoi regions. In a family distances vary. Each point goes to the region of its nearest pivot
    document; by the triangle inequality a neighbour within r of x can be at home only with a pivot q
-   for which d(x, q) <= d(x, nearest) + 2r, so x is copied there too. Points within r of a pivot are
-   linked to it. A region joins recursively, until all its points hang together or are so few that
-   the rest is compared directly. Families too large for one task are split by the same step with
-   broadcast pivots, as often as needed.
+   for which d(x, q) <= d(x, nearest) + 2r, so x is copied there too. Points far from all pivots form
+   one region, with those that are less than r nearer. Points within r of a pivot are linked to it. A
+   region joins recursively, until all its points hang together, or are so few, or so much alike in
+   their distances, that the rest is compared directly. Families too large for one task are split by
+   the same step with broadcast pivots, as often as needed.
 
 Equal sets are one point. Results are links that connect whatever the join would connect (a spanning
 set of the links, each verified on whole sets), and the components that they make.
@@ -32,19 +33,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import small_batches, written
+from folio.llm.common import small_batches, without, written
 from folio.llm.hashing import U64, mix, shingle_sets, shingles, text_bytes, word_hashes, words
 
 SHINGLE_WORDS, PERCENT = 3, 90
 #: Counters of the shingle-frequency sketch, and blocks in which partial counts travel.
 SKETCH_BITS, SKETCH_BLOCKS = 21, 64
-#: Longs of a part's parity sketch, and the elements a part should have: as many as the sketch can tell apart.
-PARITY_WORDS, PART_SIZE = 8, 1200
-#: Members of a coarse region that are compared by sketches; a larger one hangs together as a whole.
-REGION_ROWS = 1500
+#: Longs of a part's parity sketch.
+PARITY_WORDS = 8
+#: Members of a coarse region that are compared by sketches (seconds of work); a larger one hangs together as a whole.
+REGION_ROWS = 20_000
 #: Shingles of a family that one task joins; pivots a split takes.
 FAMILY_SHINGLES, SPLIT_PIVOTS = 3_000_000, 8
-LEAF = 12
+#: Distance from which a point is far from a pivot. Points far from all pivots share one region: by the
+#: nearest of several that have nothing in common with it, a point would lie in all their windows.
+FAR = 0.5
+#: Points that are compared directly; how often a step may copy points before it is given up for that.
+LEAF, SPREAD = 12, 1.4
 #: Bytes of the table of family members up to which it is broadcast to the scan of the texts.
 BROADCAST_BYTES = 8 << 20
 
@@ -111,9 +116,16 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(U64)
 
 
+def part_size(percent: int) -> int:
+    """Elements that a part should have: similar ones then differ in fewer bits of their sketches than
+    unrelated ones, which differ in about half."""
+    return max(64, int(0.37 * 64 * PARITY_WORDS * (100 + percent) / (2 * (100 - percent)))) if percent < 100 else 1 << 30
+
+
 def part_counts(n: int, percent: int) -> list[int]:
     """Into how many parts a set of n is cut (powers of two): as its own size and as that of the largest neighbour asks."""
-    own = [1 << max(0, (size - 1) // PART_SIZE).bit_length() for size in (n, 100 * n // percent)]
+    most = part_size(percent)
+    own = [1 << max(0, (size - 1) // most).bit_length() for size in (n, 100 * n // percent)]
     return sorted({*own, *(1 << i for i in range(own[0].bit_length(), own[1].bit_length() - 1))})
 
 
@@ -204,28 +216,21 @@ def _region_edges(points: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent
         return np.full(m - 1, points[0]), points[1:]
     order = np.argsort(n, kind="stable")
     points, n, sketch = points[order], n[order], sketch[order]
-    top = np.arange(m)
+    part = np.arange(m)
     a_out, b_out = [], []
-
-    def find(x: int) -> int:
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
     for i in range(m - 1):
         j = int(np.searchsorted(n, (100 * n[i]) // percent, side="right"))
-        if j <= i + 1:
+        others = np.flatnonzero(part[i + 1 : j] != part[i]) + i + 1  # the rest hangs together with it already
+        if not len(others):
             continue
-        total = n[i] + n[i + 1 : j]
+        total = n[i] + n[others]
         room = total - 2 * -(-percent * total // (100 + percent))  # most elements that may differ
-        near = np.flatnonzero(_bits(sketch[i + 1 : j] ^ sketch[i]) <= room) + i + 1
-        for x in near:
-            u, v = find(i), find(int(x))
-            if u != v:
-                top[v] = u
-                a_out.append(points[i])
-                b_out.append(points[x])
+        near = others[_bits(sketch[others] ^ sketch[i]) <= room]
+        found, first = np.unique(part[near], return_index=True)
+        if len(found):
+            a_out += [points[i]] * len(found)
+            b_out += points[near[first]].tolist()
+            part[np.isin(part, found)] = part[i]
     return np.asarray(a_out, np.int64), np.asarray(b_out, np.int64)
 
 
@@ -350,6 +355,28 @@ def voronoi_links(sets: Sets, percent: int, seed: int = 0) -> list[tuple[int, in
                 link(i, int(j))
         return 1 - both / union
 
+    def direct(rows: np.ndarray) -> None:
+        """Compare all of ``rows`` by counting in lists of who has a shingle."""
+        m = len(rows)
+        n = sets.n[rows]
+        _, ids = np.unique(np.concatenate([sets.set_of(int(r)) for r in rows]), return_inverse=True)
+        owner = np.repeat(np.arange(m), n)
+        order = np.argsort(ids, kind="stable")
+        holders, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(ids))])
+        ends = np.cumsum(n)
+        part = np.asarray([find(int(r)) for r in rows])
+        for i in range(m):
+            if (part == part[i]).all():
+                return
+            own = ids[ends[i] - n[i] : ends[i]]
+            times = first[own + 1] - first[own]
+            at = np.repeat(first[own] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+            both = np.bincount(holders[at], minlength=m)
+            for j in np.flatnonzero((100 * both >= percent * (n[i] + n - both)) & (part != part[i])):
+                if part[j] != part[i]:
+                    link(int(rows[i]), int(rows[j]))
+                    part[part == part[j]] = part[i]
+
     rng = np.random.default_rng(seed)
     stack = [(np.arange(len(sets.n)), 0)]
     while stack:
@@ -357,24 +384,20 @@ def voronoi_links(sets: Sets, percent: int, seed: int = 0) -> list[tuple[int, in
         if len({find(int(r)) for r in rows}) < 2:
             continue  # all hang together: nothing to find
         if len(rows) <= LEAF or depth > 40:
-            left = rows[np.argsort(sets.n[rows], kind="stable")]
-            for x in range(len(left) - 1):
-                y = int(np.searchsorted(sets.n[left], 100 * sets.n[left[x]] // percent, side="right"))
-                rest = np.asarray([r for r in left[x + 1 : y] if find(int(r)) != find(int(left[x]))], np.int64)
-                if len(rest):
-                    distances(int(left[x]), rest)
+            direct(rows)
             continue
         pivots = rng.choice(rows, min(4 if depth < 6 else 2, len(rows)), replace=False)
         d = np.stack([distances(int(p), rows) for p in pivots])
         home = d.argmin(axis=0)
         near = d.min(axis=0)
-        cells = []
+        open_ = ~np.isin(rows, pivots)  # a pivot has met every row of this region: it goes on with none of them
+        cells = [rows[open_ & (near >= FAR - radius - 1e-9)]]
         for q in range(len(pivots)):
-            # A pivot has met every row of this region: it goes on with none of them.
-            window = ((home == q) | (d[q] <= near + 2 * radius + 1e-9)) & ~np.isin(rows, pivots)
-            cells.append(rows[window])
-        for c in {tuple(c) for c in cells if len(c) > 1}:
-            stack.append((np.asarray(c, np.int64), depth + 1))
+            cells.append(rows[open_ & (near < FAR) & ((home == q) | (d[q] <= near + 2 * radius + 1e-9))])
+        if sum(map(len, cells)) > SPREAD * len(rows):
+            direct(rows[open_])  # distances vary too little: pivots would only multiply the work
+            continue
+        stack += [(c, depth + 1) for c in cells if len(c) > 1]
     return links
 
 
@@ -425,12 +448,14 @@ def split_family(rows: DataFrame, family: int, percent: int, depth: int) -> tupl
                 union = len(p) + sets.n - both
                 d[q] = 1 - both / union
                 linked |= (100 * both >= percent * union).astype(np.int32) << q
-            windows = d <= d.min(axis=0) + 2 * radius + 1e-9
-            cells = (windows * (1 << np.arange(len(pivots), dtype=np.int32))[:, None]).sum(axis=0).astype(np.int32)
+            near = d.min(axis=0)
+            windows = (d <= near + 2 * radius + 1e-9) & (near < FAR)
+            windows = np.concatenate([windows, (near >= FAR - radius - 1e-9)[None]])  # the last region: far from all
+            cells = (windows * (1 << np.arange(len(windows), dtype=np.int32))[:, None]).sum(axis=0).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("point"), pa.array(linked), pa.array(cells), b.column("values")], ["point", "linked", "cells", "values"])
 
     out = written(own.select("point", "values").mapInArrow(run, "point long, linked int, cells int, values array<long>"), "voronoi")
-    bits = f"filter(sequence(0, {len(names) - 1}), q -> (shiftright({{}}, q) & 1) = 1)"
+    bits = f"filter(sequence(0, {len(names)}), q -> (shiftright({{}}, q) & 1) = 1)"
     name_of = F.array(*[F.lit(n) for n in names])
     met = out.where("linked > 0").select(F.explode(F.expr(bits.format("linked"))).alias("q"), "point")
     links = met.select(F.get(name_of, F.col("q")).alias("a"), F.col("point").alias("b")).where("a <> b")
@@ -515,6 +540,7 @@ def links_of(sized: DataFrame, percent: int) -> DataFrame:
         found = part if found is None else found.union(part)
         if not large:
             return found
+        before = per.where(F.col("__v") > FAMILY_SHINGLES).agg(F.sum("__v")).first()[0]
         nexts = []
         for f in large:
             links, left = split_family(sized, f, percent, depth)
@@ -524,6 +550,8 @@ def links_of(sized: DataFrame, percent: int) -> DataFrame:
         for n in nexts[1:]:
             sized = sized.union(n)
         sized = written(sized.dropDuplicates(["family", "point"]), "family-sets")
+        if (sized.agg(F.sum(F.size("values"))).first()[0] or 0) > 0.9 * before:
+            break  # the pivots split nothing
     return found.union(_block_links(sized, percent))
 
 
@@ -541,5 +569,4 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataF
 
     Rows that repeat an id stay together. Components come from ``jaccard_components``.
     """
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), id_col)
