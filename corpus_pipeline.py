@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import decontaminate, jaccard_join, language, line_dedup, packing
-from folio.llm.common import scratch
+from folio.llm.common import scratch, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,8 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents with one id stand or fall together; of a null id all are judged as one.
     """
-    rejected = language.identify(docs).where("rejected").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti").select(COLUMNS)
+    return without(docs, language.identify(docs).where("rejected").select("doc_id")).select(COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
