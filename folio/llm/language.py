@@ -126,17 +126,17 @@ def fit(train: DataFrame, seed: int = 5) -> Model | None:
             index, value = [], []
             for c in counts(b.column("text")):
                 hit = np.flatnonzero(c)
-                index.append(hit.astype(np.int32))
-                value.append((np.log1p(c[hit]) * idf[hit]).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["lang", "i", "v"])
+                index.append(hit.astype("<i2").tobytes())
+                value.append((np.log1p(c[hit]) * idf[hit]).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["lang", "i", "v"])
 
-    sample = written(drawn.select("text", "lang").limit(SAMPLE_ALL + len(by_lang) * 200).mapInArrow(compact, "lang string, i array<int>, v array<float>"), "language-sample")
+    sample = written(drawn.select("text", "lang").limit(SAMPLE_ALL + len(by_lang) * 200).mapInArrow(compact, "lang string, i binary, v binary"), "language-sample")
     languages, centroids, owner, limits = [], [], [], []
     for lang in sorted(by_lang):
         rows = sample.where(F.col("lang") == lang).select("i", "v").limit(2 * each).collect()
         x = np.zeros((len(rows), DIMENSIONS), np.float32)
         for row, r in zip(x, rows, strict=True):
-            row[r["i"]] = r["v"]
+            row[np.frombuffer(r["i"], "<i2")] = np.frombuffer(r["v"], "<f4")
         norms = np.linalg.norm(x, axis=1, keepdims=True)
         x = x[norms[:, 0] > 0] / norms[norms[:, 0] > 0]
         if not len(x):

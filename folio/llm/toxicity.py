@@ -86,13 +86,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(features(b.column("text")), pa.list_(pa.int32()))], ["doc_id", "y", "f"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([f.astype("<i4").tobytes() for f in features(b.column("text"))], pa.binary())], ["doc_id", "y", "f"])
 
     joined = base.join(F.broadcast(drawn), "doc_id").select("doc_id", F.col("y").cast("double").alias("y"), "text")  # at most SAMPLE_DOCS ids
-    sample = written(joined.mapInArrow(extract, "doc_id long, y double, f array<int>"), "toxicity-sample").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = written(joined.mapInArrow(extract, "doc_id long, y double, f binary"), "toxicity-sample").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows, y = [], []
     for r in sample.toLocalIterator():
-        rows.append(np.asarray(r["f"], np.int32))
+        rows.append(np.frombuffer(r["f"], "<i4"))
         y.append(float(r["y"] > 0))
     model = train_ftrl(rows, np.asarray(y)) if rows else None
     if model is not None:
