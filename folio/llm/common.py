@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folio.session import ship
 
 #: Rows of one Arrow batch; documents may be long, and a batch is held as a whole.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,11 +54,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bytes_in(path_df: DataFrame, column: str) -> int:
-    """Sum of the UTF-8 bytes of a text column, counted where the rows are."""
-    return path_df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
-
-
 def total_vector(parts: DataFrame, size: int, dtype: str) -> np.ndarray:
     """The sum of the vectors in ``parts`` (lot int, v binary of zlib), added up by lots and then in all.
 

@@ -44,7 +44,7 @@ PARITY_WORDS = 8
 #: Members of a coarse region that are compared by sketches (seconds of work); a larger one hangs together as a whole.
 REGION_ROWS = 20_000
 #: Shingles of a family that one task joins; pivots a split takes.
-FAMILY_SHINGLES, SPLIT_PIVOTS = 3_000_000, 8
+FAMILY_SHINGLES, SPLIT_PIVOTS = 1_500_000, 8
 #: Distance from which a point is far from a pivot. Points far from all pivots share one region: by the
 #: nearest of several that have nothing in common with it, a point would lie in all their windows.
 FAR = 0.5

@@ -60,7 +60,7 @@ def test_components_match_brute_force(spark, documents, k, percent):
     assert [got[r.doc_id].n_shingles for r in rows] == [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("bound", [3_000_000, 6000])
+@pytest.mark.parametrize("bound", [1_500_000, 6000])
 def test_families_of_near_copies(spark, monkeypatch, bound):
     """Also where a family is too large for a task and is split by broadcast pivots."""
     monkeypatch.setattr(J, "FAMILY_SHINGLES", bound)
