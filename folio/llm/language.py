@@ -133,7 +133,7 @@ def fit(train: DataFrame, seed: int = 5) -> Model | None:
     sample = written(drawn.select("text", "lang").limit(SAMPLE_ALL + len(by_lang) * 200).mapInArrow(compact, "lang string, i binary, v binary"), "language-sample")
     languages, centroids, owner, limits = [], [], [], []
     for lang in sorted(by_lang):
-        rows = sample.where(F.col("lang") == lang).select("i", "v").limit(2 * each).collect()
+        rows = sorted(sample.where(F.col("lang") == lang).select("i", "v").limit(2 * each).collect())  # in one order for every run
         x = np.zeros((len(rows), DIMENSIONS), np.float32)
         for row, r in zip(x, rows, strict=True):
             row[np.frombuffer(r["i"], "<i2")] = np.frombuffer(r["v"], "<f4")
