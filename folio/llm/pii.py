@@ -4,7 +4,8 @@ Tokens that may belong to personal data (with a digit or an @ in them) form a ch
 tokens with equal or similar content, however far apart, are joined by skip edges. Unary, chain and
 skip potentials are fitted by pseudo-likelihood on a bounded sample labelled by the base patterns.
 Loopy belief propagation over chain and skip edges then makes labels agree across a document: a
-number that is written once in full and later without its plus sign is found both times. What the
+number that is written once in full and later without its plus sign is found both times, whatever
+blanks, brackets, dots or dashes stand between its digits. What the
 base patterns find is observed and never changed; the field only adds.
 """
 
@@ -38,6 +39,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9][0-9.]*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_RUN = re.compile(r"[0-9]+(?:[\x20().-]{1,4}[0-9]+)*")
+_GROUP = re.compile(r"[0-9]+")
 _TOKEN = re.compile(r"[A-Za-z0-9@._%+()-]*[0-9@][A-Za-z0-9@._%+()-]*")
 
 Span = tuple[str, int, int]
@@ -152,6 +155,47 @@ def key_of(t: str) -> str:
     return digits if len(digits) >= 6 else ""
 
 
+def class_of(key: str) -> str:
+    """Keys of one class are alike: numbers agree in their last ten digits, with and without a country."""
+    return key[-10:] if key.isdigit() else key
+
+
+def repeats(text: str, keys: set[str], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of numbers outside ``taken`` that repeat one of ``keys``, however their digits are grouped.
+
+    A repeat is whole groups of a run of digits, blanks, brackets, dots and dashes; runs may hold other
+    numbers too. Its digits are a key's, a key's last ten, or end in those within the first group.
+    """
+    whole = keys | {class_of(k) for k in keys}
+    tails = {class_of(k) for k in keys if len(k) >= 10}
+    most = max(15, *map(len, keys))
+    out: list[tuple[int, int]] = []
+    n = 0
+    for run in _RUN.finditer(text):
+        groups = []
+        for m in _GROUP.finditer(text, run.start(), run.end()):
+            while n < len(taken) and taken[n][1] <= m.start():
+                n += 1
+            free = n == len(taken) or taken[n][0] >= m.end()
+            groups.append((m.start(), m.end(), m[0] if free else ""))
+        i = 0
+        while i < len(groups):
+            digits, end = "", -1
+            for j in range(i, len(groups)):
+                if not groups[j][2] or len(digits) + len(groups[j][2]) > most:
+                    break
+                digits += groups[j][2]
+                if digits in whole or (len(digits) - len(groups[i][2]) < 10 and len(digits) >= 10 and digits[-10:] in tails):
+                    end = j
+            if end < 0:
+                i += 1
+                continue
+            s, e = groups[i][0], groups[end][1]
+            out.append((s - 1 if text[s - 1 : s] == "(" and ")" in text[s:e] else s, e))
+            i = end + 1
+    return out
+
+
 class Graph:
     """Tokens of a document with features, observed labels (-1: none) and edges."""
 
@@ -173,6 +217,23 @@ class Graph:
             else:
                 groups.append((s, e))
                 owner.append(-1)
+        keys = {key_of(text[s:e]) for (s, e), o in zip(groups, owner, strict=True) if o >= 0 and LABELS[spans[o][2]] in ("card", "phone")}
+        if keys - {""}:
+            taken: list[tuple[int, int]] = []
+            for s, e, _ in spans:  # base spans of two kinds may overlap
+                if taken and s < taken[-1][1]:
+                    taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+                else:
+                    taken.append((s, e))
+            nodes, n = [], 0
+            again = repeats(text, keys - {""}, taken)
+            for (s, e), o in zip(groups, owner, strict=True):
+                while n < len(again) and again[n][1] <= s:
+                    n += 1
+                if o >= 0 or n == len(again) or again[n][0] >= e:
+                    nodes.append((s, e, o))
+            nodes = sorted(nodes + [(s, e, -1) for s, e in again])
+            groups, owner = [(s, e) for s, e, _ in nodes], [o for _, _, o in nodes]
         self.spans = groups
         self.seen = np.asarray([spans[o][2] if o >= 0 else -1 for o in owner], np.int64)
         self.x = np.asarray([token_features(text, s, e) for s, e in groups]).reshape(len(groups), N_FEATURES)
@@ -181,11 +242,7 @@ class Graph:
         for j, (s, e) in enumerate(groups):
             key = key_of(text[s:e])
             if key:
-                alike[key].append(j)
-                if len(key) > 10 and key.isdigit():
-                    alike["~" + key[-10:]].append(j)  # similar: a number with and without its country
-                elif len(key) == 10 and key.isdigit():
-                    alike["~" + key].append(j)
+                alike[class_of(key)].append(j)
         pairs = {(a, b) for own in alike.values() for n, a in enumerate(own) for b in own[n + 1 : n + 1 + SKIPS]}
         self.skip = sorted(p for p in pairs if p[0] != p[1])
 

@@ -49,6 +49,30 @@ def test_skip_edges_carry_a_label_across_the_document(spark):
     assert f"phone:{at}:{at + 12}" in got.spans.split(",") and got.n_added == 1 and got.n_phone == 1
 
 
+def _field():
+    """Equal labels across a skip edge, and unaries that prefer none by half."""
+    unary = np.zeros((pii.N_FEATURES, 5))
+    unary[0, 0] = 0.5
+    return unary, np.zeros((5, 5)), pii.SKIP_PRIOR * np.eye(5)
+
+
+def test_repeats_in_each_grouping_are_found():
+    first = "Call +1 (743) 555-3824 now. "
+    for form in ("(743) 555-3824", "743 555 3824", "743-555-3824", "743.555.3824", "743 555-3824", "7435553824", "1 (743) 555-3824", "1-743-555-3824", "(743)555-3824", "0743 555 3824", "743 - 555 - 3824"):
+        for before, after in (("again ", " today"), ("3 rooms, ", ""), ("again 12 ", " today"), ("again 88 ", " 41 and 6")):
+            text = first + "filler " * 50 + before + form + after
+            base = pii.base_spans(text)
+            at = len(first) + 350 + len(before)
+            assert pii.added_spans(text, base, _field()) == [("phone", at, at + len(form))], (form, before)
+    for other in ("(743) 555-3825", "743 555 382", "743 555 38 24x", "555-3824", "743; 555; 3824"):
+        text = first + "filler " * 50 + other
+        got = pii.added_spans(text, pii.base_spans(text), _field())
+        assert bool(got) == (other == "743 555 38 24x"), other
+    card = "4539 1488 0343 6467"
+    text = f"Card {card}. Again 4539.1488.0343.6467 or 7 {card} 9"
+    assert [text[s:e] for k, s, e in pii.added_spans(text, pii.base_spans(text), _field()) if k == "card"] == ["4539.1488.0343.6467", card]
+
+
 def test_beliefs_match_enumeration():
     """On a tree (no loops) message passing is exact."""
     rng = np.random.default_rng(0)
