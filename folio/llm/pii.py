@@ -1,7 +1,8 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds to them.
 
 Tokens that may belong to personal data (with a digit or an @ in them) form a chain in each document;
-tokens with equal or similar content, however far apart, are joined by skip edges. Unary, chain and
+tokens with equal or similar content, however far apart, are joined by skip edges; where a base span is
+among them, each has its edges to base spans, so that no repeat depends on the ones between. Unary, chain and
 skip potentials are fitted by pseudo-likelihood on a bounded sample labelled by the base patterns.
 Loopy belief propagation over chain and skip edges then makes labels agree across a document: a
 number that is written once in full and later without its plus sign is found both times, whatever
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,11 +30,13 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Documents that the field is fitted on, at most, and tokens of one document in the fit.
 SAMPLE_DOCS, SAMPLE_TOKENS = 2000, 400
-#: Belief from which a token becomes a span, and how many skip edges a token has (to the next alike ones).
+#: Belief from which a token becomes a span, and how many skip edges a token has (to the next alike ones,
+#: or on each side to the nearest base span that is alike, where there is one).
 ADD_FROM, SKIPS = 0.6, 2
 #: What the weight of equal labels across a skip edge is drawn to: alike tokens rarely differ, and most samples hold few.
 SKIP_PRIOR = 6.0
-ROUNDS, DAMPING = 8, 0.3
+#: Messages are passed until none changes by more than SETTLED; ROUNDS only ends those that circle.
+ROUNDS, DAMPING, SETTLED = 500, 0.3, 1e-4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -243,25 +247,40 @@ class Graph:
             key = key_of(text[s:e])
             if key:
                 alike[class_of(key)].append(j)
-        pairs = {(a, b) for own in alike.values() for n, a in enumerate(own) for b in own[n + 1 : n + 1 + SKIPS]}
-        self.skip = sorted(p for p in pairs if p[0] != p[1])
+        pairs: set[tuple[int, int]] = set()
+        self.reached = self.seen > 0  # base spans and what is alike to one
+        for own in alike.values():
+            shown = [j for j in own if self.seen[j] > 0]
+            pairs |= {(a, b) for same in ([shown] if shown else [own]) for n, a in enumerate(same) for b in same[n + 1 : n + 1 + SKIPS]}
+            if shown:
+                self.reached[own] = True
+                for j in own:
+                    if self.seen[j] <= 0:
+                        n = bisect(shown, j)
+                        pairs |= {(min(a, j), max(a, j)) for a in shown[max(0, n - 1) : n + 1]}
+        self.skip = sorted(pairs)
 
 
 def fit_field(graphs: list[tuple[np.ndarray, np.ndarray, list, list]], steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unary, chain and skip weights by pseudo-likelihood: each token given its neighbours' labels."""
+    """Unary, chain and skip weights by pseudo-likelihood: each token given its neighbours' labels.
+
+    A label of -2 is unknown: such a token is neither fitted nor a neighbour.
+    """
     n_labels = len(LABELS)
     x = np.concatenate([g[0] for g in graphs])
-    y = np.concatenate([np.maximum(g[1], 0) for g in graphs])
+    y = np.concatenate([g[1] for g in graphs])
+    known = y > -2
+    y = np.maximum(y, 0)
     first = np.cumsum([0] + [len(g[1]) for g in graphs])
     near = []
     for which in (2, 3):
         m = np.zeros((len(y), n_labels))
         for g, at in zip(graphs, first, strict=False):
             for a, b in g[which]:
-                m[at + a, y[at + b]] += 1
-                m[at + b, y[at + a]] += 1
+                m[at + a, y[at + b]] += known[at + b]
+                m[at + b, y[at + a]] += known[at + a]
         near.append(m)
-    feats = np.concatenate([x, *near], axis=1)
+    feats, y = np.concatenate([x, *near], axis=1)[known], y[known]
     n = x.shape[1]
     prior = np.zeros((feats.shape[1], n_labels))
     prior[n + n_labels :] = SKIP_PRIOR * np.eye(n_labels)
@@ -301,7 +320,12 @@ def beliefs(g: Graph, field: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.nd
             top = out.max(axis=1, keepdims=True)
             new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
             new -= new.max(axis=1, keepdims=True)
-            msg = DAMPING * msg + (1 - DAMPING) * new
+            new = DAMPING * msg + (1 - DAMPING) * new
+            new[held[dst]] = 0  # what is observed hears nothing: many repeats together would outweigh it
+            moved = np.abs(new - msg).max()
+            msg = new
+            if moved < SETTLED:
+                break
         node = node.copy()
         np.add.at(node, dst, msg)
     p = np.exp(node - node.max(axis=1, keepdims=True))
@@ -316,12 +340,7 @@ def added_spans(text: str, base: list[Span], field) -> list[Span]:
         return []
     # Skip edges pass on what a base span shows; alike tokens that none of them reaches would only
     # persuade each other.
-    reached = g.seen > 0
-    while True:
-        more = [j for a, b in g.skip for j in (a, b) if (reached[a] or reached[b]) and not reached[j]]
-        if not more:
-            break
-        reached[more] = True
+    reached = g.reached
     if not reached[free].any():
         return []
     p = beliefs(g, field)
@@ -353,7 +372,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     g = Graph(t, spans)
                     m = min(len(g.seen), SAMPLE_TOKENS)
                     inside = [[x for e in edges if max(e) < m for x in e] for edges in (g.chain, g.skip)]
-                    out.append((g.x[:m].ravel(), g.seen[:m], *inside))
+                    # What repeats a base span has no label to learn from: as none it would unlearn the repeats.
+                    label = np.where(g.reached & (g.seen < 0), -2, g.seen)
+                    out.append((g.x[:m].ravel(), label[:m], *inside))
             if out:
                 kinds = (pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["x", "y", "chain", "skip"])

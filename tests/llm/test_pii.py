@@ -73,6 +73,23 @@ def test_repeats_in_each_grouping_are_found():
     assert [text[s:e] for k, s, e in pii.added_spans(text, pii.base_spans(text), _field()) if k == "card"] == ["4539.1488.0343.6467", card]
 
 
+def test_the_number_of_repeats_does_not_matter():
+    for strength in (0.5, 1.0, 2.0):
+        field = _field()
+        field[0][0, 0] = strength
+        for form in ("743-555-3824", "(743) 555-3824"):
+            for n in (1, 7, 20, 100):
+                text = "+1 (743) 555-3824 first" + ", then " * 9 + ("filler " * 9 + form + " ") * n
+                assert len(pii.added_spans(text, pii.base_spans(text), field)) == n, (strength, form, n)
+
+
+def test_repeats_are_no_examples_of_none(spark):
+    """Also where most of the sample's repeats are bare, a fitted field marks them."""
+    text = "+1 (743) 555-3824 first " + ("filler " * 9 + "(743) 555-3824 ") * 30
+    docs = spark.createDataFrame([(i, text.replace("743", str(200 + i))) for i in range(40)], "doc_id long, text string")
+    assert {r.n_added for r in pii.personal_data(docs).collect()} == {30}
+
+
 def test_beliefs_match_enumeration():
     """On a tree (no loops) message passing is exact."""
     rng = np.random.default_rng(0)
