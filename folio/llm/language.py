@@ -4,7 +4,8 @@ A text's vector holds the hashed 2- and 3-grams of its letters (upper-case ASCII
 anything else one blank), log-scaled, weighted by inverse document frequency and normalised. Document
 frequencies count every training document. Each language has several centroids, clusters of a bounded
 sample of its documents; a text takes the language of the centroid with the largest cosine, unless it
-is farther from it than a limit learned per language.
+is farther from it than a limit learned per language and number of distinct n-grams: the similarity of
+prose rises with it, from 0.1 for a word to 0.9 for a page, and a text that repeats a word counts as short.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ DIMENSIONS = 1 << DIMENSIONS_BITS
 #: Documents of one language that its centroids are fitted on, and of all languages.
 SAMPLE_PER_LANGUAGE, SAMPLE_ALL = 1500, 12_000
 CLUSTERS, ROUNDS = 3, 8
-#: A text is rejected below this share of the similarity that all but 1 in 1000 of the sample reach.
+#: A text is rejected below this share of the similarity that all but 1 in 1000 of the sample in its band reach.
 REJECT_SHARE = 0.5
+#: Bands of distinct n-grams (octaves), the least rows to learn a band's limit from (else with those of the
+#: next lower bands), and the n-gram places at which sample texts are also cut, so that short texts are known.
+BANDS, BAND_ROWS, CUTS = DIMENSIONS_BITS + 1, 30, (8, 24, 80, 240)
 TEMPERATURE = 0.05
 
 _MAP = LOWER.copy()
@@ -55,10 +59,12 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return two >> shift, three >> shift, at[offs]
 
 
-def counts(column: pa.Array) -> Iterator[np.ndarray]:
-    """The gram counts of each row."""
+def counts(column: pa.Array, cut: int | None = None) -> Iterator[np.ndarray]:
+    """The gram counts of each row, or of its first ``cut`` places; empty ones for rows of no more than that."""
     two, three, rows = grams(column)
     for a, z in zip(rows[:-1], rows[1:], strict=True):
+        if cut is not None:
+            z = a + cut if z - a > cut else a
         yield np.bincount(two[a : max(a, z - 1)], minlength=DIMENSIONS) + np.bincount(three[a : max(a, z - 2)], minlength=DIMENSIONS)
 
 
@@ -77,16 +83,36 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # a row per centroid
     owner: np.ndarray  # the language of each
-    limits: np.ndarray  # per language, the least similarity that is not rejected
+    limits: np.ndarray  # per language and band, the least similarity that is not rejected
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores (0 to 1) and whether the distance rejects, for each row."""
-        near = vectors(column, self.idf) @ self.centroids.T
+        x = vectors(column, self.idf)
+        band = bands(np.count_nonzero(x, axis=1))
+        near = x @ self.centroids.T
         by = np.stack([near[:, self.owner == i].max(axis=1) for i in range(len(self.languages))], axis=1)
         best = by.argmax(axis=1)
         top = by[np.arange(len(by)), best]
         score = 1 / np.exp((by - top[:, None]) / TEMPERATURE).sum(axis=1)
-        return [self.languages[i] for i in best], score.astype(np.float64), top < self.limits[best]
+        return [self.languages[i] for i in best], score.astype(np.float64), top < self.limits[best, band]
+
+
+def bands(distinct: np.ndarray) -> np.ndarray:
+    """The band of each number of distinct n-grams."""
+    return np.log2(np.maximum(distinct, 1)).astype(np.int64)
+
+
+def band_limits(band: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The limit of each band, from the bands and similarities of a language's sample."""
+    out = []
+    for b in range(BANDS):
+        own = band == b
+        for other in (*range(b - 1, -1, -1), *range(b + 1, BANDS)):
+            if own.sum() >= BAND_ROWS:
+                break
+            own |= band == other
+        out.append(REJECT_SHARE * float(np.quantile(near[own], 0.001)))
+    return np.asarray(out)
 
 
 def clusters(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -123,17 +149,19 @@ def fit(train: DataFrame, seed: int = 5) -> Model | None:
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            index, value = [], []
-            for c in counts(b.column("text")):
-                hit = np.flatnonzero(c)
-                index.append(hit.astype("<i2").tobytes())
-                value.append((np.log1p(c[hit]) * idf[hit]).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["lang", "i", "v"])
-
-    sample = written(drawn.select("text", "lang").limit(SAMPLE_ALL + len(by_lang) * 200).mapInArrow(compact, "lang string, i binary, v binary"), "language-sample")
+            for cut in (None, *CUTS):
+                index, value = [], []
+                for c in counts(b.column("text"), cut):
+                    hit = np.flatnonzero(c)
+                    index.append(hit.astype("<i2").tobytes())
+                    value.append((np.log1p(c[hit]) * idf[hit]).astype("<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([cut or 0] * len(b), pa.int32()), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["lang", "cut", "i", "v"])
+
+    sample = written(drawn.select("text", "lang").limit(SAMPLE_ALL + len(by_lang) * 200).mapInArrow(compact, "lang string, cut int, i binary, v binary"), "language-sample")
     languages, centroids, owner, limits = [], [], [], []
     for lang in sorted(by_lang):
-        rows = sorted(sample.where(F.col("lang") == lang).select("i", "v").limit(2 * each).collect())  # in one order for every run
+        own = sample.where(F.col("lang") == lang)
+        rows = sorted(own.where("cut = 0").select("i", "v").limit(2 * each).collect())  # in one order for every run
         x = np.zeros((len(rows), DIMENSIONS), np.float32)
         for row, r in zip(x, rows, strict=True):
             row[np.frombuffer(r["i"], "<i2")] = np.frombuffer(r["v"], "<f4")
@@ -142,7 +170,12 @@ def fit(train: DataFrame, seed: int = 5) -> Model | None:
         if not len(x):
             continue
         c = clusters(x, CLUSTERS, seed)
-        limits.append(REJECT_SHARE * float(np.quantile((x @ c.T).max(axis=1), 0.001)))
+        band, near = [bands(np.count_nonzero(x, axis=1))], [(x @ c.T).max(axis=1)]
+        for r in own.where("cut > 0 and length(i) > 0").select("i", "v").limit(2 * each * len(CUTS)).collect():
+            at, v = np.frombuffer(r["i"], "<i2"), np.frombuffer(r["v"], "<f4")
+            band.append(bands(np.asarray([len(at)])))
+            near.append(np.asarray([(c[:, at] @ v).max() / max(float(np.linalg.norm(v)), 1e-12)]))
+        limits.append(band_limits(np.concatenate(band), np.concatenate(near)))
         owner += [len(languages)] * len(c)
         languages.append(lang)
         centroids.append(c)
@@ -158,7 +191,7 @@ def identify(docs: DataFrame, fold: int = 2, folds: int = 4, id_col: str = "doc_
     Learns from documents with text and language whose crc32(id as text) mod ``folds`` is not
     ``fold``; a null id is held out. ``und`` (score 0, rejected) is given to null texts, texts without
     a letter, and all texts if there is nothing to learn from. ``rejected`` marks texts whose distance
-    to every centroid is beyond the limit of the nearest one's language. Repeated rows have a row each.
+    to every centroid is beyond the limit of the nearest one's language for texts of as many n-grams. Repeated rows have a row each.
     Other columns are not read.
     """
     spark = docs.sparkSession

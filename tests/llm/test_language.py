@@ -1,3 +1,5 @@
+import base64
+import random
 import zlib
 
 import numpy as np
@@ -51,3 +53,27 @@ def test_far_texts_are_rejected(spark, documents):
     far = spark.createDataFrame([(10**6, "机器学习是人工智能的一个分支。" * 20, None)], "doc_id long, text string, lang string")
     got = language.identify(documents.select("doc_id", "text", "lang").union(far)).where("doc_id = 1000000").first()
     assert got.rejected
+
+
+ITALIAN = """Quel ramo del lago di Como, che volge a mezzogiorno, tra due catene non interrotte di monti, tutto a seni e
+a golfi, a seconda dello sporgere e del rientrare di quelli, vien, quasi a un tratto, a ristringersi, e a prender corso e
+figura di fiume, tra un promontorio a destra, e un'ampia costiera dall'altra parte; e il ponte, che ivi congiunge le due
+rive, par che renda ancor più sensibile all'occhio questa trasformazione, e segni il punto in cui il lago cessa, e l'Adda
+rincomincia, per ripigliar poi nome di lago dove le rive, allontanandosi di nuovo, lascian l'acqua distendersi e
+rallentarsi in nuovi golfi e in nuovi seni. La costiera, formata dal deposito di tre grossi torrenti, scende appoggiata a
+due monti contigui, l'uno detto di san Martino, l'altro, con voce lombarda, il Resegone, dai molti suoi cocuzzoli in
+fila, che in vero lo fanno somigliare a una sega."""
+
+
+def test_long_texts_of_no_learned_language_are_rejected_and_short_clean_ones_stay(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    far = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (100, 200, 2000)]
+    far += [base64.b64encode(rng.randbytes(n)).decode() for n in (1100, 20_000)] + [ITALIAN]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = [(10**6 + i, t, None) for i, t in enumerate(far)]
+    clean = [r for r in docs.where("length(text) > 400").orderBy("doc_id").collect() if len(set(r.text.split())) > 60][:200]
+    rows += [(2 * 10**6 + 1000 * n + i, " ".join(r.text.split()[:n]), None) for n in (3, 8, 40) for i, r in enumerate(clean)]
+    got = language.identify(docs.union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).where("doc_id >= 1000000").collect()
+    assert [r.doc_id for r in got if r.doc_id < 2 * 10**6 and not r.rejected] == []
+    assert sum(r.rejected for r in got if r.doc_id >= 2 * 10**6) <= 3
