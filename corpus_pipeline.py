@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import decontaminate, jaccard_join, language, line_dedup, packing
-from folio.llm.common import scratch, without
+from folio.llm.common import row_key, scratch, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,9 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go: no text, no letter, or too far from every language.
 
-    Documents with one id stand or fall together; of a null id all are judged as one.
+    Each row is judged by its own text, also where ids repeat or are null.
     """
-    return without(docs, language.identify(docs).where("rejected").select("doc_id")).select(COLUMNS)
+    keyed = docs.withColumn("__row", row_key())
+    return without(keyed, language.identify(keyed, key_col="__row").where("rejected").select("__row"), "__row").select(COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that the Jaccard join connects (five-word shingles, 0.8 or more), the least id stays."""
-    return jaccard_join.keep_one(docs, jaccard_join.jaccard_components(docs, percent=80, k=5)).select(COLUMNS)
+    """Of documents that the Jaccard join connects (five-word shingles, 0.8 or more), one row stays, of the least id."""
+    return jaccard_join.one_of_each(docs, percent=80, k=5).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,11 @@ def id_fold(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """A 64-bit key of id and text: rows have one key only if they are equal in both."""
+    return F.xxhash64(id_col, text_col)
+
+
 #: Bytes of a table of ids (16 each) up to which it is broadcast to the documents it takes away.
 BROADCAST_BYTES = 8 << 20
 

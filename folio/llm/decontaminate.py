@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import small_batches, without
+from folio.llm.common import row_key, small_batches, without
 from folio.llm.hashing import LOWER, NON_WORD, U64, mix, text_bytes
 
 Q, EDIT_SHARE = 8, 0.1
@@ -223,6 +223,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, id_c
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; documents with a null id are kept only
-    if no document with a null id has a leak."""
-    return without(docs, leaks(docs, benchmark, id_col=id_col, **columns).select("doc_id"), id_col)
+    """``docs`` without the rows that hold a benchmark item, each judged by its own text."""
+    keyed = docs.withColumn("__row", row_key(id_col, columns.get("text_col", "text")))
+    return without(keyed, leaks(keyed, benchmark, id_col="__row", **columns).select("doc_id"), "__row").drop("__row")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import small_batches, without, written
+from folio.llm.common import row_key, small_batches, without, written
 from folio.llm.hashing import U64, mix, shingle_sets, shingles, text_bytes, word_hashes, words
 
 SHINGLE_WORDS, PERCENT = 3, 90
@@ -570,3 +570,26 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataF
     Rows that repeat an id stay together. Components come from ``jaccard_components``.
     """
     return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), id_col)
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of the Jaccard join; rows without words all stay.
+
+    Each row counts for itself, also where ids repeat or are null. The row with the least id stays
+    (null first, ties by key of id and text); of rows equal in both, the least in all columns.
+    """
+    keyed = docs.withColumn("__row", row_key(id_col, text_col))
+    found = jaccard_components(keyed, percent, k, "__row", text_col).where("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
+    found = written(found.select(F.col("doc_id").alias("__row"), "component", "n"), "row-components")
+    # Only components of several keys need their ids.
+    several = found.groupBy("component").agg(F.count("*").alias("m")).where("m > 1").select("component")
+    near = found.join(several, "component").select("__row", "component")
+    ids = keyed.select("__row", F.col(id_col).alias("__id")).join(near, "__row").distinct()
+    stays = ids.groupBy("component").agg(F.min(F.struct("__id", "__row"))["__row"].alias("__stays"))
+    left = without(keyed, near.join(stays, "component").where("__row <> __stays").select("__row"), "__row")
+    again = found.where("n > 1").select(F.col("__row").alias("__again"))
+    again = written(again, "equal-rows")
+    side = F.broadcast(again) if 16 * again.count() <= BROADCAST_BYTES else again
+    marked = left.join(side, F.col("__row") == F.col("__again"), "left")
+    least = marked.where("__again is not null").groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return marked.where("__again is null").select(docs.columns).unionByName(least)

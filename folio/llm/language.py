@@ -185,8 +185,8 @@ def fit(train: DataFrame, seed: int = 5) -> Model | None:
 OUT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
-def identify(docs: DataFrame, fold: int = 2, folds: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, rejected.
+def identify(docs: DataFrame, fold: int = 2, folds: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", key_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score, rejected, and key_col (a long) if it is named.
 
     Learns from documents with text and language whose crc32(id as text) mod ``folds`` is not
     ``fold``; a null id is held out. ``und`` (score 0, rejected) is given to null texts, texts without
@@ -197,7 +197,8 @@ def identify(docs: DataFrame, fold: int = 2, folds: int = 4, id_col: str = "doc_
     spark = docs.sparkSession
     small_batches(spark, 500)
     out_of = F.coalesce(id_fold(id_col, folds) == fold, F.lit(True))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), out_of.alias("held_out"))
+    keys = [] if key_col is None else [key_col]
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), out_of.alias("held_out"), *keys)
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     model = fit(base.where(~F.col("held_out") & F.col("lang").isNotNull() & lettered).select("doc_id", "text", "lang"))
     shared = spark.sparkContext.broadcast(model)  # centroids: languages * CLUSTERS * DIMENSIONS floats
@@ -213,6 +214,6 @@ def identify(docs: DataFrame, fold: int = 2, folds: int = 4, id_col: str = "doc_
                 for i, letter in enumerate(b.column("lettered").to_pylist()):
                     if not letter:
                         langs[i], score[i], far[i] = "und", 0.0, True
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs), pa.array(score), pa.array(far)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs), pa.array(score), pa.array(far), *(b.column(c) for c in keys)], ["doc_id", "held_out", "lang_pred", "score", "rejected", *keys])
 
-    return base.select("doc_id", "held_out", lettered.alias("lettered"), "text").mapInArrow(run, OUT)
+    return base.select("doc_id", "held_out", lettered.alias("lettered"), "text", *keys).mapInArrow(run, OUT + "".join(f", {c} long" for c in keys))

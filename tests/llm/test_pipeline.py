@@ -27,3 +27,26 @@ def test_odd_rows(spark, odd, none):
     for _, stage in pipeline.STAGES:
         assert stage(spark, odd, "/root/testdata/sf0.001").count() <= 2 * len(ODD) + 60
         assert stage(spark, none, "/root/testdata/sf0.001").count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(pipeline.COLUMNS)
+    words = [" ".join(t.split()[:120]) for t in ("".join(chr(97 + (i * j * 7 + i // 3) % 26) + (" " if i % 5 == 4 else "") for i in range(900)) for j in (1, 2, 3, 4))]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    clean = [r.text for r in docs.where("lang = 'en' and length(text) > 1500").orderBy("doc_id").limit(2).collect()]
+
+    def rows(*pairs):
+        return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in pairs], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def left(stage, *pairs):
+        return sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in stage(spark, rows(*pairs), sf).collect())
+
+    mixed = docs.unionByName(rows((None, clean[0]), (None, "123 456"), (10**6, clean[1]), (10**6, "!!!")))
+    got = pipeline.language_id(spark, mixed, sf).where("doc_id is null or doc_id = 1000000").collect()
+    assert sorted(r.text for r in got) == sorted(clean)
+    leak = f"{words[1]} {item} {words[2]}"
+    assert left(pipeline.decontamination, (None, words[0]), (None, leak), (5, words[3]), (5, leak)) == [(-1, words[0]), (5, words[3])]
+    near = words[0] + " more"
+    pairs = [(None, words[0]), (None, near), (7, words[1]), (7, words[1]), (7, words[2]), (9, words[2]), (8, words[3]), (6, words[3] + " x")]
+    assert left(pipeline.near_duplicates, *pairs) in ([(-1, t), (6, words[3] + " x"), *sorted([(7, words[1]), (7, words[2])])] for t in (words[0], near))
