@@ -139,11 +139,11 @@ def parts_of(s: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
             yield (m << 32) + int(j), s[home == U64(j)] if m > 1 else s
 
 
-POINT = "doc_id long, n long, s1 long, s2 long, parts array<struct<part: long, n: long, parity: array<long>, pivots: array<long>>>"
+POINT = "doc_id long, text_key long, n long, s1 long, s2 long, parts array<struct<part: long, n: long, parity: array<long>, pivots: array<long>>>"
 
 
 def document_sets(docs: DataFrame, levels: bytes, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, s1, s2, parts): size and digest of each document's set, and the pivot windows of its parts."""
+    """(doc_id, text_key, n, s1, s2, parts): a digest of the text, size and digest of each document's set, and the pivot windows of its parts."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(levels)  # 2**SKETCH_BITS bytes
     part_type = pa.list_(pa.struct([("part", pa.int64()), ("n", pa.int64()), ("parity", pa.list_(pa.int64())), ("pivots", pa.list_(pa.int64()))]))
@@ -173,9 +173,9 @@ def document_sets(docs: DataFrame, levels: bytes, k: int, percent: int, id_col:
                 pa.ListArray.from_arrays(pa.array(lengths), pa.array(_signed(np.concatenate([np.zeros(0, U64), *pivots])))),
             ]
             parts = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(part_type.value_type)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), parts], ["doc_id", "n", "s1", "s2", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), parts], ["doc_id", "text_key", "n", "s1", "s2", "parts"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, POINT)
 
 
@@ -488,7 +488,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     levels = frequency_levels(docs, k, text_col)
     rows = written(document_sets(docs, levels, k, percent, id_col, text_col), "sets")
     real = rows.where("n > 0").withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    points = real.groupBy("s1", "s2", "n").agg(F.min("__id").alias("id"), F.first("parts").alias("parts"))
+    # The text of a point is that of its least id; ids may repeat with other texts, so it is named with it.
+    points = real.groupBy("s1", "s2", "n").agg(F.min(F.struct("__id", "text_key")).alias("__of"), F.first("parts").alias("parts")).select("s1", "s2", "n", F.col("__of.__id").alias("id"), F.col("__of.text_key").alias("text_key"), "parts")
     # Two sets can share a least id where ids repeat: points are named by the digest.
     points = written(points.withColumn("point", F.xxhash64("s1", "s2", "n")), "points")
 
@@ -497,7 +498,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     edges = family_edges(shared.join(sketches, ["point", "part"]), percent)
     families = written(components(edges, "families"), "family-of").select("point", F.col("component").alias("family"))
 
-    members = written(points.select("point", "id").join(families, "point").select("point", "family", F.col("id").alias("doc_id")), "members")
+    members = written(points.select("point", "id", "text_key").join(families, "point").select("point", "family", F.col("id").alias("doc_id"), "text_key"), "members")
     links = written(all_links(docs, members, percent, k, id_col, text_col), "links")
     linked = components(links, "components")
     named = points.select("point", "s1", "s2", "n", "id").join(linked, "point", "left").withColumn("component", F.coalesce("component", "point"))
@@ -512,11 +513,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
 
 
 def all_links(docs: DataFrame, members: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Verified spanning links of all families; ``members``: point, family, doc_id that has the point's text."""
-    wanted = members.select(F.col("doc_id").alias("__m"), "family", "point")
+    """Verified spanning links of all families; ``members``: point, family, doc_id and text_key (xxhash64) of the point's text."""
+    wanted = members.select(F.col("doc_id").alias("__m"), F.col("text_key").alias("__t"), "family", "point")
     n = members.count()
-    side = F.broadcast(wanted) if 24 * n <= BROADCAST_BYTES else wanted
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__m"), F.col(text_col).alias("text")).join(side, "__m")
+    side = F.broadcast(wanted) if 32 * n <= BROADCAST_BYTES else wanted
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__m"), F.xxhash64(text_col).alias("__t"), F.col(text_col).alias("text")).join(side, ["__m", "__t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -525,6 +526,8 @@ def all_links(docs: DataFrame, members: DataFrame, percent: int, k: int, id_col:
 
     made = texts.select("family", "point", "text").mapInArrow(run, "family long, point long, values array<long>")
     sized = written(made.where(F.size("values") > 0), "family-sets")
+    if sized.count() > n:  # rows equal in id and text gave the same set
+        sized = written(sized.dropDuplicates(["family", "point"]), "family-sets")
     return links_of(sized, percent)
 
 

@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts, and those without words, are classes of their own. Rows that repeat an id have a row each.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,16 +183,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 point.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
                 sig = signature(s)
                 banded.append([int.from_bytes(hashlib.blake2b(bytes([i]) + sig[i * rows : (i + 1) * rows].tobytes(), digest_size=8).digest(), "little", signed=True) for i in range(bands)] if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(point, pa.int64()), pa.array(banded, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "point", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(point, pa.int64()), pa.array(banded, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "point", "bands"])
 
-    told = written(source.mapInArrow(describe, "doc_id long, n_shingles long, point long, bands array<long>"), "minhash-points")
-    points = told.where("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    told = written(source.mapInArrow(describe, "doc_id long, text_key long, n_shingles long, point long, bands array<long>"), "minhash-points")
+    points = told.where("n_shingles > 0").groupBy("point").agg(F.min(F.struct("doc_id", "text_key")).alias("of"), F.first("bands").alias("bands"))
+    points = points.select("point", F.col("of.doc_id").alias("id"), F.col("of.text_key").alias("text_key"), "bands")
     points = written(points, "minhash-distinct")
     buckets = points.select("point", F.explode("bands").alias("h"))
     least = buckets.groupBy("h").agg(F.min("point").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     edges = buckets.join(least, "h").where("point <> a").select("a", F.col("point").alias("b")).distinct()
     families = written(components(edges, "minhash-families"), "minhash-family-of").select("point", F.col("component").alias("family"))
-    members = written(points.join(families, "point").select("point", "family", F.col("id").alias("doc_id")), "minhash-members")
+    members = written(points.join(families, "point").select("point", "family", F.col("id").alias("doc_id"), "text_key"), "minhash-members")
     links = written(all_links(docs, members, percent, k, id_col, text_col), "minhash-links")
     linked = components(links, "minhash-components")
     named = points.select("point", "id").join(linked, "point", "left").withColumn("component", F.coalesce("component", "point"))

@@ -142,3 +142,23 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.point: r.component for r in J.components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_ids_that_repeat_with_other_texts(spark, monkeypatch):
+    """Texts are points of their own under one id, or under none; and a point is not met once a row of its id."""
+    texts = _chain(60, 21)
+    ids = [None if i % 3 == 0 else 5 if i % 3 == 1 else i for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)) + [(5, texts[1])] * 3, "doc_id long, text string")
+    sets = _sets(texts, 3)
+    parts = _brute(range(len(texts)), sets, 90)
+    low = {}
+    for i, p in parts.items():
+        low[p] = min(low.get(p, 10**6), -1 if ids[i] is None else ids[i])
+    want = sorted((-1 if i is None else i, len(s), low[parts[n]]) for n, (i, s) in enumerate(zip(ids, sets, strict=True)))
+    want = sorted(want + [(5, len(sets[1]), low[parts[1]])] * 3)
+    held = []
+    links_of = J.links_of
+    monkeypatch.setattr(J, "links_of", lambda sized, percent: (held.append((sized.count(), sized.select("point").distinct().count())), links_of(sized, percent))[1])
+    got = J.jaccard_components(docs).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == want
+    assert held and all(rows == points for rows, points in held)
