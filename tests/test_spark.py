@@ -147,3 +147,10 @@ def test_streams(spark, tmp_path):
     counted = streaming.kind_counts(streaming.parsed_stream(streaming.read_stream(spark, src))).writeStream.format("memory").queryName("kinds").outputMode("complete").trigger(availableNow=True).start()
     counted.awaitTermination(60)
     assert {r.kind: r.n for r in spark.table("kinds").collect()} == {"Heading": 20, "Paragraph": 20}
+
+
+def test_words_of_documents_with_markup(spark, tmp_path):
+    rows = [(1, "*a* **b c**"), (2, 'see [the link](http://x "t") now'), (3, "`code x` &amp; y \\[z"), (4, "- one two\n- three\n"), (5, ""), (6, "plain\twords here"), (7, None), (8, "# A head!\n\n| a | b c |\n|---|---|\n| d | ~~e~~ |\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.words for r in catalogue.QUERIES["md_word_count_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: 3, 2: 4, 3: 5, 4: 3, 5: 0, 6: 3, 7: 0, 8: 7}
