@@ -35,8 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
+    """Rows that hold a benchmark item go, each judged by its own text."""
+    keyed = docs.withColumn("__row", row_key())
+    return decontaminate.without_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row").select(COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
