@@ -488,7 +488,7 @@ def md_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey::BIGINT AS doc_id, 16 AS subtree FROM nation")
 def md_subtree_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.parse_blocks(C.ragged_tables(spark, sf_dir), kinds={"Table"}).select("doc_id", (R.subtree_size() - 0).alias("subtree")).withColumn("subtree", F.col("subtree") - 1)
+    return R.parse_blocks(C.ragged_tables(spark, sf_dir), kinds={"Table"}).select("doc_id", R.subtree_size().alias("subtree"))
 
 
 # ------------------------------------------------------------------ HTML, dialects
