@@ -1,22 +1,29 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds to them.
 
-Tokens that may belong to personal data (with a digit or an @ in them) form a chain in each document;
-tokens with equal or similar content, however far apart, are joined by skip edges; where a base span is
-among them, each has its edges to base spans, so that no repeat depends on the ones between. Unary, chain and
-skip potentials are fitted by pseudo-likelihood on a bounded sample labelled by the base patterns.
-Loopy belief propagation over chain and skip edges then makes labels agree across a document: a
-number that is written once in full and later without its plus sign is found both times, whatever
-blanks, brackets, dots or dashes stand between its digits. What the
-base patterns find is observed and never changed; the field only adds.
+Nodes of a document are its base spans and what else may be personal data: numbers in any grouping,
+addresses in any spelling (``name (at) host.tld``, ``1[.]2[.]3[.]4``). Neighbours within CHAIN_GAP
+characters form a chain; nodes with equal or similar content, however far apart, are joined by skip
+edges; where a base span is among them, each has its edges to base spans, so that no repeat depends on the ones between.
+
+Unary, chain and skip potentials are fitted by pseudo-likelihood on a bounded sample labelled by the
+base patterns. As the patterns know one spelling only, a copy of each sampled text is spelled anew:
+``respelled`` writes some of its base spans in another form that keeps the label, and puts decoys
+(dates, decimals, serial numbers) in the place of others. Loopy belief propagation over chain and
+skip edges then makes labels agree across a document. What the base patterns find is observed and
+never changed; the field only adds: a node that a skip edge joins to a base span from a belief of
+ADD_FROM, any other from ALONE_FROM.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +35,21 @@ from folio.llm.common import small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Documents that the field is fitted on, at most, and tokens of one document in the fit.
-SAMPLE_DOCS, SAMPLE_TOKENS = 2000, 400
-#: Belief from which a token becomes a span, and how many skip edges a token has (to the next alike ones,
-#: or on each side to the nearest base span that is alike, where there is one).
-ADD_FROM, SKIPS = 0.6, 2
+#: Documents that the field is fitted on, at most, and neighbouring nodes of one (at a random place in it).
+SAMPLE_DOCS, SAMPLE_NODES = 2000, 400
+#: Copies of a sampled text that are spelled anew.
+RESPELLINGS = 3
+#: Belief from which a node becomes a span, if a skip edge leads from it to a base span, and if none does.
+ADD_FROM, ALONE_FROM = 0.6, 0.9
+#: Skip edges of a node where no base span is alike: to the next alike ones (which join all of them in a row).
+#: Where one is, a node has an edge to the nearest base span on each side.
+SKIPS = 2
+#: Characters between neighbours of the chain, at most; behind a longer gap a new chain begins.
+CHAIN_GAP = 40
 #: What the weight of equal labels across a skip edge is drawn to: alike tokens rarely differ, and most samples hold few.
 SKIP_PRIOR = 6.0
 #: Messages are passed until none changes by more than SETTLED; ROUNDS only ends those that circle.
-ROUNDS, DAMPING, SETTLED = 500, 0.3, 1e-4
+ROUNDS, DAMPING, SETTLED = 500, 0.2, 1e-2
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -45,7 +58,17 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _RUN = re.compile(r"[0-9]+(?:[\x20().-]{1,4}[0-9]+)*")
 _GROUP = re.compile(r"[0-9]+")
-_TOKEN = re.compile(r"[A-Za-z0-9@._%+()-]*[0-9@][A-Za-z0-9@._%+()-]*")
+#: A word with an @, a number with a few digits between single separators, and spelled-out addresses.
+_WORD = re.compile(r"(?<![A-Za-z0-9@._%+-])[A-Za-z0-9._%+-]*@[A-Za-z0-9@._%+-]*")
+_NUMBER = re.compile(r"(?<![A-Za-z0-9])(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]+(?:(?:[\x20.-]|[\x20.-]?\([0-9]{1,4}\)[\x20.-]?)[0-9]+)*(?![A-Za-z0-9])")
+_QUAD = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\x20?[\[({]\x20?(?:\.|dot)\x20?[\])}]\x20?|\x20\.\x20|\x20dot\x20)[0-9]{1,3}){3}(?![0-9])", re.I)
+_PLAIN_QUAD = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
+_SPELLED = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\x20?[\[({]\x20?at\x20?[\])}]\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20)[A-Za-z0-9-]+)+"
+    r"|\x20at\x20[A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+)+)", re.I,
+)
+#: What any node holds (as Arrow's expressions have it): other texts have none.
+_ANY_NODE = r"[0-9@]|(?i)[\[({] ?at ?[\])}]| dot "
 
 Span = tuple[str, int, int]
 
@@ -115,46 +138,192 @@ def joined(spans: list[Span]) -> str:
 
 
 # ------------------------------------------------------------------ the field
-def tokens_of(text: str) -> list[tuple[int, int]]:
-    """(start, end) of tokens with a digit or an @, without brackets and stops around them."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        s, e = m.span()
-        while s < e and text[s] in "().,-_%":
-            s += 1
-        while e > s and text[e - 1] in "().,-_%+":
-            e -= 1
-        if s < e:
-            out.append((s, e))
-    return out
-
-
-N_FEATURES = 16
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what may be personal data, apart from base spans; they don't overlap.
 
-
-def token_features(text: str, s: int, e: int) -> np.ndarray:
-    t = text[s:e]
-    digits = sum(c.isdigit() for c in t)
-    letters = sum(c.isalpha() for c in t)
+    A run of numbers with blanks between is one candidate if its digits are grouped by 3, 3 and 4
+    (behind a country's number, maybe). Of others, each number of seven digits or more stands alone; a run
+    of shorter ones is one candidate if it has 7 to 19 digits in groups of two to four (the first of
+    one as well). Shorter numbers are no personal data of these kinds.
+    """
+    low = text.lower()
+    out = [m.span() for m in _SPELLED.finditer(text)] if "at" in low else []
+    if "." in text or "dot" in low:
+        out += [m.span() for m in _QUAD.finditer(text)]
+    if "@" in text:
+        out += [m.span() for m in _WORD.finditer(text)]
+    for m in _NUMBER.finditer(text):
+        groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
+        if sum(e - s for s, e in groups) < 7:
+            continue
+        parts: list[list[tuple[int, int]]] = []
+        for g in groups:
+            # A blank parts numbers, but for one behind a bracket.
+            if parts and "\x20" not in text[parts[-1][-1][1] : g[0]].replace(") ", ")"):
+                parts[-1].append(g)
+            else:
+                parts.append([g])
+        sizes = [sum(e - s for s, e in p) for p in parts]
+        if [e - s for s, e in groups[-3:]] == [3, 3, 4] and (len(groups) == 3 or (len(groups) == 4 and groups[0][1] - groups[0][0] <= 3)):
+            parts = [groups]
+            sizes = [sum(sizes)]
+        elif max(sizes) < 7:
+            even = all(2 <= e - s <= 4 for s, e in groups[1:]) and groups[0][1] - groups[0][0] <= 4
+            parts = [groups] if sum(sizes) <= 19 and even else []
+            sizes = [sum(sizes)]
+        for p, n in zip(parts, sizes, strict=False):
+            if n >= 7:
+                s, e = p[0][0], p[-1][1]
+                out.append((s - 1 if text[s - 1 : s] == "(" and s > m.start() and ")" in text[s:e] else s, e))
+    out.sort()
+    kept: list[tuple[int, int]] = []
+    for s, e in out:
+        if not kept or s >= kept[-1][1]:
+            kept.append((s, e))
+    return kept
+
+
+N_FEATURES = 27
+
+
+@lru_cache(maxsize=1 << 14)
+def node_features(t: str) -> np.ndarray:
+    """Bias, signs, digits and their groups, and what only numbers of a kind have (Luhn's sum, parts up to 255)."""
+    groups = _GROUP.findall(t)
+    sizes = [len(g) for g in groups]
+    digits, letters = sum(sizes), sum(c.isalpha() for c in t)
+    quad = _QUAD.fullmatch(t) is not None or _PLAIN_QUAD.fullmatch(t) is not None
+    checked = 16 <= digits <= 19 and not letters and luhn("".join(groups))
+    year = any(len(g) == 4 and g[:2] in ("19", "20") for g in groups[:3])
     x = np.zeros(N_FEATURES)
     x[0] = 1
     x[1] = "@" in t
-    x[2] = t.count(".") == 3 and not letters
+    x[2] = _SPELLED.fullmatch(t) is not None
     x[3] = "." in t
     x[4] = t.startswith("+")
     x[5] = "-" in t
-    x[6 + min(5, digits // 4)] = 1  # digits by fours, 20 or more together
-    x[12] = digits == len(t)
-    x[13] = letters > digits
-    x[14] = s > 0 and text[s - 1] == "("
-    x[15] = e < len(text) and text[e] == ")"
+    x[6 + min(6, digits // 3)] = 1  # digits by threes, 18 or more together
+    x[13] = len(groups) == 1
+    x[14] = letters > digits
+    x[15] = "(" in t and ")" in t and not letters
+    x[16] = checked
+    x[17] = 16 <= digits <= 19 and not checked
+    x[18] = quad and all(int(g) <= 255 for g in groups)
+    x[19] = 3 <= len(groups) <= 5 and sizes[-2:] == [3, 4]
+    x[20] = len(groups) >= 4 and set(sizes[:3]) == {4}
+    x[21] = year and 3 <= len(groups) <= 6 and sum(n == 2 for n in sizes) >= 2  # a date, maybe with its time
+    x[22] = len(groups) == 2 and "." in t
+    x[23] = digits in (10, 11) and len(groups) > 1
+    x[24] = digits in (10, 11) and len(groups) == 1
+    x[25] = "@" in t and _DOMAIN.match(t, t.rfind("@") + 1) is None
+    x[26] = digits in (7, 8, 9)
     return x
 
 
+# ------------------------------------------------------------------ other spellings, to learn from
+def other_spelling(kind: str, t: str, rng: random.Random) -> str:
+    """A base span as people write it where they don't write the pattern."""
+    groups = _GROUP.findall(t)
+    if kind == "email":
+        name, host = t.split("@", 1)
+        at, dot = rng.choice((("(at)", "."), (" (at) ", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" at ", " dot "), ("{at}", "{dot}"), (" (at) ", " (dot) ")))
+        return name + at + host.replace(".", dot)
+    if kind == "ip":
+        return rng.choice(("[.]", "(.)", "[dot]", " . ", " dot ", "(dot)")).join(groups)
+    digits = "".join(groups)
+    if kind == "card":
+        return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    tail = digits[-10:]
+    if len(tail) < 10:
+        return digits
+    a, b, c = tail[:3], tail[3:6], tail[6:]
+    return rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}){b}-{c}", f"1-{a}-{b}-{c}", f"1 ({a}) {b}-{c}", f"{a} {b}-{c}"))
+
+
+def decoy(rng: random.Random) -> str:
+    """A number that is nobody's: a date, a decimal, a version, a serial number, an amount, a range of years."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    date = f"{rng.choice(('19', '20'))}{d(2)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+    while luhn(serial := rng.choice("123456789") + d(15)):
+        pass
+    return rng.choice((date, f"{date} {rng.randint(0, 23):02}", date.replace("-", "."), f"{d(1)}.{d(rng.randint(6, 14))}", serial, d(rng.randint(7, 15)), f"{d(4)}-{d(4)}", f"{d(3)} {d(3)} {d(3)}", f"@{rng.choice(('home', 'work', 'all'))}{d(2)}", f"{d(5)}-{d(4)}", f"{d(2)}-{d(7)}"))
+
+
+def respelled(text: str, base: list[Span], rng: random.Random) -> tuple[str, list[Span], list[tuple[int, int]]]:
+    """``text`` with its base spans in other spellings, the spans where they are now, and the decoys put in.
+
+    Of spans of one kind that overlap others, the first counts. Each is written anew, or kept and
+    written anew behind it, or gives its place to a decoy.
+    """
+    out: list[str] = []
+    spans: list[Span] = []
+    decoys: list[tuple[int, int]] = []
+    done = size = 0
+
+    def put(t: str, kind: str | None = None) -> None:
+        nonlocal size
+        out.append(t)
+        if kind == "decoy":
+            decoys.append((size, size + len(t)))
+        elif kind:
+            spans.append((kind, size, size + len(t)))
+        size += len(t)
+
+    for kind, s, e in sorted(base, key=lambda x: x[1:]):
+        if s < done:
+            continue
+        put(text[done:s])
+        done = e
+        way = rng.random()
+        if way < 0.4:
+            put(other_spelling(kind, text[s:e], rng), kind)
+        elif way < 0.7:
+            put(text[s:e], kind)
+            put(" then" * rng.randint(1, 9) + " ")
+            put(other_spelling(kind, text[s:e], rng), kind)
+        else:
+            put(decoy(rng), "decoy")
+    put(text[done:])
+    return "".join(out), spans, decoys
+
+
+#: Labels in lessons besides those of LABELS: of what no pattern and no respelling names, and of what is left out.
+FREE, UNKNOWN = -1, -2
+
+
+def lessons(text: str, seed: int) -> list[tuple[Graph, np.ndarray]]:
+    """(graph, label by node) of a text with base spans, as it is and spelled anew."""
+    base = base_spans(text)
+    if not base:
+        return []
+    g = Graph(text, base)
+    # What repeats a base span has no label to learn from: as none it would unlearn the repeats.
+    out = [(g, np.where(g.reached & (g.seen < 0), UNKNOWN, g.seen))]
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")) ^ seed)
+    for _ in range(RESPELLINGS):
+        anew, spans, decoys = respelled(text, base, rng)
+        g = Graph(anew, base_spans(anew))
+        known = {(s, e): LABELS.index(k) for k, s, e in spans}
+        label = np.asarray([known.get(x, n if n >= 0 else UNKNOWN if r else FREE) for x, n, r in zip(g.spans, g.seen, g.reached, strict=True)], np.int64)
+        near = sorted([(s, e, UNKNOWN) for _, s, e in spans] + [(s, e, 0) for s, e in decoys])
+        k = 0
+        for j, (s, e) in enumerate(g.spans):  # a part of a span is neither that kind nor none; of a decoy, none
+            while k < len(near) and near[k][1] <= s:
+                k += 1
+            if label[j] == FREE and k < len(near) and near[k][0] < e:
+                label[j] = near[k][2]
+        out.append((g, label))
+    return out
+
+
 def key_of(t: str) -> str:
-    """Tokens with one key are alike: the digits of a number, or an address in lower case."""
-    if "@" in t:
-        return t.lower()
+    """Nodes with one key are alike: the digits of a number, or an address in one spelling and lower case."""
+    low = t.lower()
+    if "@" in low or _SPELLED.fullmatch(low):
+        spelled = re.sub(r"\x20?[\[({]\x20?(at|dot)\x20?[\])}]\x20?", r" \1 ", low)
+        return spelled.replace(" at ", "@").replace(" dot ", ".").replace(" ", "")
+    if _QUAD.fullmatch(low) or _PLAIN_QUAD.fullmatch(low):
+        return ".".join(_GROUP.findall(low)) + "."
     digits = "".join(c for c in t if c.isdigit())
     return digits if len(digits) >= 6 else ""
 
@@ -201,26 +370,24 @@ def repeats(text: str, keys: set[str], taken: list[tuple[int, int]]) -> list[tup
 
 
 class Graph:
-    """Tokens of a document with features, observed labels (-1: none) and edges."""
+    """Nodes of a document with features, observed labels (-1: none) and edges."""
 
     def __init__(self, text: str, base: list[Span]):
-        tokens = tokens_of(text)
-        owner: list[int] = []
-        groups: list[tuple[int, int]] = []  # a base span with several tokens is one node
         spans = sorted((s, e, LABELS.index(k)) for k, s, e in base)
+        nodes: list[tuple[int, int, int]] = []
+        for n, (s, e, _) in enumerate(spans):  # of base spans that overlap, the first is the node
+            if not nodes or s >= nodes[-1][1]:
+                nodes.append((s, e, n))
+        shown = len(nodes)
         i = 0
-        for s, e in tokens:
-            while i < len(spans) and spans[i][1] <= s:
+        for s, e in candidates(text):
+            while i < shown and nodes[i][1] <= s:
                 i += 1
-            if i < len(spans) and spans[i][0] < e and spans[i][1] > s:
-                if groups and owner[-1] == i:
-                    groups[-1] = (groups[-1][0], max(e, groups[-1][1]))
-                    continue
-                groups.append((s, e))
-                owner.append(i)
-            else:
-                groups.append((s, e))
-                owner.append(-1)
+            if i == shown or nodes[i][0] >= e:
+                nodes.append((s, e, -1))
+        nodes.sort()
+        owner = [o for _, _, o in nodes]
+        groups = [(s, e) for s, e, _ in nodes]
         keys = {key_of(text[s:e]) for (s, e), o in zip(groups, owner, strict=True) if o >= 0 and LABELS[spans[o][2]] in ("card", "phone")}
         if keys - {""}:
             taken: list[tuple[int, int]] = []
@@ -240,8 +407,8 @@ class Graph:
             groups, owner = [(s, e) for s, e, _ in nodes], [o for _, _, o in nodes]
         self.spans = groups
         self.seen = np.asarray([spans[o][2] if o >= 0 else -1 for o in owner], np.int64)
-        self.x = np.asarray([token_features(text, s, e) for s, e in groups]).reshape(len(groups), N_FEATURES)
-        self.chain = [(j, j + 1) for j in range(len(groups) - 1) if groups[j + 1][0] - groups[j][1] <= 40]
+        self.x = np.asarray([node_features(text[s:e]) for s, e in groups]).reshape(len(groups), N_FEATURES)
+        self.chain = [(j, j + 1) for j in range(len(groups) - 1) if groups[j + 1][0] - groups[j][1] <= CHAIN_GAP]
         alike: dict[str, list[int]] = defaultdict(list)
         for j, (s, e) in enumerate(groups):
             key = key_of(text[s:e])
@@ -261,15 +428,26 @@ class Graph:
         self.skip = sorted(pairs)
 
 
-def fit_field(graphs: list[tuple[np.ndarray, np.ndarray, list, list]], steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def settle_free(graphs: list[tuple[np.ndarray, np.ndarray, list, list]]) -> None:
+    """Make free nodes none, but unknown where they look just like a span in some spelling.
+
+    In a text that holds other spellings, they are free as well: as none they would unlearn themselves.
+    """
+    shown = {x.tobytes() for g in graphs for x in g[0][g[1] > 0]}
+    for x, y, *_ in graphs:
+        for j in np.flatnonzero(y == FREE):
+            y[j] = UNKNOWN if x[j].tobytes() in shown else 0
+
+
+def fit_field(graphs: list[tuple[np.ndarray, np.ndarray, list, list]], steps: int = 400, rate: float = 1.0, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unary, chain and skip weights by pseudo-likelihood: each token given its neighbours' labels.
 
-    A label of -2 is unknown: such a token is neither fitted nor a neighbour.
+    A node of label UNKNOWN is neither fitted nor a neighbour.
     """
     n_labels = len(LABELS)
     x = np.concatenate([g[0] for g in graphs])
     y = np.concatenate([g[1] for g in graphs])
-    known = y > -2
+    known = y != UNKNOWN
     y = np.maximum(y, 0)
     first = np.cumsum([0] + [len(g[1]) for g in graphs])
     near = []
@@ -306,26 +484,38 @@ def beliefs(g: Graph, field: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.nd
     held = g.seen >= 0
     node[held] = -30.0
     node[held, g.seen[held]] = 30.0
-    edges = [(a, b, chain) for a, b in g.chain] + [(a, b, skip) for a, b in g.skip]
-    if edges:
-        a, b = np.asarray([x[0] for x in edges]), np.asarray([x[1] for x in edges])
-        src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-        pair = np.stack([x[2] for x in edges] * 2)
+    edges = np.asarray([*g.chain, *g.skip], np.int64).reshape(-1, 2)
+    if len(edges):
+        src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+        skips = np.tile(np.arange(len(edges)) >= len(g.chain), 2)
+        pairs = np.exp(chain - chain.max()), np.exp(skip - skip.max())  # a constant factor of a message says nothing
+        # Only messages whose sender has heard something new are computed again: a text of many nodes
+        # costs as much as there is to hear, not rounds times edges.
         msg = np.zeros((len(src), n_labels))
+        total = node.copy()
+        active = np.arange(len(src))
         for _ in range(ROUNDS):
-            total = node.copy()
-            np.add.at(total, dst, msg)
-            out = (total[src] - msg[back])[:, :, None] + pair
-            top = out.max(axis=1, keepdims=True)
-            new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
+            out = total[src[active]] - msg[back[active]]
+            out = np.exp(out - out.max(axis=1, keepdims=True))
+            far = skips[active]
+            new = np.empty_like(out)
+            new[far], new[~far] = out[far] @ pairs[1], out[~far] @ pairs[0]
+            new = np.log(new + 1e-30)
             new -= new.max(axis=1, keepdims=True)
-            new = DAMPING * msg + (1 - DAMPING) * new
-            new[held[dst]] = 0  # what is observed hears nothing: many repeats together would outweigh it
-            moved = np.abs(new - msg).max()
-            msg = new
-            if moved < SETTLED:
+            new = DAMPING * msg[active] + (1 - DAMPING) * new
+            new[held[dst[active]]] = 0  # what is observed hears nothing: many repeats together would outweigh it
+            change = new - msg[active]
+            msg[active] = new
+            np.add.at(total, dst[active], change)
+            moved = np.abs(change).max(axis=1) > SETTLED
+            if not moved.any():
                 break
+            again = np.zeros(len(src), bool)
+            again[active[moved]] = True
+            heard = np.zeros(len(node), bool)
+            heard[dst[active[moved]]] = True
+            active = np.flatnonzero(again | heard[src])
         node = node.copy()
         np.add.at(node, dst, msg)
     p = np.exp(node - node.max(axis=1, keepdims=True))
@@ -333,19 +523,15 @@ def beliefs(g: Graph, field: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.nd
 
 
 def added_spans(text: str, base: list[Span], field) -> list[Span]:
-    """What the field adds: tokens outside the base spans that it believes to be personal data."""
+    """What the field adds: nodes outside the base spans that it believes to be personal data."""
     g = Graph(text, base)
     free = np.flatnonzero(g.seen < 0)
     if field is None or not len(free):
         return []
-    # Skip edges pass on what a base span shows; alike tokens that none of them reaches would only
-    # persuade each other.
-    reached = g.reached
-    if not reached[free].any():
-        return []
     p = beliefs(g, field)
     best = p.argmax(axis=1)
-    return [(LABELS[best[j]], *g.spans[j]) for j in free if reached[j] and best[j] and p[j, best[j]] >= ADD_FROM]
+    need = np.where(g.reached, ADD_FROM, ALONE_FROM)
+    return [(LABELS[best[j]], *g.spans[j]) for j in free if best[j] and p[j, best[j]] >= need[j]]
 
 
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -364,17 +550,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
             out: list[tuple] = []
-            for t in texts:
-                spans = base_spans(t)
-                if spans:
-                    g = Graph(t, spans)
-                    m = min(len(g.seen), SAMPLE_TOKENS)
-                    inside = [[x for e in edges if max(e) < m for x in e] for edges in (g.chain, g.skip)]
-                    # What repeats a base span has no label to learn from: as none it would unlearn the repeats.
-                    label = np.where(g.reached & (g.seen < 0), -2, g.seen)
-                    out.append((g.x[:m].ravel(), label[:m], *inside))
+            for t in b.column("text").to_pylist():
+                for g, label in lessons(t, seed):
+                    rng = random.Random(len(t))
+                    z = (a := rng.randrange(max(1, len(label) - SAMPLE_NODES + 1))) + SAMPLE_NODES
+                    inside = [[x - a for e in edges if a <= min(e) and max(e) < z for x in e] for edges in (g.chain, g.skip)]
+                    out.append((g.x[a:z].ravel(), label[a:z], *inside))
             if out:
                 kinds = (pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["x", "y", "chain", "skip"])
@@ -385,9 +567,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     drawn = likely.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_DOCS / max(1, n)))).limit(SAMPLE_DOCS)
     sample = written(drawn.select("text").mapInArrow(examples, "x array<double>, y array<long>, chain array<long>, skip array<long>"), "pii-sample")
     graphs = [
-        (np.asarray(r["x"]).reshape(-1, N_FEATURES), np.asarray(r["y"], np.int64), list(zip(r["chain"][::2], r["chain"][1::2], strict=True)), list(zip(r["skip"][::2], r["skip"][1::2], strict=True)))
+        (np.array(r["x"]).reshape(-1, N_FEATURES), np.array(r["y"], np.int64), list(zip(r["chain"][::2], r["chain"][1::2], strict=True)), list(zip(r["skip"][::2], r["skip"][1::2], strict=True)))
         for r in sample.toLocalIterator()
     ]
+    settle_free(graphs)
     shared = spark.sparkContext.broadcast(fit_field(graphs) if graphs else None)
     nothing = hashlib.sha256(b"").hexdigest()
 
@@ -398,7 +581,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             counts = np.zeros((len(KINDS), n), np.int64)
             digest, spans, more = [nothing] * n, [""] * n, np.zeros(n, np.int64)
             text = b.column("text")
-            for i in np.flatnonzero(pc.match_substring_regex(text, "[0-9@]").to_numpy(zero_copy_only=False)):
+            for i in np.flatnonzero(pc.match_substring_regex(text, _ANY_NODE).to_numpy(zero_copy_only=False)):
                 t = text[int(i)].as_py()
                 found = base_spans(t)
                 for k, _, _ in found:

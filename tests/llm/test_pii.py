@@ -1,12 +1,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
 from folio.llm import pii
 
 from tests.llm.conftest import ODD
+from tests.llm.pii_plants import planted
 
 #: The patterns of the contract.
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -118,3 +120,43 @@ def test_odd_rows(odd, none):
     assert len(got) == len(ODD)
     assert {r.base_sha256 for r in got} == {hashlib.sha256(b"").hexdigest()}
     assert pii.personal_data(none).count() == 0
+
+
+def test_spellings_that_the_patterns_miss_are_found(spark):
+    """Recall and precision on planted spellings; the field is fitted on the base spans of other documents."""
+    plants = list(planted(600, 5))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = spark.createDataFrame([(10**6 + i, t) for i, (t, _) in enumerate(plants)], "doc_id long, text string")
+    got = {r.doc_id - 10**6: r for r in pii.personal_data(docs.union(rows)).where("doc_id >= 1000000").collect()}
+    hit = wanted = added = 0
+    by_kind = {k: [0, 0] for k in pii.KINDS}
+    for i, (text, want) in enumerate(plants):
+        base = set(pii.base_spans(text))
+        want = [x for x in want if x not in base]
+        found = {(k, int(s), int(e)) for k, s, e in (x.split(":") for x in got[i].spans.split(",") if x)} - base
+        for x in want:
+            by_kind[x[0]][0] += x in found
+            by_kind[x[0]][1] += 1
+        hit, wanted, added = hit + len(found & set(want)), wanted + len(want), added + len(found)
+    print("recall", hit / wanted, "precision", hit / added, by_kind)
+    assert hit / wanted >= 0.9 and hit / added >= 0.95
+
+
+def test_what_is_added_to_the_tables_is_personal_data(spark):
+    """The tables hold few other spellings: cards beside other numbers, phones whose plus belongs to another number."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pii.personal_data(docs).where("n_added > 0").join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert sum(r.n_added for r in rows) <= 10
+    for r in rows:
+        base = set(pii.base_spans(r.text))
+        for k, s, e in (x.split(":") for x in r.spans.split(",")):
+            if (k, int(s), int(e)) not in base:
+                digits = "".join(c for c in r.text[int(s) : int(e)] if c.isdigit())
+                assert (k == "card" and pii.luhn(digits)) or (k == "phone" and len(digits) in (10, 11)), r.text[int(s) : int(e)]
+
+
+def test_a_field_over_a_long_text_takes_little_time():
+    for text in ("+1 (743) 555-3824 " + "again 743-555-3824, " * 50_000, "4539148803436467 " * 60_000, "a (at) b.cd " * 90_000, "1 2 3 4 " * 130_000, "12.3.4.5 " * 110_000):
+        began = time.monotonic()
+        pii.added_spans(text, pii.base_spans(text), _field())
+        assert time.monotonic() - began < 12, text[:40]
