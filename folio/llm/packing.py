@@ -3,9 +3,12 @@
 Texts are tokenised once, in Arrow batches, into pieces of at most CAPACITY tokens. The packing
 itself needs only how many pieces there are of each length: at most CAPACITY numbers, whatever the
 size of the corpus. On the driver, branch and bound works on that histogram: it takes the largest
-length left, enumerates the undominated fillings around it, applies the chosen filling as many times
-as the counts allow, and prunes by the waste that any packing must have; best-fit gives the first
-incumbent and the completion of every abandoned branch.
+length left, enumerates the undominated fillings around it, applies the chosen filling once, or as
+many times as the counts allow, and prunes by the waste that any packing must have. Incumbents are
+best-fit packings. The search is bounded; where the bound stops it, the incumbent is improved by
+completing a few of its bins anew, again and again, so that their waste gathers in one of them until
+it is empty. The result says how many sequences it took and how many any packing needs, so that it
+shows where it is optimal.
 
 The plan is a list of runs, "this filling so many times". Each piece finds its place from its rank
 among the pieces of its length. Ranks come from counts per (length, hash bucket), so a length that a
@@ -14,7 +17,9 @@ third of all pieces have is ranked by many tasks.
 
 from __future__ import annotations
 
+import random
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +32,10 @@ from folio.llm.common import small_batches, written
 
 CAPACITY = 2048
 END_ID = 0
-#: Branch-and-bound nodes before the best packing found so far is taken.
-NODE_LIMIT = 4000
+#: Branch-and-bound nodes, and how many of them after the first branch is done, before the best packing so far is taken.
+NODE_LIMIT, MORE_NODES = 4000, 400
+#: Bins that are completed anew (copies of one run, and of all), rounds of that, and items of one round.
+SAME_BINS, LOOSE_BINS, ROUNDS, ROUND_ITEMS = 16, 4000, 150_000, 13
 #: Fillings kept of one enumeration, the fullest first, and steps that it may take.
 FILLINGS, FILLING_STEPS = 24, 4000
 #: Rows of a bucket within which a length's pieces are ranked, and the least and most buckets.
@@ -206,31 +213,109 @@ def fillings(room: int, sizes: list[int], left: dict[int, int]) -> list[tuple[in
     return [f for f, _ in ranked[:FILLINGS]] or [()]
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_LIMIT) -> list[tuple[tuple[int, ...], int]]:
+def _split(items: list[int], bins: int, capacity: int) -> tuple[list[int], int] | None:
+    """(item masks of at most ``bins`` bins, sum of squared fills) of few items, waste gathered in the last bins.
+
+    Bin completion again: each bin takes the largest item left with the fullest companions, one of the four fullest.
+    """
+    sums = np.zeros(1, np.int64)
+    for s in items:
+        sums = np.concatenate([sums, sums + s])
+    masks = np.arange(len(sums))
+    best: tuple[list[int], int] | None = None
+
+    def go(rest: int, left: int, chosen: list[int], value: int) -> None:
+        nonlocal best
+        room = int(sums[rest])
+        if room <= capacity:
+            if best is None or value + room * room > best[1]:
+                best = ([*chosen, rest], value + room * room)
+            return
+        if left == 1:
+            return
+        top = 1 << (rest.bit_length() - 1)
+        own = masks[((masks & ~rest) == 0) & ((masks & top) != 0) & (sums <= capacity) & (room - sums <= (left - 1) * capacity)]
+        for m in own[np.argsort(-sums[own], kind="stable")[: 4 if left > 2 else 1]]:
+            go(rest & ~int(m), left - 1, [*chosen, int(m)], value + int(sums[m]) ** 2)
+
+    go(len(sums) - 1, bins, [], 0)
+    return best
+
+
+def complete_anew(runs: list[tuple[tuple[int, ...], int]], capacity: int, floor: int, rounds: int = ROUNDS, seed: int = 1) -> list[tuple[tuple[int, ...], int]]:
+    """``runs`` in no more bins, fewer where some bins can be emptied; ``floor`` bins need no work.
+
+    A round takes a bin with waste and up to three others, and splits their items anew so that the
+    squares of their fills grow or stay. Of a run, SAME_BINS bins take part at most.
+    """
+    rng = random.Random(seed)
+    rest: list[tuple[tuple[int, ...], int]] = []
+    loose: list[list[int]] = []
+    for filling, times in sorted(runs, key=lambda r: sum(r[0])):
+        n = min(times, SAME_BINS, LOOSE_BINS - len(loose))
+        loose += [list(filling) for _ in range(n)]
+        if times > n:
+            rest.append((filling, times - n))
+    held = sum(n for _, n in rest)
+    fill = [sum(b) for b in loose]
+    wasteful = [i for i, f in enumerate(fill) if f < capacity]
+    for _ in range(rounds):
+        if held + len(loose) <= floor or len(wasteful) < 2:
+            break
+        picked = set(rng.sample(wasteful, 1 + (rng.random() < 0.6)))
+        if rng.random() < 0.1:  # what has gathered most moves on
+            picked.add(min(wasteful, key=fill.__getitem__))
+        size = sum(len(loose[i]) for i in picked)
+        for _ in range(rng.choice((1, 2))):
+            i = rng.randrange(len(loose))
+            if i not in picked and size + len(loose[i]) <= ROUND_ITEMS:
+                picked.add(i)
+                size += len(loose[i])
+        if len(picked) < 2 or size > ROUND_ITEMS:
+            continue
+        own = sorted(picked)
+        items = sorted(s for i in own for s in loose[i])
+        found = _split(items, len(own), capacity)
+        if found is None or found[1] < sum(fill[i] ** 2 for i in own):
+            continue
+        made = [[s for j, s in enumerate(items) if m >> j & 1] for m in found[0] if m]
+        for i, b in zip(own, made, strict=False):
+            loose[i], fill[i] = b, sum(b)
+        for i in reversed(own[len(made) :]):
+            loose[i], fill[i] = loose[-1], fill[-1]
+            loose.pop()
+            fill.pop()
+        if len(made) < len(own):
+            wasteful = [i for i, f in enumerate(fill) if f < capacity]
+        else:
+            wasteful = [i for i in wasteful if i not in picked] + [i for i in own if fill[i] < capacity]
+    return rest + list(Counter(tuple(sorted(b, reverse=True)) for b in loose).items())
+
+
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_LIMIT, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
     """Runs (filling, times) that use every item of the histogram, in as few bins as the search finds.
 
     Depth first: the largest length left is placed with each of its undominated fillings, fullest
-    first. A node is pruned when its bins plus the lower bound of what is left reach the incumbent; an
-    incumbent that meets the lower bound of all is optimal and ends the search.
+    first, each as often as it goes, then once. A node is pruned when its bins plus the lower bound of
+    what is left reach the incumbent; an incumbent that meets the lower bound of all is optimal and
+    ends the search. It need not be found: FILLINGS, ``rounds`` and ``node_limit`` bound the work.
     """
     counts = {int(s): int(n) for s, n in counts.items() if n > 0}
     if any(s > capacity or s < 0 for s in counts):
         raise ValueError("a piece is longer than the capacity")
+    floor = lower_bound(counts, capacity)
     best = _best_fit(counts, capacity)
     best_bins = sum(n for _, n in best)
-    floor = lower_bound(counts, capacity)
-    nodes = 0
+    nodes, first = 0, True
 
     def expand(left: dict[int, int]) -> list[tuple[tuple[int, ...], int]]:
         sizes = sorted((s for s, n in left.items() if n), reverse=True)
         big = sizes[0]
         less = left | {big: left[big] - 1}
         fits = [s for s in sizes if s and s <= capacity - big and less[s]]
-        out = []
-        for f in fillings(capacity - big, fits, less) if fits else [()]:
-            whole = (big, *f)
-            out.append((whole, min(left[s] // whole.count(s) for s in set(whole))))
-        return out
+        whole = [(big, *f) for f in (fillings(capacity - big, fits, less) if fits else [()])]
+        times = [min(left[s] // f.count(s) for s in set(f)) for f in whole]
+        return [*zip(whole, times, strict=True), *((f, 1) for f, n in zip(whole, times, strict=True) if n > 1)]
 
     # An explicit stack: a plan may have thousands of runs. Each entry: left, bins, runs so far, choices to try.
     stack: list[tuple[dict[int, int], int, list, list]] = [(counts, 0, [], None)]
@@ -238,20 +323,17 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, node_limit:
         left, bins, runs, choices = stack.pop()
         if choices is None:
             nodes += 1
-            if not any(left.values()):
-                if bins < best_bins:
-                    best, best_bins = runs, bins
+            done = not any(left.values())
+            if done and bins < best_bins:
+                best, best_bins = runs, bins
+            if done or bins + lower_bound(left, capacity) >= best_bins:
+                node_limit = min(node_limit, nodes + MORE_NODES) if first else node_limit
+                first = False
                 continue
-            if nodes % 16 == 1:  # a bound and an incumbent of their own for some nodes; both cost a pass
-                if bins + lower_bound(left, capacity) >= best_bins:
-                    continue
+            if nodes % 16 == 0:  # an incumbent of its own for some nodes
                 rest = _best_fit(left, capacity)
                 if bins + sum(n for _, n in rest) < best_bins:
                     best, best_bins = runs + rest, bins + sum(n for _, n in rest)
-                    if best_bins <= floor:
-                        break
-            elif bins - (-sum(s * n for s, n in left.items()) // capacity) >= best_bins:
-                continue
             choices = expand(left)
         (filling, times), rest_choices = choices[0], choices[1:]
         if rest_choices:
@@ -261,13 +343,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, node_limit:
             after[s] -= times
         after = {s: n for s, n in after.items() if n}
         stack.append((after, bins + times, [*runs, (filling, times)], None))
-    if stack and best_bins > floor and nodes >= node_limit:
-        # Complete the branch in hand by best fit, should that be better.
-        left, bins, runs, _ = stack[-1]
-        rest = _best_fit(left, capacity)
-        if bins + sum(n for _, n in rest) < best_bins:
-            best = runs + rest
-    return best
+    return complete_anew(best, capacity, floor, rounds) if best_bins > floor and stack else best
 
 
 # ------------------------------------------------------------------ places
@@ -327,7 +403,9 @@ def place(pieces: DataFrame, runs: list[tuple[tuple[int, ...], int]], most: int
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, sequences, lower_bound.
+
+    The last two are alike on all rows: how many sequences there are, and how many any packing needs.
 
     A null text is an empty one and gives one piece of the end id (of no ids if that is None). Rows
     that repeat an id are documents of their own. Empty tables give an empty result. Other columns
@@ -335,4 +413,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """
     pieces = written(token_pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, id_col, text_col), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    return place(pieces, complete_bins(histogram, capacity), max(histogram.values(), default=0))
+    runs = complete_bins(histogram, capacity)
+    placed = place(pieces, runs, max(histogram.values(), default=0))
+    return placed.withColumn("sequences", F.lit(sum(n for _, n in runs)).cast("long")).withColumn("lower_bound", F.lit(lower_bound(histogram, capacity)).cast("long"))

@@ -109,3 +109,41 @@ def test_lower_bound_holds():
 def test_an_oversized_piece_is_refused():
     with pytest.raises(ValueError, match="capacity"):
         P.complete_bins({11: 1}, 10)
+
+
+def _cut(seed, sequences=400, capacity=2048):
+    """Lengths of full sequences cut in three: they fit into as many again."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(sequences):
+        a = rng.randint(300, 1000)
+        b = rng.randint(300, capacity - a - 200)
+        out += [a, b, capacity - a - b]
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_many_items_without_room_to_spare(seed):
+    """Best fit takes six or seven more than the 400 that are enough, the search one more at most."""
+    items = _cut(seed)
+    runs = P.complete_bins(Counter(items))
+    used = Counter()
+    for filling, times in runs:
+        assert sum(filling) <= 2048
+        for s in filling:
+            used[s] += times
+    assert used == Counter(items)
+    assert sum(n for _, n in P._best_fit(Counter(items), 2048)) >= 405
+    assert sum(n for _, n in runs) <= 401
+
+
+def test_bins_are_completed_anew():
+    """Waste that is spread over bins gathers until one is empty."""
+    runs = [((60, 30), 1), ((50, 40), 1), ((45, 45), 1), ((10,), 3)]
+    done = P.complete_anew(runs, 100, 3, rounds=500)
+    assert sum(n for _, n in done) == 3 and Counter(s for f, n in done for s in f * n) == Counter(s for f, n in runs for s in f * n)
+
+
+def test_the_gap_is_told(documents):
+    r = P.pack(documents).select("sequences", "lower_bound").distinct().collect()
+    assert len(r) == 1 and r[0].sequences == r[0].lower_bound
