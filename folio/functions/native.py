@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folio.kernel.lexer import BLOCK_TAGS, FILTERED_TAGS, RAW_TAGS
+from folio.kernel.lexer import BLOCK_TAGS, FILTERED_TAGS, RAW_TAGS, TRIM
+
+#: White space in a Java pattern's brackets.
+_BLANKS = "".join(f"\\x{{{ord(c):x}}}" for c in TRIM)
 
 _Col = Column | str
 
@@ -170,7 +173,7 @@ def alignment(cell: _Col) -> Column:
 def split_row(c: _Col) -> Column:
     """The cells of a table row, at pipes that no backslash escapes."""
     inner = F.regexp_replace(F.trim(_c(c)), r"^\||\|\z", "")
-    return F.transform(F.split(inner, r"(?<!\\)\|", -1), lambda x: F.trim(x))
+    return F.transform(F.split(inner, r"(?<=(?<!\\)(?:\\\\){0,100})\|", -1), lambda x: F.trim(x))
 
 
 def task_state(c: _Col) -> Column:
@@ -236,8 +239,11 @@ def filter_tags(c: _Col) -> Column:
 
 
 def label_norm(c: _Col) -> Column:
-    """The key of an ASCII label; ``functions.sql`` has the exact one for all letters."""
-    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(_c(c), r"\s+", " ")), r"\s+", " "))
+    """The key by which labels match: trimmed, runs of blanks one, each letter lowered by itself, sharp s as ss."""
+    flat = F.regexp_replace(F.regexp_replace(_c(c), f"[{_BLANKS}]+", " "), r"^ | \z", "")
+    # Lowering a whole word may depend on a letter's place in it (Greek sigma), so letters beyond ASCII go one by one.
+    single = F.array_join(F.transform(F.regexp_extract_all(flat, F.lit("(?s)."), F.lit(0)), F.lower), "")
+    return F.when(flat.rlike(r"^[\x00-\x7f]*\z"), F.lower(flat)).otherwise(F.replace(single, F.lit("ß"), F.lit("ss")))
 
 
 def autolink_prefix(kind: _Col) -> Column:

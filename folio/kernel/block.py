@@ -1,15 +1,15 @@
-"""Block structure: top-level lines are folded into blocks, containers recurse on their own lines.
+"""Block structure: lines against a stack of open containers, as the specification's appendix has it.
 
-A container's content is a list of lines with its markers removed. Definitions are collected from all
-lines first, because inline text may refer to what is defined later; then blocks are resolved in
-order, inline text with them.
+Definitions are collected on the way; inline text is parsed when all lines are read, because it may
+refer to what is defined later.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
-from typing import NamedTuple
+from itertools import accumulate
 
 from folio.kernel import lexer as lx
 from folio.kernel.inline import Inline, Parser, bare_destination, title_at
@@ -24,14 +24,6 @@ class Options:
     max_inline_depth: int = 16
 
 
-class Line(NamedTuple):
-    """A line of a container; ``lazy`` if it came without the container's marker, ``pad`` blanks left of a tab."""
-
-    text: str
-    lazy: bool = False
-    pad: int = 0
-
-
 class Block:
     """A node: kind, children, inline content, and what a kind has besides."""
 
@@ -142,569 +134,431 @@ ALIGNED_COLUMNS = 128
 
 
 # ------------------------------------------------------------------ the document
+class Leaf:
+    """The open block that takes text: its kind, the lines so far, and what a kind remembers."""
+
+    __slots__ = ("block", "indent", "kind", "lines", "mark")
+
+    def __init__(self, kind: str, block: Block | None = None, mark=None, indent: int = 0):
+        self.kind, self.block, self.mark, self.indent = kind, block, mark, indent
+        self.lines: list = []
+
+
+class Container:
+    """An open quote, list item or footnote (or the document): the block, and how a line shows that it belongs."""
+
+    __slots__ = ("block", "fresh", "kind", "list", "outer", "quotes", "width")
+
+    def __init__(self, kind: str, block: Block, width: int = 0, quotes: int = 0, outer: ListState | None = None):
+        self.kind, self.block, self.width, self.quotes = kind, block, width, quotes
+        self.outer = outer  # of an item, the list it is in
+        self.list: ListState | None = None  # the list that a further item may join
+        self.fresh = True  # nothing but its marker so far
+
+
+class ListState:
+    __slots__ = ("block", "marker")
+
+    def __init__(self, block: Block, marker: lx.Marker):
+        self.block, self.marker = block, marker
+
+
 class Document:
-    """The result of a parse: blocks, definitions in order, footnotes."""
+    """The result of a parse: blocks, definitions in order, footnotes.
+
+    Lines are read one by one against the stack of open containers: each container takes its own
+    marker or indent off the line, or refuses the line; what is left may open further containers,
+    start or continue a leaf, or continue the paragraph of a container that refused it. Inline text
+    waits in document order until all definitions are known.
+    """
 
     def __init__(self, text: str, options: Options):
         self.options = options
         self.gfm = options.dialect == "gfm"
         self.text = text
         self.refs = Refs()
-        self.definitions: list[Definition] = []
         self.blocks: list[Block] = []
-        self._raw: list[tuple] = []
-        self._fold()
-        self._sweep()
+        self._defined: dict[str, list[Definition]] = {"top": [], "container": []}
+        self._waiting: list[tuple[Block, str, list[str] | str]] = []
+        self._read()
+        self.definitions = self._defined["top"] + self._defined["container"]
+        for d in self.definitions:
+            self.refs.links.setdefault(lx.label_key(d.label), d)
         self.inline = Parser(self.refs, options.dialect, options.max_inline_depth)
-        self.blocks = [self._resolve(*raw) for raw in self._raw]
+        for block, how, source in self._waiting:
+            if how == "lines":
+                block.inline = self.inline.lines(source)
+            elif how == "paragraph":
+                block.inline = self.inline.paragraph("\n".join(source))
+            else:
+                block.inline = self.inline.plain(source)
         for b in self.blocks:
-            if b.kind == "FootnoteDefinition" and (note := b.attrs.pop("note"))["block"] is not None:
-                counts = b.attrs["slot"] is note["slot"]
-                b.attrs |= {"number": note["number"] if counts else 0, "references": note["references"] if counts else 0}
+            if b.kind == "FootnoteDefinition":
+                note = b.attrs.pop("note")
+                b.attrs |= {"number": note["number"], "references": note["references"]}
 
-    # -------------------------------------------------------------- pass 1: lines to raw blocks
-    def _fold(self) -> None:
+    # -------------------------------------------------------------- lines
+    def _read(self) -> None:
         text = self.text
         self.lines = text.split("\n")
         if self.lines[-1] == "":
             self.lines.pop()
-        self.starts = [0]
-        for line in self.lines:
-            self.starts.append(self.starts[-1] + len(line) + 1)
-        self.para: list[str] | None = None
-        self.code: list[int] | None = None  # first and last line of indented code
-        self.quote: list[Line] | None = None
-        self.quote_open, self.quote_fence = False, None
-        i = 0
-        while i < len(self.lines):
-            i = self._start(i) or self._line(i)
-        self._close()
-
-    def _close(self) -> None:
-        """End whatever is open."""
-        if self.para is not None:
-            self._raw.append(("Paragraph", "\n".join(self.para)))
-        elif self.code is not None:
-            self._raw.append(("IndentedCode", "\n".join(self.lines[self.code[0] : self.code[1] + 1])))
-        elif self.quote is not None:
-            self._raw.append(("Quote", self.quote))
-        self.para = self.code = self.quote = None
-
-    def _emit(self, *raw) -> None:
-        self._close()
-        self._raw.append(raw)
-
-    def _start(self, i: int) -> int | None:
-        """Blocks that take several lines at once; returns the next line, or None."""
-        line = self.lines[i]
-        n = lx.indent_of(line)
-        if n is None or n == len(line):
-            return None
-        body = line[n:]
-        c = body[0]
-        if c in "`~" and (opened := lx.fence(body)):
-            end = i + 1
-            while end < len(self.lines) and not ((m := lx.indent_of(self.lines[end])) is not None and lx.closes(self.lines[end][m:], opened)):
-                end += 1
-            literal = "\n".join(self.lines[i + 1 : end])
-            if end == len(self.lines) and self.text.endswith("\n") and end > i + 1:
-                literal += "\n"  # of a fence that nothing closes, the last line break is content
-            self._emit("Fenced", body[opened[1] :].strip(lx.WS) or None, literal, n)
-            return end + 1
-        if c == "<" and (kind := lx.html_start(body, self.para is not None)):
-            end = i
-            if kind < 6:
-                while end < len(self.lines) and not lx.html_ends(kind, self.lines[end]):
-                    end += 1
-                end = min(end + 1, len(self.lines))
-                self._emit("Html", "\n".join(self.lines[i:end]))
-                return end
-            while end < len(self.lines) and not lx.is_blank(self.lines[end]):
-                end += 1
-            self._emit("Html", "\n".join(self.lines[i:end]))
-            return end + 1
-        if c == "[" and self.para is None:
-            if self.gfm and (m := lx.FOOTNOTE_DEF.match(body)):
-                return self._footnote(i, m[1], body[m.end() :])
-            found = scan_definition(self.text, self.starts[i] + n)
-            if found is not None:
-                self._close()
-                self._define(*found[:3], "top")
-                return next(k for k in range(i + 1, len(self.starts)) if self.starts[k] >= found[3])
-        if not lx.is_rule(body) and (m := lx.marker(body)):
-            if self.para is None or (body[m.width :].strip(lx.WS) and m.number in (None, 1)):
-                self._close()
-                items, tight, end = self._top_list(i)
-                self._raw.append(("List", m, items, tight))
-                return end
-        if self.gfm and "|" in body:
-            return self._table(i, body)
-        return None
-
-    def _define(self, label: str, url: str, title: str | None, scope: str) -> None:
-        d = Definition(label, url, title, scope)
-        self.definitions.append(d)
-        self.refs.links.setdefault(lx.label_key(label), d)
-
-    def _table(self, i: int, head: str) -> int | None:
-        cells = split_row(head)
-        if (len(cells) == 1 and not _has_pipe(head)) or i + 1 >= len(self.lines) or not _has_pipe(head):
-            return None
-        n = lx.indent_of(self.lines[i + 1])
-        align = alignments(self.lines[i + 1][n:]) if n is not None else None
-        if align is None or len(align) != len(cells):
-            return None
-        end = i + 2
-        while end < len(self.lines) and not lx.is_blank(self.lines[end]) and (n := lx.indent_of(self.lines[end])) is not None and not lx.begins_block(self.lines[end][n:]):
-            end += 1
-        self._emit("Table", align, [head, *self.lines[i + 2 : end]])
-        return end
-
-    def _footnote(self, i: int, label: str, first: str) -> int:
-        slot = {"number": 0, "references": 0, "block": None}
-        slot["slot"] = slot
-        slot["block"] = True
-        self._close()
-        self.refs.notes[lx.label_key(label)] = slot
-        lines = [Line(first)] if first else []
-        open_para = bool(first) and lx.paragraph_tail(first)
-        kept, end, k = len(lines), i + 1, i + 1
-        while k < len(self.lines):
-            line = self.lines[k]
-            n = lx.indent_of(line)
-            if lx.is_blank(line):
-                lines.append(Line(""))
-                open_para = False
-            elif lx.columns(line) >= 4:
-                at, pad = lx.at_column(line, 4)
-                lines.append(Line(line[at:], False, pad))
-                open_para = lx.paragraph_tail(line[at:])
-                kept, end = len(lines), k + 1
-            elif open_para and not (n is not None and lx.FOOTNOTE_DEF.match(line[n:])) and not lx.begins_block(line.lstrip(" ")):
-                lines.append(Line(line.strip(lx.TRIM), True))
-                kept, end = len(lines), k + 1
+        self.starts: list[int] | None = None
+        root = Block("Document")
+        root.children = self.blocks
+        self.open: list[Container] = []
+        self.root = Container("document", root)
+        self.leaf: Leaf | None = None
+        self.gap: int | None = None  # quotes around the blank line just before, if there was one
+        self.at = 0
+        lines, n = self.lines, len(self.lines)
+        bar = "|" if self.gfm else "\n"
+        while self.at < n:
+            line = lines[self.at]
+            leaf = self.leaf
+            if leaf is not None and leaf.kind == "paragraph" and not self.open and leaf.lines and line[:1].isalpha() and bar not in line:
+                leaf.lines.append(line)  # nothing starts with a letter but a table
+                self.at += 1
             else:
-                break
-            k += 1
-        self._raw.append(("Footnote", label, lines[:kept], slot))
-        return end
+                self.at = self._line(line)
+        self._end_leaf(True)
 
-    def _line(self, i: int) -> int:
-        """A line that starts nothing by itself: it continues, ends or opens a simple block."""
-        line = self.lines[i]
+    def _line(self, line: str) -> int:
+        """Read a line (and what follows it, of blocks that take several lines at once); returns the next one."""
+        pos, loose, matched = 0, 0, 0
         blank = lx.is_blank(line)
-        n = lx.indent_of(line)
-        if self.code is not None:
-            if blank:
-                return i + 1
-            if n is None:
-                self.code[1] = i
-                return i + 1
-            self._close()
-        elif blank:
-            self._close()
-            return i + 1
-        if n is None:
-            if self.quote is not None and self.quote_open and self.quote_fence is None:
-                self._lazy(line)
-            elif self.para is not None:
-                self.para.append(line)
+        for c in self.open:
+            if c.kind == "quote":
+                first, cols = _indent(line, pos)
+                if blank or cols > 3 or line[first] != ">":
+                    break
+                line, pos, loose = _behind_quote(line, pos, cols)
+                blank = lx.BLANK.match(line, pos) is not None
+            elif blank:
+                if c.fresh and c.kind == "item":
+                    break  # an item begins with one blank line at most
+                line, pos, loose = _consume(line, pos, c.width)
             else:
-                self._close()
-                self.code = [i, i]
-            return i + 1
-        body = line[n:]
-        if self.para is not None:
-            if level := lx.setext(body):
-                text = "\n".join(self.para).strip(lx.TRIM)
-                self.para = None
-                self._raw.append(("Heading", level, text))
-                return i + 1
-            if not lx.MAY_START.match(body):
-                self.para.append(line)
-                return i + 1
-        if head := lx.atx(body):
-            self._emit("Heading", *head)
-        elif body.startswith(">"):
-            self._quote_line(body, n)
-        elif self.quote is not None and self.quote_open and self.quote_fence is None and self._continues_quote(body):
-            self._lazy(line)
-        elif lx.is_rule(body):
-            self._emit("Rule")
-        elif self.para is not None:
-            self.para.append(line)
+                if _indent(line, pos)[1] < c.width:
+                    break
+                line, pos, loose = _consume(line, pos, c.width)
+            matched += 1
+        whole = matched == len(self.open)
+        leaf = self.leaf
+        if leaf is not None and whole and leaf.kind in ("fence", "html", "code") and self._more(leaf, line, pos, loose, blank):
+            return self.at + 1
+        if blank:
+            self._close_to(matched)
+            self._end_leaf()
+            self.gap = self.open[-1].quotes if self.open else 0
+            return self.at + 1
+        if leaf is not None and leaf.kind in ("fence", "html") and not whole:
+            self._close_to(matched)
+        after = self._starts(line, pos, loose, matched)
+        self.gap = None
+        return after
+
+    def _more(self, leaf: Leaf, line: str, pos: int, loose: int, blank: bool) -> bool:
+        """Give a line to code or HTML that is open; False if it ends there without the line."""
+        if leaf.kind == "fence":
+            first, cols = _indent(line, pos)
+            if cols <= 3 and lx.closes(line[first:], leaf.mark):
+                self._end_leaf()
+            else:
+                line, at, loose = _consume(line, pos, min(cols, leaf.indent)) if leaf.indent else (line, pos, loose)
+                leaf.lines.append((loose, line[at + loose :]))
+            return True
+        if leaf.kind == "html":
+            if leaf.mark > 5 and blank:
+                self._end_leaf()
+                self.gap = self.open[-1].quotes if self.open else 0
+                return True
+            leaf.lines.append((loose, line[pos + loose :]))
+            if lx.html_ends(leaf.mark, line[pos:]):
+                self._end_leaf()
+            return True
+        if blank or _indent(line, pos)[1] >= 4:
+            self._code_line(leaf, line, pos, loose)
+            return True
+        return False
+
+    def _code_line(self, leaf: Leaf, line: str, pos: int, loose: int) -> None:
+        if leaf.block.kind == "IndentedCode":
+            leaf.lines.append(line)
         else:
-            self._close()
-            self.para = [line]
-        return i + 1
-
-    def _lazy(self, line: str) -> None:
-        self.quote.append(Line(line, True))
-        self.quote_open, self.quote_fence = True, None
-
-    @staticmethod
-    def _continues_quote(body: str) -> bool:
-        return not (lx.is_rule(body) or lx.ATX.match(body) or lx.fence(body) or lx.marker(body))
-
-    def _quote_line(self, body: str, indent: int) -> None:
-        rest, pad = body[1:], 0
-        if rest.startswith(" "):
-            rest = rest[1:]
-        elif rest.startswith("\t"):
-            rest, pad = rest[1:], 3 - (indent + 1) % 4
-        if self.quote is None:
-            self._close()
-            self.quote, self.quote_open, self.quote_fence = [], False, None
-        self.quote_open, self.quote_fence = self._inside(rest, pad, self.quote_open, self.quote_fence)
-        self.quote.append(Line(rest, False, pad))
-
-    @staticmethod
-    def _inside(text: str, pad: int, was_open: bool, opened) -> tuple[bool, tuple[str, int] | None]:
-        """Whether a quoted line leaves a paragraph open, and the fence that is open after it."""
-        body = text.lstrip(" ")
-        if opened:
-            return False, None if lx.closes(text[min(3, len(text) - len(body)) :], opened) else opened
-        if lx.is_blank(text):
-            return False, None
-        cols = pad + lx.columns(text)
-        if cols <= 3 and (f := lx.fence(body)):
-            return False, f
-        if cols >= 4 and not was_open:
-            return False, None
-        if len(text) - len(body) <= 3 and lx.begins_block(body):
-            return lx.paragraph_tail(body), None
-        return True, None
-
-    # -------------------------------------------------------------- lists
-    def _top_list(self, i: int) -> tuple[list[list[Line]], bool, int]:
-        """(items, tight, next line) of the list that starts at top level on line i."""
-        items: list[list[Line]] = []
-        loose = False
-        first: lx.Marker | None = None
-        lines = self.lines
-        while i < len(lines):
-            line = lines[i]
-            n = lx.spaces(line)
-            body = line[n:]
-            m = lx.marker(body) if n <= 3 and not lx.is_rule(body) else None
-            if m is None or (first is not None and not first.like(m)):
-                break
-            first = first or m
-            col = m.content_column(n, body[m.width :])
-            at, pad = lx.at_column(" " * (n + m.width) + body[m.width :], col)
-            content = (" " * (n + m.width) + body[m.width :])[at:]
-            item = [Line(content, False, pad)] if content else []
-            state = _Item(col, lx.fence(body[m.width :].lstrip(" ")) if lx.spaces(body[m.width :]) <= 4 else None)
-            i += 1
-            while i < len(lines) and (added := self._item_line(lines[i], item, state)) is not None:
-                item.append(added)
-                i += 1
-            loose = loose or state.loose
-            blanks = _pop_blanks(item)
-            items.append(item)
-            if blanks and i < len(lines):
-                nxt = lines[i]
-                k = lx.spaces(nxt)
-                sibling = lx.marker(nxt[k:]) if k <= 3 and not lx.is_rule(nxt[k:]) else None
-                loose = loose or (sibling is not None and first.like(sibling))
-        return items, not loose, i
-
-    @staticmethod
-    def _item_line(line: str, item: list[Line], s: _Item) -> Line | None:
-        """The line as content of the item, or None if it ends there."""
-        if lx.is_blank(line):
-            if s.fence is None:
-                s.hollow = s.hollow or not item
-                s.blanks += 1
-            s.open = False
-            return Line("")
-        n = lx.spaces(line)
-        if n < s.col and not s.hollow and lx.columns(line) >= s.col:
-            at, pad = lx.at_column(line, s.col)
-            if not pad or lx.columns(line) - s.col >= 4:
-                s.take(line[at:], True)
-                return Line(line[at:], False, pad)
-        if n >= s.col:
-            if s.hollow:
+            line, pos, loose = _consume(line, pos, 4)
+            leaf.lines.append((loose, line[pos + loose :]))
+
+    # -------------------------------------------------------------- what a line starts
+    def _starts(self, line: str, pos: int, loose: int, matched: int) -> int:
+        """Open what the rest of a line opens, and give what is left to a paragraph."""
+        while True:
+            whole = matched == len(self.open)
+            para = self.leaf if self.leaf is not None and self.leaf.kind == "paragraph" else None
+            within = para is not None and bool(para.lines)
+            if lx.BLANK.match(line, pos):  # nothing behind a marker
+                self._close_to(matched)
+                return self.at + 1
+            first, cols = _indent(line, pos)
+            if cols > 3:
+                if within or (para is not None and not whole):
+                    return self._continue(para, line, pos, whole)
+                self._close_to(matched)
+                where = self._place()
+                self.leaf = Leaf("code", Block("CodeLines", info=None) if self.open else Block("IndentedCode"))
+                where.block.children.append(self.leaf.block)
+                self._code_line(self.leaf, line, pos, loose)
+                return self.at + 1
+            if matched >= self.options.max_block_depth:
+                return self._text(para, line, pos, whole, matched)
+            here = self.open[matched - 1] if matched else self.root
+            if self.gfm and here.fresh and here.kind == "item" and not loose and (m := lx.TASK.match(line, pos)):
+                here.block.attrs["task"] = "unchecked" if m[1] == " " else "checked"
+                here.fresh = False
+                pos = m.end()
+                continue
+            body = line[first:]
+            c = body[0]
+            if c in "`~" and (mark := lx.fence(body)):
+                self._close_to(matched)
+                self._leaf_block("fence", mark, cols, info=body[mark[1] :].strip(lx.WS) or None)
+                return self.at + 1
+            if c == "<" and (kind := lx.html_start(body, within)):
+                self._close_to(matched)
+                leaf = self._leaf_block("html", kind, 0)
+                leaf.lines.append((loose, line[pos + loose :]))
+                if lx.html_ends(kind, body):
+                    self._end_leaf()
+                return self.at + 1
+            if c == "[":
+                if not matched and self.gfm and not (within and whole) and (m := lx.FOOTNOTE_DEF.match(body)):
+                    self._close_to(0)
+                    note = {"number": 0, "references": 0}
+                    self.refs.notes[lx.label_key(m[1])] = note  # the last definition of a label counts
+                    self._enter("note", Block("FootnoteDefinition", label=m[1], note=note), 4)
+                    line, pos, loose, matched = " " * (first + m.end()) + body[m.end() :], first + m.end(), 0, 1
+                    continue
+                if not within and (after := self._definition(body, first, matched)) is not None:
+                    return after
+            if within and whole and c in "=-" and (level := lx.setext(body)):
+                return self._underline(para, level)
+            if c in "-*_" and lx.is_rule(body):
+                self._close_to(matched)
+                self._place().block.children.append(Block("HorizontalRule"))
+                return self.at + 1
+            if (c in "-+*" or c.isdigit()) and (m := lx.marker(body)):
+                # A paragraph at top level gives way only to items with content, and to the number one.
+                if not within or self.open or (body[m.width :].strip(lx.WS) and m.number in (None, 1)):
+                    self._close_to(matched)
+                    line, pos, loose = self._item(m, line, pos, cols)
+                    matched = len(self.open)
+                    continue
+            if not matched and self.gfm and "|" in body and (after := self._table(body)) is not None:
+                return after
+            if c == "#" and (head := lx.atx(body)):
+                self._close_to(matched)
+                block = Block("Heading", level=head[0])
+                self._place().block.children.append(block)
+                self._waiting.append((block, "plain", head[1]))
+                return self.at + 1
+            if c == ">":
+                self._close_to(matched)
+                line, pos, loose = _behind_quote(line, pos, cols)
+                alert = lx.ALERT.match(line, pos) if self.gfm else None
+                if alert:
+                    self._enter("quote", Block("Alert", alert=alert[1].lower(), title=line[alert.end() :].strip(lx.TRIM) or None))
+                    self.leaf = Leaf("paragraph")  # a line without marker still belongs to it
+                    return self.at + 1
+                self._enter("quote", Block("Blockquote"))
+                matched = len(self.open)
+                continue
+            return self._text(para, line, pos, whole, matched)
+
+    def _text(self, para: Leaf | None, line: str, pos: int, whole: bool, matched: int) -> int:
+        if para is not None:
+            return self._continue(para, line, pos, whole)
+        self._close_to(matched)
+        where = self._place()
+        self.leaf = para = Leaf("paragraph", Block("Paragraph"))
+        where.block.children.append(para.block)
+        self._waiting.append((para.block, "lines" if self.open else "paragraph", para.lines))
+        return self._continue(para, line, pos, True)
+
+    def _continue(self, para: Leaf, line: str, pos: int, whole: bool) -> int:
+        """Add a line to a paragraph, also to one in containers that refused the line."""
+        if para.block is None:
+            para.block = Block("Paragraph")
+            self._place().block.children.append(para.block)
+            self._waiting.append((para.block, "lines", para.lines))
+        para.lines.append(line[pos:].strip(lx.TRIM) if self.open else line)
+        return self.at + 1
+
+    def _underline(self, para: Leaf, level: int) -> int:
+        para.block.kind = "Heading"
+        para.block.attrs["level"] = level
+        if not self.open:
+            where = next(k for k in range(len(self._waiting) - 1, -1, -1) if self._waiting[k][0] is para.block)
+            self._waiting[where] = (para.block, "plain", "\n".join(para.lines).strip(lx.TRIM))
+        self.leaf = None
+        return self.at + 1
+
+    def _definition(self, body: str, first: int, matched: int) -> int | None:
+        """Take a link definition: of several lines at top level, of one within containers."""
+        if self.leaf is not None and self.leaf.kind == "paragraph" and matched < len(self.open):
+            return None
+        if matched:
+            if (found := scan_definition(body, 0)) is None:
                 return None
-            body, deep = line[n:], n - s.col
-            inside = s.inner is not None and deep >= s.inner
-            if not inside:
-                s.inner = deep + 1 if body.startswith(">") or (not lx.is_rule(body) and lx.marker(body)) else None
-            s.take(line[s.col :], not inside)
-            return Line(line[s.col :])
-        body = line[n:]
-        if n <= 3 and (lx.is_rule(body) or lx.marker(body)):
+            self._close_to(matched)
+            self._place()
+            self._defined["container"].append(Definition(*found[:3], "container"))
+            return self.at + 1
+        if self.starts is None:
+            self.starts = [0, *accumulate(len(x) + 1 for x in self.lines)]
+        if (found := scan_definition(self.text, self.starts[self.at] + first)) is None:
             return None
-        stray = n > 3 and not lx.is_rule(body) and lx.marker(body) is not None
-        if s.blanks or not s.open or (lx.begins_block(body) and not stray):
+        self._close_to(0)
+        self._place()
+        self._defined["top"].append(Definition(*found[:3], "top"))
+        return bisect_left(self.starts, found[3], self.at + 1)
+
+    def _item(self, m: lx.Marker, line: str, pos: int, cols: int) -> tuple[str, int, int]:
+        """Open an item, in the list before it if the markers are alike; returns what is behind the marker."""
+        parent = self.open[-1] if self.open else self.root
+        line, pos, _ = _consume(line, pos, cols)
+        behind = pos + m.width
+        width = m.content_column(pos, line[behind:]) - behind
+        state = parent.list
+        if state is not None and state.marker.like(m):
+            if self.gap == parent.quotes:
+                state.block.attrs["tight"] = False
+                if parent.kind == "item":
+                    parent.outer.block.attrs["tight"] = False
+        else:
+            self._place()
+            kind = {"tight": True} if m.number is None else {"tight": True, "start": m.number, "delim": m.sign}
+            state = ListState(Block("UnorderedList" if m.number is None else "OrderedList", **kind), m)
+            parent.block.children.append(state.block)
+            parent.list = state
+        item = Container("item", Block("ListItem", task=None), cols + m.width + width, parent.quotes, state)
+        parent.fresh = False
+        state.block.children.append(item.block)
+        self.open.append(item)
+        return _consume(line, behind, width)
+
+    def _table(self, head: str) -> int | None:
+        """A header row whose next line is a delimiter row of as many cells, and the rows below."""
+        lines, i = self.lines, self.at
+        if i + 1 == len(lines) or not _has_pipe(head):
             return None
-        return Line(body, stray)
-
-    def _nested_list(self, lines: list[Line], i: int, depth: int) -> tuple[Block, int]:
-        """The list that starts on line i of a container, and the next line."""
-        items: list[Block] = []
-        first: lx.Marker | None = None
-        loose, pending = False, 0
-        while i < len(lines):
-            line = lines[i].text
-            n = lx.spaces(line)
-            body = line[n:]
-            m = lx.marker(body) if n <= 3 and not lx.is_rule(body) else None
-            if m is None or (first is not None and not first.like(m)):
-                break
-            first = first or m
-            loose, pending = loose or pending > 0, 0
-            col = m.content_column(n, body[m.width :])
-            item = [Line(line[col:], lines[i].lazy)] if line[col:] else []
-            i += 1
-            blanks, inner = 0, None
-            while i < len(lines):
-                text = lines[i].text
-                if lx.is_blank(text):
-                    blanks += 1
-                    item.append(Line(""))
-                    i += 1
-                    continue
-                k = lx.spaces(text)
-                rest = text[k:]
-                if k >= col:
-                    inside = inner is not None and k - col >= inner
-                    loose = loose or (blanks > 0 and not inside)
-                    if not inside:
-                        inner = k - col + 1 if rest.startswith(">") or (not lx.is_rule(rest) and lx.marker(rest)) else None
-                    blanks = 0
-                    item.append(Line(text[col:], lines[i].lazy))
-                elif not (k <= 3 and lx.marker(rest)) and not blanks and not lx.begins_block(rest):
-                    item.append(Line(text.strip(lx.TRIM)))
-                else:
-                    break
-                i += 1
-            pending = _pop_blanks(item)
-            items.append(self._item(item, depth))
-        return self._list(first, items, not loose), i
-
-    @staticmethod
-    def _list(m: lx.Marker, items: list[Block], tight: bool) -> Block:
-        if m.number is None:
-            return Block("UnorderedList", items, tight=tight)
-        return Block("OrderedList", items, tight=tight, start=m.number, delim=m.sign)
-
-    def _item(self, lines: list[Line], depth: int) -> Block:
-        task = lx.TASK.match(lines[0].text) if self.gfm and lines and not lines[0].pad else None
-        if task:
-            lines = [lines[0]._replace(text=lines[0].text[task.end() :]), *lines[1:]]
-        return Block("ListItem", self._container(lines, depth), task=("unchecked" if task[1] == " " else "checked") if task else None)
-
-    # -------------------------------------------------------------- definitions in containers
-    def _sweep(self) -> None:
-        for raw in self._raw:
-            for lines in [raw[1]] if raw[0] == "Quote" else raw[2] if raw[0] == "List" else []:
-                open_para, opened = False, None
-                for line in lines:
-                    text = line.text
-                    if lx.is_blank(text):
-                        open_para = False
-                        continue
-                    body = text[lx.peel(text) :]
-                    if opened:
-                        opened = None if lx.closes(body, opened) else opened
-                        continue
-                    inner = body.lstrip(" ")
-                    if len(body) - len(inner) >= 4 and not open_para:
-                        continue
-                    if f := lx.fence(inner):
-                        opened, open_para = f, False
-                    elif not open_para and inner.startswith("[") and (found := scan_definition(inner, 0)):
-                        self._define(*found[:3], "container")
-                    else:
-                        open_para = not lx.begins_block(inner)
-
-    # -------------------------------------------------------------- pass 2: raw blocks to blocks
-    def _resolve(self, kind: str, *raw) -> Block:
-        if kind == "Paragraph":
-            return Block("Paragraph", inline=self.inline.paragraph(raw[0]))
-        if kind == "Heading":
-            return Block("Heading", inline=self.inline.plain(raw[1]), level=raw[0])
-        if kind == "Fenced":
-            info, literal, indent = raw
-            if not indent:
-                return Block("CodeBlock", info=info, literal=literal)
-            strip = re.compile(rf" {{0,{indent}}}")
-            return Block("CodeLines", info=info, lines=[(0, x[strip.match(x).end() :]) for x in literal.split("\n")] if literal else [])
-        if kind == "IndentedCode":
-            return Block("IndentedCode", literal=raw[0])
-        if kind == "Html":
-            return Block("HtmlBlock", literal=raw[0])
-        if kind == "Rule":
-            return Block("HorizontalRule")
-        if kind == "Quote":
-            return self._quote(raw[0], 1)
-        if kind == "List":
-            m, items, tight = raw
-            return self._list(m, [self._item(x, 1) for x in items], tight)
-        if kind == "Footnote":
-            label, lines, slot = raw
-            return Block("FootnoteDefinition", self._container(lines, 1), label=label, note=self.refs.notes[lx.label_key(label)], slot=slot)
-        align, rows = raw
-        made = []
+        n = lx.indent_of(lines[i + 1])
+        align = alignments(lines[i + 1][n:]) if n is not None else None
+        if align is None or len(align) != len(split_row(head)):
+            return None
+        rows, end = [head], i + 2
+        while end < len(lines) and not lx.is_blank(lines[end]) and (n := lx.indent_of(lines[end])) is not None and not lx.begins_block(lines[end][n:]):
+            rows.append(lines[end])
+            end += 1
+        self._close_to(0)
+        table = Block("Table", columns=len(align))
+        self._place().block.children.append(table)
         for r, row in enumerate(rows):
             cells = [c.strip(lx.TRIM) for c in split_row(row)][: len(align)]
-            cells += [""] * (len(align) - len(cells))
-            made.append(Block("TableRow", [Block("TableCell", inline=self.inline.plain(c), align=a if k < ALIGNED_COLUMNS else "none") for k, (c, a) in enumerate(zip(cells, align, strict=True))], header=r == 0))
-        return Block("Table", made, columns=len(align))
-
-    def _quote(self, lines: list[Line], depth: int) -> Block:
-        alert = lx.ALERT.match(lines[0].text) if self.gfm and lines else None
-        if alert is None:
-            return Block("Blockquote", self._container(lines, depth))
-        title = lines[0].text[alert.end() :].strip(lx.TRIM)
-        return Block("Alert", self._container(lines[1:], depth), alert=alert[1].lower(), title=title or None)
-
-    def _container(self, lines: list[Line], depth: int) -> list[Block]:
-        out: list[Block] = []
-        para: list[str] = []
-
-        def flush() -> None:
-            if para:
-                out.append(Block("Paragraph", inline=self.inline.lines(para)))
-                para.clear()
-
-        i = 0
-        while i < len(lines):
-            text, lazy, pad = lines[i]
-            if lx.is_blank(text):
-                flush()
-                i += 1
-                continue
-            body = text.lstrip(" ")
-            n = len(text) - len(body)
-            cols = pad + lx.columns(text) if pad else n
-            if cols >= 4 and not para:
-                code, i = self._indented(lines, i)
-                out.append(Block("CodeLines", info=None, lines=code))
-                continue
-            if not para and body.startswith("[") and scan_definition(body, 0):
-                i += 1
-                continue
-            if cols <= 3 and depth < self.options.max_block_depth:
-                if body.startswith(">"):
-                    flush()
-                    inner, i = self._quote_run(lines, i)
-                    out.append(self._quote(inner, depth + 1))
-                    continue
-                if head := lx.atx(body):
-                    flush()
-                    out.append(Block("Heading", inline=self.inline.plain(head[1]), level=head[0]))
-                    i += 1
-                    continue
-                if opened := lx.fence(body):
-                    flush()
-                    i += 1
-                    code = []
-                    while i < len(lines):
-                        t = lines[i].text
-                        i += 1
-                        if lx.closes(t[min(3, lx.spaces(t)) :], opened):
-                            break
-                        code.append((0, t[n:]))
-                    out.append(Block("CodeLines", info=body[opened[1] :].strip(lx.WS) or None, lines=code))
-                    continue
-                if kind := lx.html_start(body, bool(para)):
-                    flush()
-                    html = []
-                    while i < len(lines) and not (kind > 5 and lx.is_blank(lines[i].text)):
-                        html.append((0, lines[i].text))
-                        i += 1
-                        if lx.html_ends(kind, html[-1][1]):
-                            break
-                    out.append(Block("HtmlLines", lines=html))
-                    continue
-                if para and not lazy and (level := lx.setext(body)):
-                    out.append(Block("Heading", inline=self.inline.lines(para), level=level))
-                    para = []
-                    i += 1
-                    continue
-                if lx.is_rule(body):
-                    flush()
-                    out.append(Block("HorizontalRule"))
-                    i += 1
-                    continue
-                if not lazy and lx.marker(body):
-                    flush()
-                    made, i = self._nested_list(lines, i, depth + 1)
-                    out.append(made)
-                    continue
-            para.append(text.strip(lx.TRIM))
-            i += 1
-        flush()
-        return out
-
-    @staticmethod
-    def _indented(lines: list[Line], i: int) -> tuple[list[tuple[int, str]], int]:
-        code: list[tuple[int, str]] = []
-        while i < len(lines):
-            text, _, pad = lines[i]
-            if lx.is_blank(text):
-                code.append((0, ""))
-            elif (pad + lx.columns(text) if pad else lx.spaces(text)) < 4:
-                break
-            elif pad >= 4:
-                code.append((pad - 4, text))
-            else:
-                at, left = lx.at_column(text, 4 - pad)
-                code.append((left, text[at:]))
-            i += 1
-        while code and code[-1] == (0, ""):
-            code.pop()
-        return code, i
-
-    @staticmethod
-    def _quote_run(lines: list[Line], i: int) -> tuple[list[Line], int]:
-        out: list[Line] = []
-        open_para = False
-        while i < len(lines):
-            text = lines[i].text
-            body = text[min(3, lx.spaces(text)) :]
-            if body.startswith(">"):
-                rest = body[1:].removeprefix(" ")
-                open_para = lx.paragraph_tail(rest)
-                out.append(Line(rest, lines[i].lazy))
-            elif open_para and not lx.is_blank(text) and not lx.begins_block(text.lstrip(" ")):
-                out.append(Line(text.strip(lx.TRIM), True))
-            else:
-                break
-            i += 1
-        return out, i
-
-
-class _Item:
-    """What a top-level list remembers of the item it is in."""
-
-    __slots__ = ("blanks", "col", "fence", "hollow", "inner", "loose", "open")
-
-    def __init__(self, col: int, fence):
-        self.col, self.fence = col, fence
-        self.blanks, self.inner, self.loose, self.open, self.hollow = 0, None, False, True, False
-
-    def take(self, content: str, direct: bool) -> None:
-        """Count a line of content; a blank line before a direct child loosens the list."""
-        self.loose = self.loose or (self.blanks > 0 and direct)
-        self.blanks, self.open = 0, True
-        body = content.lstrip(" ")
-        if self.fence:
-            if lx.closes(content[min(3, len(content) - len(body)) :], self.fence):
-                self.fence = None
-        elif len(content) - len(body) <= 3:
-            self.fence = lx.fence(body)
-
-
-def _pop_blanks(item: list[Line]) -> int:
-    n = 0
-    while item and not item[-1].text:
-        item.pop()
-        n += 1
-    return n
+            made = Block("TableRow", header=r == 0)
+            for k, a in enumerate(align):
+                cell = Block("TableCell", align=a if k < ALIGNED_COLUMNS else "none")
+                self._waiting.append((cell, "plain", cells[k] if k < len(cells) else ""))
+                made.children.append(cell)
+            table.children.append(made)
+        return end
+
+    # -------------------------------------------------------------- opening and closing
+    def _place(self) -> Container:
+        """The innermost container, about to get a child that is no item: a blank line before it loosens its list."""
+        self._end_leaf()
+        c = self.open[-1] if self.open else self.root
+        c.list = None
+        if c.kind == "item" and not c.fresh and self.gap == c.quotes:
+            c.outer.block.attrs["tight"] = False
+        c.fresh = False
+        return c
+
+    def _enter(self, kind: str, block: Block, width: int = 0) -> None:
+        where = self._place()
+        where.block.children.append(block)
+        self.open.append(Container(kind, block, width, where.quotes + (kind == "quote")))
+
+    def _leaf_block(self, kind: str, mark, indent: int, **attrs) -> Leaf:
+        where = self._place()
+        if kind == "html":
+            block = Block("HtmlLines" if self.open else "HtmlBlock")
+        else:
+            block = Block("CodeLines" if self.open or indent else "CodeBlock", **attrs)
+        where.block.children.append(block)
+        self.leaf = Leaf(kind, block, mark, indent)
+        return self.leaf
+
+    def _close_to(self, matched: int) -> None:
+        """Close the containers that refused the line, and whatever leaf is open."""
+        self._end_leaf()
+        del self.open[matched:]
+
+    def _end_leaf(self, at_end: bool = False) -> None:
+        leaf, self.leaf = self.leaf, None
+        if leaf is None or leaf.block is None or leaf.kind == "paragraph":
+            return
+        kind, attrs = leaf.block.kind, leaf.block.attrs
+        if leaf.kind == "code":
+            while leaf.lines and (lx.is_blank(leaf.lines[-1]) if kind == "IndentedCode" else leaf.lines[-1][1].strip(lx.WS) == ""):
+                leaf.lines.pop()
+        if kind in ("CodeLines", "HtmlLines"):
+            attrs["lines"] = leaf.lines
+        elif kind == "IndentedCode":
+            attrs["literal"] = "\n".join(leaf.lines)
+        else:
+            attrs["literal"] = "\n".join(" " * pad + t for pad, t in leaf.lines)
+            if kind == "CodeBlock" and at_end and leaf.lines and self.text.endswith("\n"):
+                attrs["literal"] += "\n"  # of a fence that nothing closes, the last line break is content
+
+
+def _indent(line: str, pos: int) -> tuple[int, int]:
+    """(index behind the blanks at ``pos``, columns that they span); all before ``pos`` is one column a character."""
+    i, col, n = pos, pos, len(line)
+    while i < n:
+        c = line[i]
+        if c == " ":
+            col += 1
+        elif c == "\t":
+            col += 4 - col % 4
+        else:
+            break
+        i += 1
+    return i, col - pos
+
+
+def _consume(line: str, pos: int, width: int) -> tuple[str, int, int]:
+    """(line, index, blanks left of a tab) ``width`` columns of blanks further; tabs on the way become blanks.
+
+    A line with fewer blanks is taken to their end.
+    """
+    target, left = pos + width, 0
+    while pos < target and pos < len(line):
+        c = line[pos]
+        if c == "\t":
+            wide = 4 - pos % 4
+            line = line[:pos] + " " * wide + line[pos + 1 :]
+            left = max(0, pos + wide - target)
+            pos = min(target, pos + wide)
+        elif c == " ":
+            pos += 1
+        else:
+            break
+    return line, pos, left
+
+
+def _behind_quote(line: str, pos: int, cols: int) -> tuple[str, int, int]:
+    line, pos, _ = _consume(line, pos, cols)
+    return _consume(line, pos + 1, 1)
 
 
 def _has_pipe(row: str) -> bool:

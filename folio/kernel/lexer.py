@@ -12,11 +12,6 @@ WS = " \t\n\f\r"
 UNICODE_SPACE = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 TRIM = "".join(sorted(UNICODE_SPACE))
 PUNCT = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-#: Ranges that count as punctuation beside emphasis delimiters.
-FLANK_RANGES = (
-    (0x00A1, 0x00BF), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20CF), (0x2190, 0x23FF), (0x2500, 0x2BFF),
-    (0x3000, 0x303F), (0xFE30, 0xFE6F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65),
-)
 #: Tags that open an HTML block by themselves, and those whose text is raw.
 BLOCK_TAGS = (
     "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset "
@@ -32,7 +27,6 @@ FENCE = re.compile(r"(`{3,})([^`]*)\Z|(~{3,})(.*)\Z", re.S)
 ATX = re.compile(r"(#{1,6})(?:[ \t]+|\Z)")
 MARKER = re.compile(r"(?:([-+*])|([0-9]{1,9})([.)]))(?=[ \t]|\Z)")
 SETEXT = re.compile(r"(=+|-+)[ \t]*\Z")
-MAY_START = re.compile(r"[#>\-*+_0-9`~]")
 
 ATTRIBUTE = r"""(?:[ \t\n]+[A-Za-z_:][A-Za-z0-9_.:-]*(?:[ \t\n]*=[ \t\n]*(?:[^ \t\n"'=<>`]+|'[^']*'|"[^"]*"))?)"""
 OPEN_TAG = rf"<[A-Za-z][A-Za-z0-9-]*{ATTRIBUTE}*[ \t\n]*/?>"
@@ -137,20 +131,12 @@ class Marker:
     def like(self, other: Marker) -> bool:
         return self.sign == other.sign and (self.number is None) == (other.number is None)
 
-    def content_column(self, indent: int, rest: str) -> int:
-        """Where the item's content stands: after one to four columns of blanks, else right after the marker's blank."""
-        at = indent + self.width
-        if not rest.strip(WS):
-            return at + 1
-        _, col = 0, at
-        for c in rest:
-            if c == " ":
-                col += 1
-            elif c == "\t":
-                col += 4 - col % 4
-            else:
-                break
-        return col if 1 <= col - at <= 4 else at + 1
+    def content_column(self, column: int, rest: str) -> int:
+        """Where the content of an item stands whose marker is at ``column``: behind one to four columns of blanks, else behind one."""
+        at = column + self.width
+        blanks = rest[: len(rest) - len(rest.lstrip(" \t"))]
+        gap = len((" " * at + blanks).expandtabs(4)) - at
+        return at + (gap if 1 <= gap <= 4 and rest.strip(WS) else 1)
 
 
 def marker(body: str) -> Marker | None:
@@ -167,39 +153,6 @@ def begins_block(body: str) -> bool:
     return not body or body[0] == ">" or MARKER.match(body) is not None or is_rule(body) or fence(body) is not None or ATX.match(body) is not None
 
 
-def paragraph_tail(body: str) -> bool:
-    """Whether a line leaves a paragraph open in the innermost container that its markers open."""
-    while True:
-        if is_blank(body):
-            return False
-        n = spaces(body)
-        if n > 3:
-            return False
-        body = body[n:]
-        if body[0] == ">":
-            body = body[1:].removeprefix(" ")
-        elif not is_rule(body) and (m := marker(body)):
-            body = body[m.width :].removeprefix(" ")
-        else:
-            return not (is_rule(body) or fence(body) or ATX.match(body))
-
-
-def peel(body: str) -> int:
-    """Characters of quote and list markers in front of the innermost content."""
-    at = 0
-    while True:
-        n = spaces(body[at:])
-        rest = body[at + n :]
-        if n > 3 or not rest:
-            return at
-        if rest[0] == ">":
-            at += n + 1 + rest[1:].startswith(" ")
-        elif not is_rule(rest) and (m := marker(rest)) and len(rest) > m.width:
-            at += n + m.width + 1
-        else:
-            return at
-
-
 def html_start(body: str, in_paragraph: bool) -> int | None:
     """Kind 1 to 7 of the HTML block that a line opens."""
     if not body.startswith("<"):
@@ -250,8 +203,7 @@ def char_class(c: str) -> int:
         return 0
     if c in PUNCT:
         return 1
-    n = ord(c)
-    return 1 if n > 127 and any(a <= n <= b for a, b in FLANK_RANGES) else 2
+    return 1 if not c.isascii() and category(c)[0] in "PS" else 2
 
 
 @lru_cache(maxsize=4096)

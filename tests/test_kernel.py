@@ -48,6 +48,11 @@ def inline(text, dialect="gfm"):
         ("[^a]: x\n\n    y\nz", [("FootnoteDefinition", "Paragraph", "Paragraph"), ]),
         ("> [^a]: x", ["Blockquote"]),  # a link definition there
         ("[a]: /b\n[a]", ["Paragraph"]),
+        ("- a\n<div>", [("UnorderedList", ("ListItem", "Paragraph")), "HtmlBlock"]),
+        (">\t\t\tcode", [("Blockquote", "CodeLines")]),
+        ("> ```\n> a\nb", [("Blockquote", "CodeLines"), "Paragraph"]),
+        ("> - a\nlazy\n> - b", [("Blockquote", ("UnorderedList", ("ListItem", "Paragraph"), ("ListItem", "Paragraph")))]),
+        (">     ", ["Blockquote"]),
     ],
 )
 def test_blocks(text, want):
@@ -67,6 +72,9 @@ def test_strict_has_no_extensions():
     [
         ("a *b **c** d* e", [("Text", "a "), ("Italic", None), ("Text", "b "), ("Bold", None), ("Text", "c"), ("Text", " d"), ("Text", " e")]),
         ("~a~ ~~b~~ ~~~c~~~ ~d~~", [("Strikethrough", None), ("Text", "a"), ("Text", " "), ("Strikethrough", None), ("Text", "b"), ("Text", " ~~~c~~~ ~d~~")]),
+        ("\\``", [("Text", "``")]),
+        ("\\``x` y", [("Text", "`"), ("Code", "x"), ("Text", " y")]),
+        ("\\`x`", [("Text", "`x`")]),
         ("`a` ``b`c``", [("Code", "a"), ("Text", " "), ("Code", "b`c")]),
         ("a  \nb\\\nc\nd", [("Text", "a"), ("HardBreak", None), ("Text", "b"), ("HardBreak", None), ("Text", "c"), ("SoftBreak", None), ("Text", "d")]),
         ("[a [b](c) d](e)", [("Text", "[a "), ("Link", "c"), ("Text", "b"), ("Text", " d](e)")]),
@@ -74,7 +82,7 @@ def test_strict_has_no_extensions():
         ("<b>x</b> <http://a.b> <c@d.e>", [("RawHtml", "<b>"), ("Text", "x"), ("RawHtml", "</b>"), ("Text", " "), ("Autolink", "http://a.b"), ("Text", " "), ("Autolink", "c@d.e")]),
         ("see www.a.com/b). (http://x.y/(z)) me@a.bc.", [("Text", "see "), ("Autolink", "www.a.com/b"), ("Text", "). ("), ("Autolink", "http://x.y/(z)"), ("Text", ") "), ("Autolink", "me@a.bc"), ("Text", ".")]),
         ("[www.a.com](/x)", [("Link", "/x"), ("Text", "www.a.com")]),
-        ("&copy; &#65; \\&copy; &amp\;", [("Text", "© A &copy; &amp;")]),
+        (r"&copy; &#65; \&copy; &amp\;", [("Text", "© A &copy; &amp;")]),
         ("http://a.bc?x=1&amp; ftp://d.e", [("Autolink", "http://a.bc?x=1"), ("Text", "& "), ("Autolink", "ftp://d.e")]),
         ("mailto:a@b.cd xmpp:e@f.gh/i x_y@a_b.cd", [("Autolink", "mailto:a@b.cd"), ("Text", " "), ("Autolink", "xmpp:e@f.gh/i"), ("Text", " "), ("Autolink", "x_y@a_b.cd")]),
     ],
