@@ -1,7 +1,7 @@
 """SQL names: scalar functions and table functions over the kernel.
 
-``register(spark)`` makes available the native ``md_normalize``, ``md_is_blank``, ``md_is_hr``,
-``md_heading_level``, ``md_task_state`` and ``md_escape_html``, then ``md_to_html(text, dialect)``, ``md_label_norm``,
+``register(spark)`` makes available the native line functions and escapes (``md_is_blank``,
+``md_line_kind``, ``md_heading_level``, ... see NATIVE), then ``md_to_html(text, dialect)``, ``md_label_norm``,
 ``md_decode_entities``, ``md_href`` and ``md_link_title`` as Arrow-batched scalars, and ``md_blocks``,
 ``md_inlines``, ``md_link_defs`` and ``md_texts`` as table functions, for use with LATERAL.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
+from folio.functions import native
 from folio.kernel import html as rendering
 from folio.kernel import lexer as lx
 from folio.kernel.block import Options, parse
@@ -69,29 +70,45 @@ SCALARS = (md_to_html, md_label_norm, md_decode_entities, md_href, md_autolink_h
 
 
 def _table_function(relation: str):
+    """A table function whose rows travel as Arrow batches."""
+
     class Rows:
         def eval(self, doc_id: int, text: str, dialect: str):
             if text is not None:
                 yield from relations._kernel(relation, Options(dialect), None)(doc_id, text)
 
     Rows.__name__ = f"Md{relation.title().replace('_', '')}"
-    return udtf(Rows, returnType=relations.SCHEMAS[relation])
+    return udtf(Rows, returnType=relations.SCHEMAS[relation], useArrow=True)
 
 
-#: Native functions as SQL functions: their bodies are inlined into the query, and run in generated code.
+#: Native line functions by SQL name. Their expressions become the bodies of SQL functions, inlined into the query.
 NATIVE = {
-    "md_normalize": ("string", r"regexp_replace(x, r'\r\n?', '\n')"),
-    "md_is_blank": ("boolean", r"x rlike r'^[ \t\f\r\n]*\z'"),
-    "md_is_hr": ("boolean", r"x rlike r'^ {0,3}([-*_])[ \t]*(\1[ \t]*){2,}\z'"),
-    "md_heading_level": ("int", r"nullif(length(regexp_extract(x, r'^ {0,3}(#{1,6})(?:[ \t]|\z)', 1)), 0)"),
-    "md_task_state": ("string", r"case regexp_extract(x, r'^ {0,3}\[([ xX])\](?=\s|\z)', 1) when ' ' then 'unchecked' when '' then null else 'checked' end"),
-    "md_escape_html": ("string", "replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"),
+    "md_normalize": native.normalize, "md_is_blank": native.is_blank, "md_shallow_indent": native.has_shallow_indent, "md_leading_spaces": native.leading_spaces, "md_opens_fence": native.opens_fence,
+    "md_fence_mark": native.fence_mark, "md_info_string": native.info_string, "md_is_hr": native.is_rule, "md_heading_level": native.heading_level, "md_heading_text": native.heading_text,
+    "md_list_marker": native.list_marker, "md_list_delimiter": native.list_delimiter, "md_content_column": native.content_column, "md_setext_level": native.setext_level, "md_begins_block": native.begins_block,
+    "md_could_start_block": native.could_start_block, "md_opens_html": native.opens_html, "md_delimiter_columns": native.delimiter_columns, "md_alignment": native.alignment, "md_task_state": native.task_state,
+    "md_alert_kind": native.alert_kind, "md_line_kind": native.line_kind, "md_escape_html": native.escape_html, "md_escape_code_span": native.escape_code_span, "md_strip_code_indent": native.strip_code_indent,
+    "md_cell_literal": native.cell_literal, "md_filter_tags": native.filter_tags, "md_autolink_prefix": native.autolink_prefix, "md_may_have_url": native.may_have_url, "md_has_inline_syntax": native.has_inline_syntax,
+}
+#: Those of higher-order functions, whose text Spark doesn't give back: name to type and body.
+HIGHER_ORDER = {
+    "md_leading_columns": ("int", r"aggregate(split(regexp_extract(x, r'^([ \t]*)', 1), ''), 0, (n, c) -> case c when '\t' then n + 4 - n % 4 when ' ' then n + 1 else n end)"),
+    "md_split_row": ("array<string>", r"transform(split(regexp_replace(trim(x), r'^\||\|\z', ''), r'(?<=(?<!\\)(?:\\\\){0,100})\|', -1), c -> trim(c))"),
+    "md_label_key": ("string", f"replace(array_join(transform(regexp_extract_all(regexp_replace(regexp_replace(x, r'[{native._BLANKS}]+', ' '), r'^ | \\z', ''), '(?s).', 0), c -> lower(c)), ''), 'ß', 'ss')"),
 }
 
 
+def _sql_of(spark: SparkSession, f) -> tuple[str, str]:
+    """(type, SQL text) of a native function of a string column x."""
+    one = spark.createDataFrame([], "x string").select(f("x").alias("y"))
+    expression = one._jdf.queryExecution().analyzed().expressions().head().child()
+    return one.schema["y"].dataType.simpleString(), expression.sql()
+
+
 def register(spark: SparkSession) -> None:
     ship(spark)
-    for name, (kind, body) in NATIVE.items():
+    bodies = {name: _sql_of(spark, f) for name, f in NATIVE.items()} | HIGHER_ORDER
+    for name, (kind, body) in bodies.items():
         spark.sql(f"create or replace temporary function {name}(x string) returns {kind} return {body}")
     for f in SCALARS:
         spark.udf.register(f.__name__, f)

@@ -390,6 +390,7 @@ class Document:
             para.block = Block("Paragraph")
             self._place().block.children.append(para.block)
             self._waiting.append((para.block, "lines", para.lines))
+            self.leaf = para
         para.lines.append(line[pos:].strip(lx.TRIM) if self.open else line)
         return self.at + 1
 
@@ -444,6 +445,7 @@ class Document:
         parent.fresh = False
         state.block.children.append(item.block)
         self.open.append(item)
+        self.gap = None  # the blank line stood before the item, not within it
         return _consume(line, behind, width)
 
     def _table(self, head: str) -> int | None:
@@ -487,6 +489,7 @@ class Document:
         where = self._place()
         where.block.children.append(block)
         self.open.append(Container(kind, block, width, where.quotes + (kind == "quote")))
+        self.gap = None
 
     def _leaf_block(self, kind: str, mark, indent: int, **attrs) -> Leaf:
         where = self._place()

@@ -41,16 +41,21 @@ ATTRIBUTES = {
 _KEYS = tuple(ATTRIBUTES.values())
 
 
-def block_tuples(nodes: Nodes, only: frozenset[str] | None = None) -> list[tuple]:
-    """Rows without the document's id, in the order of ``operators.relations.BLOCKS``."""
+def block_tuples(nodes: Nodes, only: frozenset[str] | None = None, more: bool = False) -> list[tuple]:
+    """Rows without the document's id, in the order of ``operators.relations.BLOCKS``, with ``more`` also of MORE."""
     out = []
+    above: list[list[dict]] = []
     for n, b in enumerate(nodes.blocks):
+        if more:
+            up = nodes.parents[n]
+            above.append([] if up is None else [*above[up], {"node_id": up, "kind": nodes.blocks[up].kind}])
         if only is None or b.kind in only:
             a = b.attrs
             values = [a.get(k) for k in _KEYS]
             if values[9] is not None:
                 values[9] = [{"pad": p, "text": t} for p, t in values[9]]
-            out.append((n, nodes.parents[n], nodes.ordinals[n], nodes.depths[n], nodes.sizes[n], b.kind, *values))
+            row = (n, nodes.parents[n], nodes.ordinals[n], nodes.depths[n], nodes.sizes[n], b.kind, *values)
+            out.append((*row, above[n], text_of(b.inline) if b.inline is not None else None) if more else row)
     return out
 
 
@@ -113,6 +118,7 @@ def inline_rows(nodes: list[Inline], node_id: int, first: int = 0) -> list[dict]
                 "node_id": node_id, "inline_id": at, "parent_inline_id": parent, "ordinal": ordinal, "depth": depth, "subtree_len": 0, "kind": x.kind,
                 "text": x.text if x.kind in ("Text", "Code", "RawHtml", "Autolink") else None, "url": x.url, "title": x.title,
                 "autolink_kind": x.extra if x.kind == "Autolink" else None, "fn_label": note[0], "fn_number": note[1], "fn_occurrence": note[2],
+                "content": text_of(x.children or []) if x.kind in ("Link", "Image") else None,
             }
         )
         if x.children:

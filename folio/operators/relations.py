@@ -27,12 +27,15 @@ BLOCKS = (
 )
 INLINES = (
     "doc_id long, node_id int, inline_id int, parent_inline_id int, ordinal int, depth int, subtree_len int, kind string, text string, url string, title string, "
-    "autolink_kind string, fn_label string, fn_number long, fn_occurrence long"
+    "autolink_kind string, fn_label string, fn_number long, fn_occurrence long, content string"
 )
+#: What ``parse_blocks(more=True)`` adds: the nodes above, the outermost first, and the plain text of inline content.
+MORE = "ancestors array<struct<node_id: int, kind: string>>, text string"
 LINK_DEFS = "doc_id long, def_order int, label string, label_norm string, url string, title string, scope string"
 TEXTS = "doc_id long, node_id int, parent_id int, kind string, level int, task string, table_id int, row_no int, col_no int, align string, text string"
 HTML = "doc_id long, html string"
-SCHEMAS = {"blocks": BLOCKS, "inlines": INLINES, "link_defs": LINK_DEFS, "texts": TEXTS, "html": HTML}
+ERRORS = "doc_id long, error string"
+SCHEMAS = {"blocks": BLOCKS, "more": f"{BLOCKS}, {MORE}", "inlines": INLINES, "link_defs": LINK_DEFS, "texts": TEXTS, "html": HTML, "errors": ERRORS}
 #: Rows of an Arrow batch of documents, and relation rows given out at a time.
 DOCUMENTS_PER_BATCH, ROWS_PER_BATCH = 256, 20_000
 
@@ -47,13 +50,20 @@ def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+#: Bytes that a task reads of a small table, when it is dealt to all cores.
+SPREAD_BYTES = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table that is read in fewer tasks than there are cores to all of them.
+    """Deal a table of few bytes, which one task would read, to all cores.
 
-    A shuffle of the texts: worth it for one small file, never for a table of many.
+    A shuffle of the texts: worth it for one small file, never for a table of many. The plan's own
+    estimate decides, so nothing is run; of joins it is far too large, and they are left as they are
+    (their shuffles have dealt the rows already).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if estimate < cores * SPREAD_BYTES else df
 
 
 def _kernel(relation: str, options: Options, only: frozenset[str] | None):
@@ -66,8 +76,8 @@ def _kernel(relation: str, options: Options, only: frozenset[str] | None):
         if relation == "link_defs":
             return [(doc_id, *r.values()) for r in definition_rows(doc)]
         nodes = Nodes(doc)
-        if relation == "blocks":
-            return [(doc_id, *r) for r in block_tuples(nodes, only)]
+        if relation in ("blocks", "more"):
+            return [(doc_id, *r) for r in block_tuples(nodes, only, relation == "more")]
         if relation == "texts":
             return [(doc_id, *r) for r in text_tuples(nodes, only)]
         out: list[tuple] = []
@@ -82,8 +92,18 @@ def _kernel(relation: str, options: Options, only: frozenset[str] | None):
     return rows_of
 
 
-def _parse(df: DataFrame, relation: str, dialect: str, id_col: str, text_col: str, only: set[str] | None = None, **limits: int) -> DataFrame:
-    rows_of = _kernel(relation, Options(dialect, **limits), frozenset(only) if only is not None else None)
+def _parse(df: DataFrame, relation: str, dialect: str, id_col: str, text_col: str, only: set[str] | None = None, permissive: bool = False, **limits: int) -> DataFrame:
+    strict = _kernel("html" if relation == "errors" else relation, Options(dialect, **limits), frozenset(only) if only is not None else None)
+
+    def rows_of(doc_id, text: str) -> list[tuple]:
+        if not permissive:
+            return strict(doc_id, text)
+        try:
+            found = strict(doc_id, text)
+        except Exception as e:  # noqa: BLE001 - one document must not end a job over all of them
+            return [(doc_id, f"{type(e).__name__}: {e}")] if relation == "errors" else [(doc_id, None)] if relation == "html" else []
+        return [] if relation == "errors" else found
+
     schema = T.StructType.fromDDL(SCHEMAS[relation])
     arrow = to_arrow_schema(schema)
 
@@ -107,35 +127,42 @@ def _parse(df: DataFrame, relation: str, dialect: str, id_col: str, text_col: st
     return _source(df, id_col, text_col).mapInArrow(run, schema)
 
 
-def parse_blocks(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id", text_col: str = "text", kinds: set[str] | None = None, **limits: int) -> DataFrame:
+def parse_blocks(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id", text_col: str = "text", kinds: set[str] | None = None, more: bool = False, permissive: bool = False, **limits: int) -> DataFrame:
     """The blocks of each document, in document order by ``node_id``; ``kinds`` keeps only some.
 
-    A null text has no blocks. Rows that repeat an id are parsed each by itself.
+    A null text has no blocks. Rows that repeat an id are parsed each by itself. ``more`` adds the
+    columns of MORE in the same pass. ``permissive`` (here and below): a document that the parser
+    fails on has no rows, or a null html, and is named by ``parse_errors``; else it ends the job.
     """
-    return _parse(df, "blocks", dialect, id_col, text_col, kinds, **limits)
+    return _parse(df, "more" if more else "blocks", dialect, id_col, text_col, kinds, permissive, **limits)
 
 
-def parse_inlines(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id", text_col: str = "text", kinds: set[str] | None = None, **limits: int) -> DataFrame:
+def parse_inlines(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id", text_col: str = "text", kinds: set[str] | None = None, permissive: bool = False, **limits: int) -> DataFrame:
     """The inline elements of each document; ``node_id`` is the block that holds them."""
-    return _parse(df, "inlines", dialect, id_col, text_col, kinds, **limits)
+    return _parse(df, "inlines", dialect, id_col, text_col, kinds, permissive, **limits)
 
 
-def parse_link_defs(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+def parse_link_defs(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id", text_col: str = "text", permissive: bool = False, **limits: int) -> DataFrame:
     """All link reference definitions, in the order in which they count: the first of a label wins."""
-    return _parse(df, "link_defs", dialect, id_col, text_col, **limits)
+    return _parse(df, "link_defs", dialect, id_col, text_col, None, permissive, **limits)
 
 
-def parse_texts(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id", text_col: str = "text", kinds: set[str] | None = None, **limits: int) -> DataFrame:
+def parse_texts(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id", text_col: str = "text", kinds: set[str] | None = None, permissive: bool = False, **limits: int) -> DataFrame:
     """Headings, paragraphs, list items and table cells with their plain text and a cell's place.
 
     What joins of blocks and inlines give too (``headings``, ``table_cells``), without a shuffle.
     """
-    return _parse(df, "texts", dialect, id_col, text_col, kinds, **limits)
+    return _parse(df, "texts", dialect, id_col, text_col, kinds, permissive, **limits)
 
 
-def render_html(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+def render_html(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id", text_col: str = "text", permissive: bool = False, **limits: int) -> DataFrame:
     """doc_id and html; a null text has a null html."""
-    return _parse(df, "html", dialect, id_col, text_col, **limits)
+    return _parse(df, "html", dialect, id_col, text_col, None, permissive, **limits)
+
+
+def parse_errors(df: DataFrame, dialect: str = "gfm", id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+    """doc_id and error of each document that parsing or rendering fails on."""
+    return _parse(df, "errors", dialect, id_col, text_col, None, True, **limits)
 
 
 def line_relation(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,9 +187,14 @@ def children(blocks: DataFrame) -> DataFrame:
 def descendants(blocks: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """(doc_id, node_id, kind, below_id, below_kind): each node with all nodes in its subtree.
 
-    ``above`` are the nodes to start from, all by default. Joined on the document, then by the interval
-    of node ids that a subtree covers.
+    ``above`` are the nodes to start from, all by default. With the ancestors of ``parse_blocks(more=True)``
+    each node names what holds it, so there are no more rows than there are answers; without, it is a
+    join on the document and then by the interval of node ids that a subtree covers.
     """
+    if "ancestors" in blocks.columns:
+        pairs = blocks.select("doc_id", F.explode("ancestors").alias("__a"), F.col("node_id").alias("below_id"), F.col("kind").alias("below_kind"))
+        found = pairs.select("doc_id", F.col("__a.node_id").alias("node_id"), F.col("__a.kind").alias("kind"), "below_id", "below_kind")
+        return found if above is None else found.join(above.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi")
     a = (above if above is not None else blocks).select("doc_id", "node_id", "kind", "subtree_len")
     d = blocks.select("doc_id", F.col("node_id").alias("below_id"), F.col("kind").alias("below_kind"))
     inside = (F.col("below_id") > F.col("node_id")) & (F.col("below_id") <= F.col("node_id") + F.col("subtree_len"))
@@ -171,8 +203,30 @@ def descendants(blocks: DataFrame, above: DataFrame | None = None) -> DataFrame:
 
 def ancestors(blocks: DataFrame, below: DataFrame) -> DataFrame:
     """(doc_id, node_id, kind, above_id, above_kind): each node of ``below`` with what holds it."""
-    found = descendants(blocks).join(below.select("doc_id", F.col("node_id").alias("below_id")), ["doc_id", "below_id"])
-    return found.select("doc_id", F.col("below_id").alias("node_id"), F.col("below_kind").alias("kind"), F.col("node_id").alias("above_id"), F.col("kind").alias("above_kind"))
+    if "ancestors" in below.columns:
+        return below.select("doc_id", "node_id", "kind", F.explode("ancestors").alias("__a")).select("doc_id", "node_id", "kind", F.col("__a.node_id").alias("above_id"), F.col("__a.kind").alias("above_kind"))
+    a = blocks.select("doc_id", F.col("node_id").alias("above_id"), F.col("kind").alias("above_kind"), "subtree_len")
+    inside = (F.col("node_id") > F.col("above_id")) & (F.col("node_id") <= F.col("above_id") + F.col("subtree_len"))
+    return below.select("doc_id", "node_id", "kind").join(a.where("subtree_len > 0"), "doc_id").where(inside).select("doc_id", "node_id", "kind", "above_id", "above_kind")
+
+
+def span(blocks: DataFrame, first: int, last: int) -> DataFrame:
+    """Top-level blocks ``first`` to ``last`` (from 0, both included) of each document, with all that they hold."""
+    top = blocks.where(F.col("parent_id").isNull() & F.col("ordinal").between(first, last))
+    limits = top.groupBy("doc_id").agg(F.min("node_id").alias("__a"), F.max(F.col("node_id") + F.col("subtree_len")).alias("__z"))
+    return blocks.join(limits, "doc_id").where("node_id between __a and __z").drop("__a", "__z")
+
+
+def walk(blocks: DataFrame) -> DataFrame:
+    """(doc_id, step, event, node_id, kind, depth): each node entered and left, in the order of a full walk.
+
+    The step of an entry is what has been entered (its id) and left (all before it but those that
+    hold it) by then; a node is left after all in its subtree were entered and left.
+    """
+    enter = F.col("node_id") * 2 - F.col("depth")
+    leave = F.col("node_id") * 2 - F.col("depth") + 2 * F.col("subtree_len") + 1
+    events = F.array(F.struct(enter.alias("step"), F.lit("enter").alias("event")), F.struct(leave.alias("step"), F.lit("leave").alias("event")))
+    return blocks.select("doc_id", F.explode(events).alias("e"), "node_id", "kind", "depth").select("doc_id", "e.step", "e.event", "node_id", "kind", "depth")
 
 
 def subtree_size(column: str = "subtree_len") -> Column:
@@ -209,25 +263,27 @@ def headings(blocks: DataFrame, inlines: DataFrame) -> DataFrame:
 
 
 def outline(blocks: DataFrame) -> DataFrame:
-    """Top-level blocks with the heading they stand under: doc_id, node_id, kind, heading_id."""
+    """Top-level blocks with the heading they stand under: doc_id, node_id, kind, level, heading_id.
+
+    With the text of ``parse_blocks(more=True)`` also text and heading_text.
+    """
     before = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    top = blocks.where("parent_id is null")
-    return top.select("doc_id", "node_id", "kind", "level", F.last(F.when(F.col("kind") == "Heading", F.col("node_id")), True).over(before).alias("heading_id"))
+    shown = ["node_id", "text"] if "text" in blocks.columns else ["node_id"]
+    last = F.last(F.when(F.col("kind") == "Heading", F.struct(*shown)), True).over(before)
+    top = blocks.where("parent_id is null").select("doc_id", "kind", "level", *shown, last.alias("__h"))
+    return top.select("doc_id", "kind", "level", *shown, F.col("__h.node_id").alias("heading_id"), *([F.col("__h.text").alias("heading_text")] if len(shown) > 1 else []))
 
 
 def links(inlines: DataFrame, kind: str = "Link") -> DataFrame:
     """doc_id, inline_id, url, title, text of links (or images), the text being that of their content."""
-    found = inlines.where(F.col("kind") == kind).select("doc_id", "inline_id", "subtree_len", "url", "title")
-    inner = inlines.select("doc_id", F.col("inline_id").alias("__i"), "kind", "text")
-    within = (F.col("__i") > F.col("inline_id")) & (F.col("__i") <= F.col("inline_id") + F.col("subtree_len"))
-    rows = found.join(inner, "doc_id").where(within).select("doc_id", F.col("inline_id").alias("__link"), F.col("__i").alias("inline_id"), "kind", "text")
-    text = _text_under(rows, ["doc_id", "__link"]).withColumnRenamed("__link", "inline_id")
-    return found.drop("subtree_len").join(text, ["doc_id", "inline_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return inlines.where(F.col("kind") == kind).select("doc_id", "inline_id", "url", "title", F.col("content").alias("text"))
 
 
 def autolinks(inlines: DataFrame) -> DataFrame:
     """doc_id, inline_id, target, autolink_kind, url: bare and bracketed addresses with their full URL."""
-    prefix = F.when(F.col("autolink_kind") == "email", "mailto:").when(F.col("autolink_kind") == "www", "http://").otherwise("")
+    from folio.functions.native import autolink_prefix
+
+    prefix = autolink_prefix("autolink_kind")
     return inlines.where("kind = 'Autolink'").select("doc_id", "inline_id", F.col("text").alias("target"), "autolink_kind", F.concat(prefix, F.col("text")).alias("url"))
 
 
@@ -265,6 +321,35 @@ def footnotes(blocks: DataFrame) -> DataFrame:
     return blocks.where("kind = 'FootnoteDefinition'").select("doc_id", "node_id", "fn_label", "fn_number", "fn_references")
 
 
+def last_footnotes(blocks: DataFrame) -> DataFrame:
+    """(doc_id, label_norm, node_id) of the definition that counts for each label: the last one."""
+    from folio.functions.native import label_norm
+
+    return footnotes(blocks).groupBy("doc_id", label_norm("fn_label").alias("label_norm")).agg(F.max("node_id").alias("node_id"))
+
+
+def united_definitions(top: DataFrame, container: DataFrame) -> DataFrame:
+    """Definitions of two scopes as one relation of LINK_DEFS: those at top level come first, each in its order."""
+    both = top.withColumn("__s", F.lit(0)).unionByName(container.withColumn("__s", F.lit(1)))
+    order = Window.partitionBy("doc_id").orderBy("__s", "def_order")
+    return both.withColumn("def_order", F.row_number().over(order) - 1).drop("__s")
+
+
+def tight_documents(blocks: DataFrame) -> DataFrame:
+    """(doc_id, tight): whether all lists of a document are tight."""
+    return blocks.where("tight is not null").groupBy("doc_id").agg(F.bool_and("tight").alias("tight"))
+
+
+def padded_cells(rows: DataFrame, columns: str = "columns", cells: str = "cells") -> DataFrame:
+    """``rows`` (any columns, an array of cells and how many there must be) with col_no and text in place of the cells.
+
+    Short rows are filled with empty cells, long ones cut.
+    """
+    place = F.explode(F.sequence(F.lit(0), F.col(columns) - 1)).alias("col_no")
+    kept = [c for c in rows.columns if c not in (columns, cells)]
+    return rows.where(F.col(columns) > 0).select(*kept, cells, place).select(*kept, "col_no", F.coalesce(F.get(cells, F.col("col_no")), F.lit("")).alias("text"))
+
+
 def number_footnotes(references: DataFrame) -> DataFrame:
     """References (doc_id, inline_id, fn_label) with fn_number, by first use in the document, and fn_occurrence.
 

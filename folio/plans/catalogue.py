@@ -143,9 +143,7 @@ def md_thematic_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_regionkey::BIGINT AS doc_id, 'Nation ' || n_nationkey || ' of the region' AS paragraph, n_name AS heading FROM nation")
 def md_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.region_chapters(spark, sf_dir)
-    blocks, text = R.parse_blocks(docs), R.plain_text(R.parse_inlines(docs))
-    under = R.outline(blocks).where("kind = 'Paragraph'").join(text.withColumnRenamed("text", "paragraph"), ["doc_id", "node_id"])
-    return under.join(text.select("doc_id", F.col("node_id").alias("heading_id"), F.col("text").alias("heading")), ["doc_id", "heading_id"]).select("doc_id", "paragraph", "heading")
+    return R.outline(R.parse_blocks(docs, more=True)).where("kind = 'Paragraph'").select("doc_id", F.col("text").alias("paragraph"), F.col("heading_text").alias("heading"))
 
 
 @query("SELECT doc_id, 1::BIGINT AS n FROM documents WHERE trim(text) <> ''")
@@ -199,13 +197,10 @@ def md_list_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT r_name AS region, n_name AS nation FROM nation JOIN region ON r_regionkey = n_regionkey")
 def md_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.geography(spark, sf_dir)
-    blocks, text = R.parse_blocks(docs), R.plain_text(R.parse_inlines(docs))
-    kids = R.children(blocks)
-    item_text = kids.where("kind = 'Paragraph'").join(text, ["doc_id", "node_id"]).select("doc_id", F.col("parent_id").alias("item"), "text")
-    lists = kids.where("kind = 'UnorderedList'").select("doc_id", F.col("parent_id").alias("outer_item"), F.col("node_id").alias("list_id"))
-    inner = kids.where("kind = 'ListItem'").select("doc_id", F.col("parent_id").alias("list_id"), F.col("node_id").alias("inner_item")).join(lists, ["doc_id", "list_id"])
-    named = inner.join(item_text.select("doc_id", F.col("item").alias("outer_item"), F.col("text").alias("region")), ["doc_id", "outer_item"])
-    return named.join(item_text.select("doc_id", F.col("item").alias("inner_item"), F.col("text").alias("nation")), ["doc_id", "inner_item"]).select("region", "nation")
+    paragraphs = R.parse_blocks(docs, kinds={"Paragraph"}, more=True).select("doc_id", "text", F.filter(F.col("ancestors"), lambda a: a["kind"] == "ListItem")["node_id"].alias("items"))
+    outer = paragraphs.where(F.size("items") == 1).select("doc_id", F.col("items")[0].alias("item"), F.col("text").alias("region"))
+    inner = paragraphs.where(F.size("items") == 2).select("doc_id", F.col("items")[0].alias("item"), F.col("text").alias("nation"))
+    return outer.join(inner, ["doc_id", "item"]).select("region", "nation")
 
 
 @query("SELECT l_orderkey AS doc_id, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS ticked FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
@@ -224,17 +219,16 @@ def md_task_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS doc_id, 2::BIGINT AS quotes, 2 AS deepest FROM customer")
 def md_quote_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes and alerts of a document, and how many of them the innermost list stands in."""
-    blocks = R.parse_blocks(R.spread(C.customer_alerts(spark, sf_dir)))
-    quotes = blocks.where("kind in ('Blockquote', 'Alert')").groupBy("doc_id").agg(F.count("*").alias("quotes"))
-    above = R.ancestors(blocks, blocks.where("kind = 'UnorderedList'")).where("above_kind in ('Blockquote', 'Alert')").groupBy("doc_id").agg(F.count("*").cast("int").alias("deepest"))
-    return quotes.join(above, "doc_id")
+    blocks = R.parse_blocks(R.spread(C.customer_alerts(spark, sf_dir)), kinds={"Blockquote", "Alert", "UnorderedList"}, more=True)
+    quoting = F.size(F.filter("ancestors", lambda a: a["kind"].isin("Blockquote", "Alert")))
+    return blocks.groupBy("doc_id").agg(F.count_if(F.col("kind") != "UnorderedList").alias("quotes"), F.max(F.when(F.col("kind") == "UnorderedList", quoting)).alias("deepest"))
 
 
 @query("SELECT c_custkey AS doc_id, 'Customer ' || c_name || ' lazily continued' AS text FROM customer")
 def md_blockquotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = R.spread(C.customer_alerts(spark, sf_dir))
-    first = R.children(R.parse_blocks(docs)).where("parent_kind = 'Alert' and kind = 'Paragraph'").select("doc_id", "node_id")
-    return first.join(R.plain_text(R.parse_inlines(docs)), ["doc_id", "node_id"]).select("doc_id", "text")
+    paragraphs = R.parse_blocks(docs, kinds={"Paragraph"}, more=True)
+    return paragraphs.where(F.element_at("ancestors", -1)["kind"] == "Alert").select("doc_id", "text")
 
 
 _ALERTS = "['note', 'tip', 'important', 'warning', 'caution'][c_nationkey % 5 + 1]"
@@ -319,12 +313,12 @@ def md_code_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS doc_id, 'http://x' || p_partkey || '.example/a?b=1&c' AS url, 'T' AS title, 'site' AS text FROM part")
 def md_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.links(R.parse_inlines(R.spread(C.part_zoo(spark, sf_dir)))).select("doc_id", "url", "title", "text")
+    return R.links(R.parse_inlines(R.spread(C.part_zoo(spark, sf_dir)), kinds={"Link"})).select("doc_id", "url", "title", "text")
 
 
 @query("SELECT p_partkey AS doc_id, '/img/' || p_partkey || '.png' AS url, 'pic ' || p_partkey AS text FROM part")
 def md_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.links(R.parse_inlines(R.spread(C.part_zoo(spark, sf_dir))), "Image").select("doc_id", "url", "text")
+    return R.links(R.parse_inlines(R.spread(C.part_zoo(spark, sf_dir)), kinds={"Image"}), "Image").select("doc_id", "url", "text")
 
 
 @query("SELECT p_partkey AS doc_id, 'https://a.example/' || p_partkey AS url FROM part")
@@ -348,7 +342,7 @@ def md_email_autolinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_nationkey::BIGINT AS doc_id, s_name AS text, '/supp/' || s_suppkey AS url, 'T' || s_suppkey AS title FROM supplier WHERE s_suppkey % 5 <> 0")
 def md_ref_links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.links(R.parse_inlines(C.supplier_links(spark, sf_dir))).select("doc_id", "text", "url", "title")
+    return R.links(R.parse_inlines(C.supplier_links(spark, sf_dir), kinds={"Link"})).select("doc_id", "text", "url", "title")
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,8 +456,7 @@ def md_word_count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_regionkey::BIGINT AS doc_id, 'Nation ' || n_nationkey || ' of the region' AS text FROM nation")
 def md_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.region_chapters(spark, sf_dir)
-    paragraphs = R.parse_blocks(docs, kinds={"Paragraph"}).select("doc_id", "node_id")
-    return paragraphs.join(R.plain_text(R.parse_inlines(docs)), ["doc_id", "node_id"]).select("doc_id", "text")
+    return R.parse_blocks(docs, kinds={"Paragraph"}, more=True).select("doc_id", "text")
 
 
 @query("""
@@ -476,14 +469,14 @@ def md_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'OrderedList' AS kind, (SELECT count(*) FROM nation)::BIGINT + (SELECT count(*) FROM region)::BIGINT AS items UNION ALL SELECT 'UnorderedList', (SELECT count(*) FROM nation)::BIGINT")
 def md_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = R.parse_blocks(C.geography(spark, sf_dir))
+    blocks = R.parse_blocks(C.geography(spark, sf_dir), more=True)
     below = R.descendants(blocks, blocks.where("kind in ('OrderedList', 'UnorderedList')")).where("below_kind = 'ListItem'")
     return below.groupBy("kind").agg(F.count("*").alias("items"))
 
 
 @query("SELECT 'ListItem' AS above_kind, 2 * count(*)::BIGINT AS n FROM nation UNION ALL SELECT 'OrderedList', count(*) FROM nation UNION ALL SELECT 'UnorderedList', count(*) FROM nation")
 def md_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = R.parse_blocks(C.geography(spark, sf_dir))
+    blocks = R.parse_blocks(C.geography(spark, sf_dir), more=True)
     return R.ancestors(blocks, blocks.where("kind = 'Paragraph' and depth = 4")).groupBy("above_kind").agg(_count())
 
 
@@ -555,6 +548,169 @@ def md_conversation_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.parse_blocks(turns, kinds={"Paragraph"}).groupBy("doc_id").agg(_count())
 
 
+# ------------------------------------------------------------------ what other operators rest on
+@query("""
+SELECT count(*) AS lines, sum((line ~ '^[ \\t\\r\\f]*$')::INT)::BIGINT AS blank, sum(regexp_matches(line, '^ {0,3}[#>*+_0-9-]')::INT)::BIGINT AS may_start,
+  sum(regexp_matches(line, 'www[.]|://')::INT)::BIGINT AS may_link, sum(regexp_matches(line, '[*_!`<~@&\\[\\\\]|www[.]|://')::INT)::BIGINT AS markup,
+  sum((line ~ '^[ \\t\\r\\f]*$' OR regexp_matches(line, '^ {0,3}(>|([-+*]|[0-9]{1,9}[.)])([ \\t]|$)|#{1,6}([ \\t]|$)|`{3,}[^`]*$|~{3,}|-[ \\t]*-[ \\t]*-[ \\t-]*$|_[ \\t]*_[ \\t]*_[ \\t_]*$|[*][ \\t]*[*][ \\t]*[*][ \\t*]*$)'))::INT)::BIGINT AS begins
+FROM (SELECT unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS line FROM documents WHERE text <> '')""")
+def md_line_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all lines of all documents: blank ones, and those that may or do begin something."""
+    lines = R.line_relation(_t(spark, sf_dir, "documents"))
+    return lines.agg(
+        F.count("*").alias("lines"), F.count_if("is_blank").alias("blank"), F.count_if(native.could_start_block("text")).alias("may_start"), F.count_if(native.may_have_url("text")).alias("may_link"),
+        F.count_if(native.has_inline_syntax("text")).alias("markup"), F.count_if(native.begins_block("text")).alias("begins"),
+    )
+
+
+@query("""
+SELECT n_nationkey::BIGINT AS id, k, CASE WHEN k <= s THEN k ELSE s + 1 END AS index, CASE WHEN k <= s THEN 0 ELSE greatest(0, 4 - k) END AS pad,
+  CASE WHEN k <= s THEN repeat(' ', s - k) || chr(9) || n_name WHEN k < 4 THEN repeat(' ', 4 - k) || n_name ELSE n_name END AS rest
+FROM (SELECT *, (n_nationkey % 3)::INT AS s FROM nation), (SELECT unnest([0, 1, 2, 3, 4, 6])::INT AS k)""")
+def md_strip_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to two blanks and a tab before a name: the index at a column, what is left of the tab, the line without the columns."""
+    lines = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.concat(F.expr("repeat(' ', cast(n_nationkey % 3 as int))"), F.lit("\t"), "n_name").alias("line"))
+    each = [F.struct(F.lit(k).alias("k"), native.at_column("line", k).alias("at"), native.strip_columns("line", k).alias("rest")) for k in (0, 1, 2, 3, 4, 6)]
+    return lines.select("id", F.explode(F.array(*each)).alias("x")).select("id", "x.k", "x.at.index", "x.at.pad", "x.rest")
+
+
+@query("""
+SELECT a.n_nationkey::BIGINT AS a, b.n_nationkey::BIGINT AS b, b.n_nationkey % 5 >= a.n_nationkey % 4 AND (a.n_nationkey % 2 = b.n_nationkey % 2) AND b.n_nationkey % 7 <> 0 AS closes,
+  CASE WHEN a.n_nationkey % 2 = 0 THEN a.n_name ELSE a.n_name || ' `' END AS info FROM nation a, nation b""")
+def md_closing_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which fence closes which: the same sign, no shorter, nothing behind it; and what stands behind an opening one."""
+    sign = F.when(F.col("n_nationkey") % 2 == 0, "`").otherwise("~")
+    nation = _t(spark, sf_dir, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("int"))
+    opening = F.concat(F.repeat(sign, F.col("n_nationkey") % 4 + 3), F.lit(" "), "n_name", F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(" `"))
+    a = nation.select(F.col("n_nationkey").cast("long").alias("a"), opening.alias("x"))
+    closing = F.concat(F.lit("  "), F.repeat(sign, F.col("n_nationkey") % 5 + 3), F.when(F.col("n_nationkey") % 7 == 0, " x").otherwise(" "))
+    b = nation.select(F.col("n_nationkey").cast("long").alias("b"), closing.alias("y"))
+    return a.join(F.broadcast(b)).select("a", "b", native.closes_fence("y", native.fence_mark("x")).alias("closes"), native.info_string("x").alias("info"))
+
+
+@query("""
+SELECT p_partkey AS id, p_size || ['.', ')'][p_partkey % 2 + 1] AS marker, ['.', ')'][p_partkey % 2 + 1] AS delimiter, p_partkey % 2 = 0 AS like_one, false AS like_dash, ['none', 'left', 'right', 'center'][p_partkey % 4 + 1] AS align FROM part""")
+def md_marker_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered markers, their delimiters, the lists that they could join, and the alignment of a delimiter cell."""
+    line = F.concat(F.lit("  "), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".").otherwise(")"), F.lit(" "), "p_name")
+    cell = F.concat(F.when((F.col("p_partkey") % 4).isin(1, 3), " :").otherwise(" "), F.lit("--"), F.when((F.col("p_partkey") % 4).isin(2, 3), ": ").otherwise(" "))
+    rows = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), native.list_marker(line).alias("marker"), native.alignment(cell).alias("align"))
+    return rows.select("id", "marker", native.list_delimiter("marker").alias("delimiter"), native.same_family("marker", F.lit("7.")).alias("like_one"), native.same_family("marker", F.lit("-")).alias("like_dash"), "align")
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, least(128, 7 * n_nationkey + 1)::BIGINT AS quotes, least(16, n_nationkey + 1)::BIGINT AS images FROM nation")
+def md_depth_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes nest 128 deep at most, and inline contexts 16 deep (what is deeper stays text)."""
+    n = F.col("n_nationkey").cast("int")
+    nation = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.repeat(F.lit("> "), n * 7 + 1), F.lit("a\n\n"), F.repeat(F.lit("!["), n + 1), F.lit("b"), F.repeat(F.lit("](c)"), n + 1)).alias("text"))
+    quotes = R.parse_blocks(nation, kinds={"Blockquote"}).groupBy("doc_id").agg(F.count("*").alias("quotes"))
+    return quotes.join(R.parse_inlines(nation, kinds={"Image"}).groupBy("doc_id").agg(F.count("*").alias("images")), "doc_id")
+
+
+@query("""
+SELECT o_custkey AS doc_id, 'o' || o_orderkey AS fn_label, n AS fn_number, u AS fn_occurrence FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), (SELECT unnest([1, 2])::BIGINT AS u)
+WHERE u = 1 OR n = 1""")
+def md_footnote_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and occurrences of references by windows over the relation, not by the parser."""
+    return R.number_footnotes(R.parse_inlines(C.order_footnotes(spark, sf_dir), kinds={"FootnoteRef"})).select("doc_id", "fn_label", "fn_number", "fn_occurrence")
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 'n ' || n_nationkey AS label_norm, 'second ' || n_name AS text FROM nation")
+def md_footnote_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two definitions of a footnote the later one counts, as a relation and in the parser (which numbers only that one)."""
+    text = F.concat(F.lit("a[^N\u00a0"), "n_nationkey", F.lit("]\n\n[^N\u00a0"), "n_nationkey", F.lit("]: first\n\n[^n\u00a0"), "n_nationkey", F.lit("]: second "), "n_name")
+    blocks = R.parse_blocks(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text")), more=True)
+    last = R.last_footnotes(blocks).join(R.footnotes(blocks).where("fn_number = 1 and fn_references = 1"), ["doc_id", "node_id"], "left_semi")
+    return last.join(blocks.where("kind = 'Paragraph'").select("doc_id", F.col("parent_id").alias("node_id"), "text"), ["doc_id", "node_id"]).select("doc_id", "label_norm", "text")
+
+
+@query("""
+SELECT n_nationkey::BIGINT AS doc_id, i AS def_order, ['/top', '/late', '/in'][i + 1] AS url, ['top', 'top', 'container'][i + 1] AS scope FROM nation, (SELECT unnest([0, 1, 2])::INT AS i)""")
+def md_definitions_united(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of both scopes, each parsed apart, in the order in which they count: that of the parser itself."""
+    text = F.concat(F.lit("> ["), "n_name", F.lit("]: /in\n\n["), "n_name", F.lit("]: /top\n["), "n_name", F.lit("]: /late\n"))
+    defs = R.parse_link_defs(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text")))
+    united = R.united_definitions(defs.where("scope = 'top'"), defs.where("scope = 'container'"))
+    return united.join(defs, ["doc_id", "def_order", "label", "url", "scope"], "left_semi").select("doc_id", "def_order", "url", "scope")
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, n_nationkey % 3 <> 0 AS tight FROM nation")
+def md_tight_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("- a\n- b\n\n***\n\n1. "), "n_name", F.when(F.col("n_nationkey") % 3 == 0, "\n\n").otherwise("\n"), F.lit("2. c\n"))
+    return R.tight_documents(R.parse_blocks(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text"))))
+
+
+@query("""
+SELECT n_nationkey::BIGINT AS doc_id, r AS line_no, c AS col_no, CASE r WHEN 2 THEN CASE c WHEN 0 THEN n_name ELSE '' END WHEN 3 THEN ['1','2','3'][c+1] ELSE ['x \\| y', '`p\\|q`', ''][c+1] END AS text
+FROM nation, (SELECT unnest([2,3,4])::INT AS r), (SELECT unnest([0,1,2])::INT AS c)""")
+def md_table_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Body rows of ragged tables split, filled and cut by native functions alone: as many cells as the delimiter row has."""
+    lines = R.line_relation(C.ragged_tables(spark, sf_dir))
+    columns = lines.where("line_no = 1").select("doc_id", native.delimiter_columns("text").alias("columns"))
+    rows = lines.where("line_no > 1").select("doc_id", "line_no", native.split_row("text").alias("cells")).join(columns, "doc_id")
+    return R.padded_cells(rows)
+
+
+@query("SELECT r_regionkey::BIGINT AS doc_id, 0 AS first, r_name AS title, n AS rest FROM region JOIN (SELECT n_regionkey, 3 * count(*) AS n FROM nation GROUP BY 1) ON n_regionkey = r_regionkey")
+def md_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first top-level block of each chapter by its index, and how many blocks the span behind it has."""
+    blocks = R.parse_blocks(C.region_chapters(spark, sf_dir), more=True)
+    rest = R.span(blocks, 1, 1_000_000).groupBy("doc_id").agg(F.count("*").alias("rest"))
+    return R.span(blocks, 0, 0).select("doc_id", F.col("node_id").alias("first"), F.col("text").alias("title")).join(rest, "doc_id")
+
+
+@query("""
+WITH n AS (SELECT n_regionkey AS r, count(*) AS k FROM nation GROUP BY 1), per AS (SELECT sum(1 + 1 + 1 + 2 * k) AS nodes FROM n)
+SELECT (2 * (1 + nodes))::BIGINT AS events, (2 * (1 + nodes))::BIGINT AS steps, true AS ordered, 4 AS deepest FROM per""")
+def md_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full walk of the nested lists: each node entered and left once, steps without a gap, children within their parents."""
+    events = R.walk(R.parse_blocks(C.geography(spark, sf_dir)))
+    open_before = F.sum(F.when(F.col("event") == "enter", 1).otherwise(-1)).over(Window.partitionBy("doc_id").orderBy("step"))
+    checked = events.select("step", "depth", (open_before == F.col("depth") + (F.col("event") == "enter").cast("int")).alias("ok"))
+    return checked.agg(F.count("*").alias("events"), (F.max("step") + 1).cast("long").alias("steps"), F.bool_and("ok").alias("ordered"), F.max("depth").alias("deepest"))
+
+
+@query("SELECT true AS same, false AS other")
+def md_same_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents have the same blocks with any line ending, once normalised; in the other dialect not all have."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    other = docs.select("doc_id", native.normalize(F.replace("text", F.lit("\n"), F.lit("\r\n"))).alias("text"))
+    mine = R.parse_blocks(R.spread(docs)).drop("code_lines")
+    same = R.same_structure(mine, R.parse_blocks(R.spread(other)).drop("code_lines"))
+    tables = C.ragged_tables(spark, sf_dir)
+    return spark.createDataFrame([(same, R.same_structure(R.parse_blocks(tables), R.parse_blocks(tables, "commonmark")))], "same boolean, other boolean")
+
+
+@query("""
+SELECT p_partkey AS id, true AS norm, p_partkey % 3 = 0 AS blank, 'list' AS kind, 'x&lt;' || p_partkey || '&gt;' AS escaped, '/p%20' || p_partkey AS href, '<p>' || p_partkey || '</p>' || chr(10) AS html, 1::BIGINT AS blocks, 'p ' || p_partkey AS label,
+  4 AS cols, ['a', p_partkey::VARCHAR] AS cells FROM part""")
+def md_sql_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar and table functions by their SQL names."""
+    sql.register(spark)
+    _t(spark, sf_dir, "part").createOrReplaceTempView("folio_part")
+    return spark.sql("""
+        with b as (select d.doc_id, count(*) as blocks from folio_part, lateral md_blocks(p_partkey, concat('a ', p_partkey), 'gfm') d group by 1)
+        select p_partkey as id, md_normalize(concat('a\r\n', p_name)) = concat('a\n', p_name) as norm, md_is_blank(if(p_partkey % 3 = 0, ' ', p_name)) as blank, md_line_kind(concat('- ', p_name)) as kind,
+          md_escape_html(concat('x<', p_partkey, '>')) as escaped, md_href(concat('/p ', p_partkey)) as href, md_to_html(cast(p_partkey as string), 'gfm') as html, blocks, md_label_key(concat('P  ', p_partkey)) as label,
+          md_leading_columns(concat('\t', p_name)) as cols, md_split_row(concat('| a | ', p_partkey, ' |')) as cells
+        from folio_part join b on b.doc_id = p_partkey""")
+
+
+@query("SELECT 0::BIGINT AS n, count(*) AS html FROM pages WHERE html IS NOT NULL")
+def md_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that parsing fails on, in the permissive mode (none may), beside those that are rendered."""
+    pages = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    failed = R.parse_errors(R.spread(pages)).agg(F.count("*").alias("n"))
+    return failed.join(F.broadcast(R.render_html(R.spread(pages), permissive=True).agg(F.count("html").alias("html"))))
+
+
+@query("""SELECT autolink_kind, CASE autolink_kind WHEN 'www' THEN 'http://' WHEN 'email' THEN 'mailto:' ELSE '' END AS prefix, n FROM (
+  SELECT 'www' AS autolink_kind, count(*) AS n FROM supplier UNION ALL SELECT 'email', count(*) FROM supplier)""")
+def md_autolink_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.parse_inlines(C.supplier_links(spark, sf_dir), kinds={"Autolink"}).groupBy("autolink_kind").agg(_count())
+    return found.select("autolink_kind", native.autolink_prefix("autolink_kind").alias("prefix"), "n")
+
+
 # ------------------------------------------------------------------ analytics that only a relational engine has
 @query("SELECT source, lang, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY ROLLUP (source, lang)")
 def md_doc_stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,12 +53,25 @@ def inline(text, dialect="gfm"):
         ("> ```\n> a\nb", [("Blockquote", "CodeLines"), "Paragraph"]),
         ("> - a\nlazy\n> - b", [("Blockquote", ("UnorderedList", ("ListItem", "Paragraph"), ("ListItem", "Paragraph")))]),
         (">     ", ["Blockquote"]),
+        ("> [!tip]\n> a\nlazy\n>\n> > b", [("Alert", "Paragraph", ("Blockquote", "Paragraph"))]),
+        ("> [!tip]\nlazy\n\nb", [("Alert", "Paragraph"), "Paragraph"]),
     ],
 )
 def test_blocks(text, want):
     assert tree(text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "tight"),
+    [
+        ("a\n\n- [x] b\n- c", [True]), ("- a\n\n- b", [False]), ("- a\n\n  b", [False]), ("- a\n  - b\n\n    c\n- d", [True, False]), ("- a\n  - b\n\n  - c", [False, False]), ("- a\n  > b\n  >\n- c", [True]),
+        ("- a\n- ```\n  b\n\n\n  ```\n- c", [True]), ("- a\n\n  [b]: /c\n- d", [False]), ("- a\n- b\n\nc", [True]), ("> - a\n>\n> - b", [False]), ("- > a\n\n  b", [False]), ("-\n  a\n- b", [True]),
+    ],
+)
+def test_tight_lists(text, tight):
+    assert [r["tight"] for _, r in block_rows(parse(text)) if r["tight"] is not None] == tight
+
+
 def test_strict_has_no_extensions():
     text = "| a |\n|---|\n\n~~x~~ www.a.bc\n\n- [ ] t\n\n> [!NOTE]\n> q\n\n[^n]: note\n"
     kinds = {r["kind"] for _, r in block_rows(parse(text, Options("commonmark")))}
