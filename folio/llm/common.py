@@ -15,15 +15,20 @@ from folio.session import ship
 
 #: Rows of one Arrow batch; documents may be long, and a batch is held as a whole.
 BATCH_ROWS = 500
+#: Scratch paths by application, for ``clear_scratch``.
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session's ``spark.checkpoint.dir`` names it.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is made and set.
+    Where it is unset and all runs on one machine, as in tests, a temporary folder is made and set;
+    on a cluster that is an error, for executors would write to folders of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,7 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete this application's scratch tables below the shared folder, and say how many.
+
+    Tables live as long as results that read them may be used; call this when they no longer are.
+    """
+    jvm = spark.sparkContext._jvm
+    gone = 0
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+    return gone
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +63,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Send the code to the executors, and lower the rows of an Arrow batch unless the session asks for fewer."""
+    """Send the code to the executors, and lower the rows of an Arrow batch unless the session asks for fewer.
+
+    The setting stays for the session: plans are made when a result is used, which may be long after
+    the operator has returned it. Spark itself bounds a batch's bytes (``arrow.maxBytesPerBatch``, 64 MB).
+    """
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import row_key, small_batches, without, written
@@ -180,10 +180,22 @@ def document_sets(docs: DataFrame, levels: bytes, k: int, percent: int, id_col:
 
 
 # ------------------------------------------------------------------ coarse regions
-def repeated_pivots(points: DataFrame) -> DataFrame:
-    """(pivot, point, part) of pivots that more than one point has in a part's window."""
+def repeated_pivots(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pivot, point, part) of pivots that several points have in a part's window, and (a, b): edges of large regions.
+
+    A region of more than REGION_ROWS rows is not compared: it hangs together as a whole, as a star
+    around its least point. That is a join of rows with one row a pivot, which Spark may split; only
+    the others are gathered by pivot.
+    """
     rows = points.select("point", F.explode("parts").alias("p")).select(F.explode("p.pivots").alias("pivot"), "point", "p.part")
-    dealt = rows.repartition("pivot").sortWithinPartitions("pivot")
+    held = rows.groupBy("pivot").agg(F.count("*").alias("__n"), F.min("point").alias("__least")).where(F.col("__n") > REGION_ROWS)
+    large = written(held, "large-regions")
+    if large.isEmpty():
+        few, edges = rows, None
+    else:
+        edges = rows.join(large, "pivot").where("point <> __least").select(F.col("__least").alias("a"), F.col("point").alias("b"))
+        few = rows.join(large, "pivot", "left_anti")
+    dealt = few.repartition("pivot").sortWithinPartitions("pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row before, and whether it has been given out
@@ -202,7 +214,7 @@ def repeated_pivots(points: DataFrame) -> DataFrame:
             yield b.filter(pa.array(keep))
             last = (b.slice(len(b) - 1, 1), bool(keep[-1]))
 
-    return dealt.mapInArrow(run, "pivot long, point long, part long")
+    return dealt.mapInArrow(run, "pivot long, point long, part long"), edges
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -423,54 +435,66 @@ def family_links(sized: DataFrame, percent: int) -> DataFrame:
     return sized.groupBy("family").applyInArrow(run, "a long, b long")
 
 
-def split_family(rows: DataFrame, family: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """A family that is too large for one task, split by broadcast pivots: (links, rows of the regions).
+def split_families(rows: DataFrame, sizes: DataFrame, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Families that are too large for one task, all split by pivots in one pass: (links, rows of the regions).
 
-    Rows: family, point, values. Pivots are few, so they go to every task; each row meets them all and
-    notes, in bits, which ones it links to and in which ones' regions or windows it lies. Only the
-    distinct notes, at most 2**SPLIT_PIVOTS, reach the driver: they tell which pivots hang together.
-    A region whose points all hang together already ends here.
+    Rows: family, point, values; ``sizes``: family, __blocks (how many tasks share its rows). A family's
+    pivots are the least points, by a hash, of SPLIT_PIVOTS buckets, found with partial aggregates.
+    Each block of its rows meets them all, and notes in bits which ones a row links to and in which
+    ones' regions or windows it lies. The distinct notes of a family, at most 2**SPLIT_PIVOTS, tell
+    which pivots hang together. A region whose points all hang together already ends here.
     """
-    spark = rows.sparkSession
-    own = rows.where(F.col("family") == family)
-    chosen = own.orderBy(F.xxhash64("point", F.lit(depth)), "point").select("point", "values").limit(SPLIT_PIVOTS).collect()
-    names = [r["point"] for r in chosen]
-    shared = spark.sparkContext.broadcast([np.asarray(r["values"], np.int64).view(U64) for r in chosen])
+    order = F.xxhash64("point", F.lit(depth))
+    first = rows.groupBy("family", F.pmod(order, F.lit(SPLIT_PIVOTS)).alias("bucket")).agg(F.min_by(F.struct("point", "values"), F.struct(order, "point")).alias("p"))
+    pivots = written(first.select("family", "bucket", F.col("p.point").alias("point"), F.col("p.values").alias("values")), "pivots")
     radius = 1 - percent / 100
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = shared.value
-        for b in batches:
-            points, sets = _sets_of(pa.Table.from_batches([b]))
-            d, linked = np.ones((len(pivots), len(points))), np.zeros(len(points), np.int32)
-            for q, p in enumerate(pivots):
-                both = sets.overlap(p, np.arange(len(points)))
-                union = len(p) + sets.n - both
-                d[q] = 1 - both / union
-                linked |= (100 * both >= percent * union).astype(np.int32) << q
-            near = d.min(axis=0)
-            windows = (d <= near + 2 * radius + 1e-9) & (near < FAR)
-            windows = np.concatenate([windows, (near >= FAR - radius - 1e-9)[None]])  # the last region: far from all
-            cells = (windows * (1 << np.arange(len(windows), dtype=np.int32))[:, None]).sum(axis=0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("point"), pa.array(linked), pa.array(cells), b.column("values")], ["point", "linked", "cells", "values"])
-
-    out = written(own.select("point", "values").mapInArrow(run, "point long, linked int, cells int, values array<long>"), "voronoi")
-    bits = f"filter(sequence(0, {len(names)}), q -> (shiftright({{}}, q) & 1) = 1)"
-    name_of = F.array(*[F.lit(n) for n in names])
-    met = out.where("linked > 0").select(F.explode(F.expr(bits.format("linked"))).alias("q"), "point")
-    links = met.select(F.get(name_of, F.col("q")).alias("a"), F.col("point").alias("b")).where("a <> b")
-    top = list(range(len(names)))
-    for r in out.select("linked").distinct().collect():
-        found = [q for q in range(len(names)) if r["linked"] >> q & 1]
-        for q in found[1:]:
-            x, y = top[found[0]], top[q]
-            top = [min(x, y) if t in (x, y) else t for t in top]
-    group = F.get(F.array(*[F.lit(t) for t in top]), F.expr(f"get({bits.format('linked')}, 0)"))
-    rest = out.where(~F.col("point").isin(names)).withColumn("__part", F.when(F.col("linked") > 0, group.cast("long")).otherwise(F.col("point")))
-    cells = rest.select(F.explode(F.expr(bits.format("cells"))).alias("q"), "point", "__part", "values")
-    open_cells = [r["q"] for r in cells.groupBy("q").agg((F.min("__part") != F.max("__part")).alias("open")).where("open").collect()]
-    left = cells.where(F.col("q").isin(open_cells)).select(F.xxhash64(F.lit(family), F.lit(depth), "q").alias("family"), "point", "values")
-    return links, left
+    schema = "family long, point long, linked int, cells int, pivot boolean, values array<long>"
+
+    def run(own: pa.Table, chosen: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table({"family": pa.array([], pa.int64()), "point": pa.array([], pa.int64()), "linked": pa.array([], pa.int32()), "cells": pa.array([], pa.int32()), "pivot": pa.array([], pa.bool_()), "values": pa.array([], pa.list_(pa.int64()))})
+        chosen = chosen.sort_by("bucket")
+        names, heads = _sets_of(chosen)
+        points, sets = _sets_of(own)
+        d, linked = np.ones((SPLIT_PIVOTS, len(points))), np.zeros(len(points), np.int32)
+        for i, q in enumerate(chosen.column("bucket").to_pylist()):
+            p = heads.set_of(i)
+            both = sets.overlap(p, np.arange(len(points)))
+            union = len(p) + sets.n - both
+            d[q] = 1 - both / union
+            linked |= (100 * both >= percent * union).astype(np.int32) << q
+        near = d.min(axis=0)
+        windows = (d <= near + 2 * radius + 1e-9) & (near < FAR)
+        windows = np.concatenate([windows, (near >= FAR - radius - 1e-9)[None]])  # the last region: far from all
+        cells = (windows * (1 << np.arange(len(windows), dtype=np.int32))[:, None]).sum(axis=0).astype(np.int32)
+        return pa.table({"family": own.column("family"), "point": own.column("point"), "linked": pa.array(linked), "cells": pa.array(cells), "pivot": pa.array(np.isin(points, names)), "values": own.column("values")})
+
+    dealt = rows.join(sizes.select("family", "__blocks"), "family").withColumn("__block", F.pmod(F.xxhash64("point", F.lit(7)), F.col("__blocks")).cast("int"))
+    met_by = pivots.join(sizes.select("family", "__blocks"), "family").withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    left, right = dealt.select("family", "__block", "point", "values").groupBy("family", "__block"), met_by.select("family", "__block", "bucket", "point", "values").groupBy("family", "__block")
+    out = written(left.cogroup(right).applyInArrow(run, schema), "voronoi")
+    bits = f"filter(sequence(0, {SPLIT_PIVOTS}), q -> (shiftright({{}}, q) & 1) = 1)"
+    met = out.where("linked > 0").select("family", F.explode(F.expr(bits.format("linked"))).alias("bucket"), F.col("point").alias("b"))
+    links = met.join(pivots.select("family", "bucket", F.col("point").alias("a")), ["family", "bucket"]).where("a <> b").select("a", "b")
+
+    def hang(key: tuple, notes: pa.Table) -> pa.Table:
+        top = list(range(SPLIT_PIVOTS))
+        for note in notes.column("linked").to_pylist():
+            found = [q for q in range(SPLIT_PIVOTS) if note >> q & 1]
+            for q in found[1:]:
+                x, y = top[found[0]], top[q]
+                top = [min(x, y) if t in (x, y) else t for t in top]
+        return pa.table({"family": pa.array([key[0].as_py()], pa.int64()), "tops": pa.array([top], pa.list_(pa.int64()))})
+
+    tops = out.where("linked > 0").select("family", "linked").distinct().groupBy("family").applyInArrow(hang, "family long, tops array<long>")
+    rest = out.where("not pivot").join(tops, "family", "left")
+    part = F.when(F.col("linked") > 0, F.get("tops", F.get(F.expr(bits.format("linked")), F.lit(0)))).otherwise(F.col("point"))
+    # What hangs on a pivot has its number, with a sign that no point's name has.
+    rest = rest.withColumn("__part", F.when(F.col("linked") > 0, -1 - part).otherwise(part))
+    cells = rest.select("family", F.explode(F.expr(bits.format("cells"))).alias("q"), "point", "__part", "values")
+    open_cells = cells.groupBy("family", "q").agg((F.min("__part") != F.max("__part")).alias("open")).where("open").select("family", "q")
+    regions = cells.join(open_cells, ["family", "q"]).select(F.xxhash64("family", F.lit(depth), "q").alias("family"), "point", "values")
+    return links, regions
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -481,7 +505,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     100 * intersection >= percent * union; a component's id is its least doc_id. A null or empty text,
     or one without words, has an empty set and links with nothing. class_id is the least doc_id with an
     equal set. Rows that repeat an id have a row each, and count as one document if their sets are equal;
-    a null id takes part like a least id. Other columns are not read.
+    a null id takes part like a least id. Other columns are not read. Shingles are compared by hashes
+    of 64 bits and sets held equal by size and 128 bits of digest: exact up to collisions of those.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -490,12 +515,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     real = rows.where("n > 0").withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     # The text of a point is that of its least id; ids may repeat with other texts, so it is named with it.
     points = real.groupBy("s1", "s2", "n").agg(F.min(F.struct("__id", "text_key")).alias("__of"), F.first("parts").alias("parts")).select("s1", "s2", "n", F.col("__of.__id").alias("id"), F.col("__of.text_key").alias("text_key"), "parts")
-    # Two sets can share a least id where ids repeat: points are named by the digest.
-    points = written(points.withColumn("point", F.xxhash64("s1", "s2", "n")), "points")
+    # Two sets can share a least id where ids repeat: points get names of their own, which the written table fixes.
+    points = written(points.withColumn("point", F.monotonically_increasing_id()), "points")
 
-    shared = written(repeated_pivots(points), "regions")
+    shared, stars = repeated_pivots(points)
+    shared = written(shared, "regions")
     sketches = points.select("point", F.explode("parts").alias("p")).select("point", "p.part", "p.n", "p.parity").join(shared.select("point", "part").distinct(), ["point", "part"], "left_semi")
     edges = family_edges(shared.join(sketches, ["point", "part"]), percent)
+    edges = edges if stars is None else edges.union(stars)
     families = written(components(edges, "families"), "family-of").select("point", F.col("component").alias("family"))
 
     members = written(points.select("point", "id", "text_key").join(families, "point").select("point", "family", F.col("id").alias("doc_id"), "text_key"), "members")
@@ -532,27 +559,20 @@ def all_links(docs: DataFrame, members: DataFrame, percent: int, k: int, id_col:
 
 
 def links_of(sized: DataFrame, percent: int) -> DataFrame:
-    """Links of families (family, point, values): small ones a task each, large ones split first."""
-    spark: SparkSession = sized.sparkSession
+    """Links of families (family, point, values): small ones a task each, large ones split first, as often as it helps."""
     found: DataFrame | None = None
     for depth in range(12):
         per = sized.groupBy("family").agg(F.sum(F.size("values")).alias("__v"))
-        large = [r["family"] for r in per.where(F.col("__v") > FAMILY_SHINGLES).select("family").collect()]
-        small = sized.where(~F.col("family").isin(large)) if large else sized
+        large = written(per.where(F.col("__v") > FAMILY_SHINGLES).withColumn("__blocks", F.ceil(2 * F.col("__v") / FAMILY_SHINGLES).cast("int")), "large-families")
+        before = large.agg(F.sum("__v")).first()[0]
+        small = sized.join(large, "family", "left_anti") if before else sized
         part = family_links(small, percent)
         found = part if found is None else found.union(part)
-        if not large:
+        if not before:
             return found
-        before = per.where(F.col("__v") > FAMILY_SHINGLES).agg(F.sum("__v")).first()[0]
-        nexts = []
-        for f in large:
-            links, left = split_family(sized, f, percent, depth)
-            found = found.union(links)
-            nexts.append(left)
-        sized = nexts[0]
-        for n in nexts[1:]:
-            sized = sized.union(n)
-        sized = written(sized.dropDuplicates(["family", "point"]), "family-sets")
+        links, regions = split_families(sized.join(large.select("family"), "family", "left_semi"), large, percent, depth)
+        found = found.union(links)
+        sized = written(regions.dropDuplicates(["family", "point"]), "family-sets")
         if (sized.agg(F.sum(F.size("values"))).first()[0] or 0) > 0.9 * before:
             break  # the pivots split nothing
     return found.union(_block_links(sized, percent))
