@@ -13,6 +13,7 @@ similarities are verified on the whole shingle sets.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import shuffle_partitions, small_batches, written
+from folio.llm.common import input_bytes, shuffle_partitions, small_batches, written
 from folio.llm.hashing import U64, shingle_sets, shingles, text_bytes, word_hashes, words
 from folio.llm.jaccard_join import all_links, components
 
@@ -29,6 +30,8 @@ PERMUTATIONS, SHINGLE_WORDS, SEED = 128, 5, 11
 #: Bits of a minimum that a signature keeps; two that differ agree in them once in 2**16.
 KEPT_BITS = 16
 NULL_ID = -(1 << 63)
+#: Bytes of the input's files that a range of ids should have, and the most ranges.
+PART_BYTES, MOST_PARTS = 16 << 20, 1 << 14
 
 
 @lru_cache(maxsize=4)
@@ -69,41 +72,67 @@ def text_of(sig: np.ndarray) -> str:
 
 
 # ------------------------------------------------------------------ documents beside their next one
+def _longs(values: list) -> Column:
+    """A constant array of longs: one literal in the plan, however many they are."""
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast("array<bigint>")
+
+
 def _above(cuts: list[int], key: Column) -> Column:
-    """How many of the ascending ``cuts`` lie above the key: counted in a coarse list, then in one stretch of the fine one."""
+    """How many of the descending ``cuts`` lie above the key: counted in a coarse list, then in one stretch of the fine one."""
     if not cuts:
         return F.lit(0)
-    cuts = cuts[::-1]
     step = max(1, int(len(cuts) ** 0.5))
-    every, fine = (F.array(*[F.lit(c) for c in x]).cast("array<bigint>") for x in (cuts[::step], cuts))
-    whole = F.size(F.filter(every, lambda c: c > key))
+    whole = F.size(F.filter(_longs(cuts[::step]), lambda c: c > key))
     start = F.greatest(whole - 1, F.lit(0)) * step
-    return (start + F.size(F.filter(F.slice(fine, start + 1, F.lit(step)), lambda c: c > key))).cast("int")
+    return (start + F.size(F.filter(F.slice(_longs(cuts), start + 1, F.lit(step)), lambda c: c > key))).cast("int")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
     """Documents dealt by ranges of descending id, each range followed by the document after it.
 
     Rows have __part, __extra, doc_id, text, sorted. One shuffle moves each text once; the documents
-    at range borders (one a range) go to two. Only the borders, one id a range, reach the driver.
+    at range borders (one a range) go to two. Rows of one id are ordered by a hash of the text, and
+    where an id has more rows than a range should hold, ranges of the hash divide them. There are as
+    many ranges as shuffle partitions, or as the input has PART_BYTES, MOST_PARTS at most; only
+    their borders reach the driver.
     """
     spark = docs.sparkSession
-    keys = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__key"))
-    parts = max(1, shuffle_partitions(spark), docs.rdd.getNumPartitions())
-    cuts = sorted({int(x) for x in keys.approxQuantile("__key", [i / parts for i in range(1, parts)], 1e-3 / 4)}) if parts > 1 else []
-    by_key = _above(cuts, F.col("__key"))
-    heads = {r["__part"]: r["__head"] for r in keys.select("__key", by_key.alias("__part")).groupBy("__part").agg(F.max("__key").alias("__head")).collect()}
-    # The greatest id of a part follows the last document of the part before it that has any; of the first part, of the last.
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    keys = docs.select(key.alias("__key"))
+    parts = min(MOST_PARTS, max(1, shuffle_partitions(spark), input_bytes(docs) // PART_BYTES))
+    quantiles = [int(x) for x in keys.approxQuantile("__key", [i / parts for i in range(1, parts)], 1e-3 / 4)] if parts > 1 else []
+    # A cut is the last id of its range. What several quantiles hit is divided by the hash, in ranges behind that one.
+    times = Counter(quantiles)
+    cuts = sorted(times, reverse=True)
+    extra = [times[c] - 1 for c in cuts] + [0]
+    first = [sum(1 + e for e in extra[:i]) for i in range(len(extra))]
+
+    def place(key: Column, h: Column) -> Column:
+        at = _above(cuts, key)
+        more = F.get(_longs(extra), at)
+        within = F.floor((F.shiftrightunsigned(h, 33).cast("double") / (1 << 31)) * more).cast("long") + 1
+        on_cut = F.get(_longs([*cuts, None]), at).eqNullSafe(key) & (more > 0)
+        return (F.get(_longs(first), at) + F.when(on_cut, within).otherwise(F.lit(0).cast("long"))).cast("int")
+
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("__key"))
+    if any(extra):  # texts are hashed only where ids alone don't divide the rows
+        base = base.withColumn("__h", F.xxhash64("text"))
+    else:
+        base = base.withColumn("__h", F.lit(0).cast("long"))
+    # Unsigned order of the hash, as a signed number.
+    base = base.withColumn("__h", F.col("__h").bitwiseXOR(F.lit(NULL_ID))).withColumn("__own", place(F.col("__key"), F.col("__h").bitwiseXOR(F.lit(NULL_ID))))
+    heads = {r["__own"]: r["h"] for r in base.groupBy("__own").agg(F.max(F.struct("__key", F.bitwise_not("__h").alias("__i"))).alias("h")).collect()}
+    # The first document of a range follows the last one of the range before it that has any; of the first range, of the last.
     full = sorted(heads)
     before = {p: full[i - 1] for i, p in enumerate(full)}
-    head_of = F.array(*[F.lit(heads.get(p)) for p in range(len(cuts) + 1)]).cast("array<bigint>")
-    also_to = F.array(*[F.lit(before.get(p)) for p in range(len(cuts) + 1)]).cast("array<int>")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__key")).withColumn("__own", by_key)
+    count = len(cuts) + 1 + sum(extra)
+    head_of, hash_of, also_to = (_longs([f(p) for p in range(count)]) for f in (lambda p: heads[p]["__key"] if p in heads else None, lambda p: ~heads[p]["__i"] if p in heads else None, before.get))
     own = F.struct(F.col("__own").alias("part"), F.lit(False).alias("extra"))
-    copy = F.struct(F.get(also_to, F.col("__own")).alias("part"), F.lit(True).alias("extra"))
-    copies = F.when(F.get(head_of, F.col("__own")) == F.col("__key"), F.array(own, copy)).otherwise(F.array(own))
-    dealt = base.withColumn("__to", F.explode(copies)).select("doc_id", "text", "__key", F.col("__to.part").alias("__part"), F.col("__to.extra").alias("__extra"))
-    ordered = dealt.repartitionById(len(cuts) + 1, F.col("__part")).sortWithinPartitions("__part", "__extra", F.desc("__key"), "text")
+    copy = F.struct(F.get(also_to, F.col("__own")).cast("int").alias("part"), F.lit(True).alias("extra"))
+    leads = (F.get(head_of, F.col("__own")) == F.col("__key")) & (F.get(hash_of, F.col("__own")) == F.col("__h"))
+    copies = F.when(leads, F.array(own, copy)).otherwise(F.array(own))
+    dealt = base.withColumn("__to", F.explode(copies)).select("doc_id", "text", "__key", "__h", F.col("__to.part").alias("__part"), F.col("__to.extra").alias("__extra"))
+    ordered = dealt.repartitionById(count, F.col("__part")).sortWithinPartitions("__part", "__extra", F.desc("__key"), "__h", "text")
     return ordered, "__part", "__extra"
 
 
@@ -114,7 +143,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The fingerprint of each text and of its edited text, and how alike they are.
 
     The edited text: the last floor(n/2) code points are replaced by the first as many (or all) of
-    the next document, by descending id (nulls last, ties by text); after the last comes the first. A
+    the next document, by descending id (nulls last; ties by text, those of very frequent ids by its hash first); after the last comes the first. A
     null text is an empty one. Rows that repeat an id and a text are documents of their own, next to
     each other; of ties at a border the first counts. A text of fewer than k words is one shingle; one
     without words has a constant fingerprint, like only to others without words. An empty table gives

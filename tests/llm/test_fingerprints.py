@@ -77,3 +77,28 @@ def test_near_duplicate_classes_of_the_table(spark):
 def test_near_duplicates_of_odd_rows(odd, none):
     assert minhash.near_duplicates(odd).count() == len(ODD)
     assert minhash.near_duplicates(none).count() == 0
+
+
+def test_a_frequent_id_is_divided(spark, monkeypatch):
+    """A quarter of the rows has one id, another none: ranges of a hash divide them, and each still meets its next one."""
+    monkeypatch.setattr(minhash, "shuffle_partitions", lambda spark: 16)
+    rows = [(i, f"text {i} of some") for i in range(300)] + [(70, f"copy {i} under one id") for i in range(150)] + [(None, f"none {i}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ordered, _, _ = minhash.with_next(docs, "doc_id", "text")
+    ordered = ordered.collect()
+    parts: dict = {}
+    for r in ordered:
+        parts.setdefault(r["__part"], []).append(r)
+    own = [r for p in sorted(parts) for r in parts[p] if not r["__extra"]]
+    assert sorted(((r.doc_id, r.text) for r in own), key=repr) == sorted(rows, key=repr)
+    key = lambda r: minhash.NULL_ID if r.doc_id is None else r.doc_id
+    assert [key(r) for r in own] == sorted((key(r) for r in own), reverse=True)
+    assert sum(any(r.doc_id == 70 for r in p) for p in parts.values()) > 1
+    nexts = {(r.doc_id, r.text): (z.doc_id, z.text) for r, z in zip(own, [*own[1:], own[0]], strict=True)}
+    for p in parts.values():
+        for a, z in zip(p, p[1:], strict=False):
+            assert nexts[(a.doc_id, a.text)] == (z.doc_id, z.text)
+    got = minhash.fingerprints(docs).collect()
+    assert len(got) == len(rows)
+    want = sorted(hashlib.sha256(e.encode()).hexdigest() for e in _edited([r.text for r in own]))
+    assert sorted(r.edited_sha256 for r in got) == want
