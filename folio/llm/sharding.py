@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import written
 
 #: Rows that a bucket of an order should hold, and the most buckets (a power of two) of one order.
-BUCKET_ROWS, MOST_BUCKET_BITS = 4096, 16
+BUCKET_ROWS, MOST_BUCKET_BITS = 512, 24
 
 
 def _bits(rows: int) -> int:
@@ -42,6 +42,10 @@ def _ranked(df: DataFrame, group: list[str], bucket: str, order: list[str | Colu
 def interleave(docs: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard, source.
 
+    Shards hold single rows, so equal texts may lie in several: a group of copies may have a third of
+    all rows, and whole in one shard it would break both the law and the mixture. ``text_crc32`` with
+    ``size`` names the group of equal texts.
+
     size is the UTF-8 bytes of the text plus 16; law is ``rows``: shard counts differ by one at most.
     A null text counts as no bytes (crc 0), a null source is a source of its own, a null id sorts
     first. Rows that agree in id, source, size and checksum are interchangeable; each has its own

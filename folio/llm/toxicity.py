@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A document's features are its distinct words, pairs of neighbours and pairs one word apart, hashed to
-2**FEATURE_BITS. FTRL-proximal keeps a learning rate for each coordinate and, by its L1 term, weights
+A document's features are its distinct words, pairs of neighbours and pairs one word apart, and the
+beginnings of longer words, hashed to 2**FEATURE_BITS. FTRL-proximal keeps a learning rate for each coordinate and, by its L1 term, weights
 that are mostly zero: what is broadcast for scoring is the few that aren't.
 """
 
@@ -18,8 +18,10 @@ from folio.llm.common import id_fold, small_batches, written
 from folio.llm.hashing import NON_WORD, U64, mix, text_bytes, word_hashes, words
 
 FEATURE_BITS = 20
-#: Labelled documents that the model is fitted on, at most (drawn by a hash of the id).
-SAMPLE_DOCS = 12_000
+#: Bytes of a word's beginning that are a feature as well, so that unseen forms of a word count, and the salt of its hash.
+STEMS = {5: 0x51ED270B7F4A7C15, 7: 0x2545F4914F6CDD1D}
+#: Labelled documents that the model is fitted on, at most (drawn by a hash of the id), and bytes of their features.
+SAMPLE_DOCS, SAMPLE_BYTES = 12_000, 96 << 20
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 20.0, 1.0
 #: How much more than others a toxic document counts: they are few.
 TOXIC_WEIGHT = 3.0
@@ -30,13 +32,18 @@ def features(column: pa.Array) -> list[np.ndarray]:
     buf, offs = text_bytes(column)
     starts, ends, rows = words(buf, offs, NON_WORD)
     hashes = word_hashes(buf, starts, ends)
+    stems = []
+    for n, salt in STEMS.items():
+        long = ends - starts > n
+        before = np.concatenate([[0], np.cumsum(long)])[rows]
+        stems.append((mix(word_hashes(buf, starts[long], starts[long] + n) ^ U64(salt)), before))
     shift = U64(64 - FEATURE_BITS)
     out = []
-    for a, z in zip(rows[:-1], rows[1:], strict=True):
+    for r, (a, z) in enumerate(zip(rows[:-1], rows[1:], strict=True)):
         h = hashes[a:z]
         pair = mix(h[:-1] * U64(3) + h[1:] * U64(0x9E3779B97F4A7C15))
         skip = mix(h[:-2] * U64(5) + h[2:] * U64(0xC2B2AE3D27D4EB4F))
-        out.append(np.unique(np.concatenate([h, pair, skip]) >> shift).astype(np.int32))
+        out.append(np.unique(np.concatenate([h, pair, skip, *(x[at[r] : at[r + 1]] for x, at in stems)]) >> shift).astype(np.int32))
     return out
 
 
@@ -89,7 +96,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([f.astype("<i4").tobytes() for f in features(b.column("text"))], pa.binary())], ["doc_id", "y", "f"])
 
     joined = base.join(F.broadcast(drawn), "doc_id").select("doc_id", F.col("y").cast("double").alias("y"), "text")  # at most SAMPLE_DOCS ids
-    sample = written(joined.mapInArrow(extract, "doc_id long, y double, f binary"), "toxicity-sample").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = written(joined.mapInArrow(extract, "doc_id long, y double, f binary"), "toxicity-sample").withColumn("h", F.xxhash64("doc_id"))
+    # In the order of the hash, as many as SAMPLE_BYTES hold: long texts make the sample smaller, not the driver larger.
+    sizes = sorted((r["h"], r["n"]) for r in sample.select("h", F.octet_length("f").alias("n")).collect())
+    kept = int(np.searchsorted(np.cumsum([n for _, n in sizes]), SAMPLE_BYTES, side="right"))
+    if kept < len(sizes):
+        sample = sample.where(F.col("h") < sizes[kept][0])
+    sample = sample.orderBy("h", "doc_id")
     rows, y = [], []
     for r in sample.toLocalIterator():
         rows.append(np.frombuffer(r["f"], "<i4"))

@@ -20,13 +20,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import scratch, small_batches, written
 
 #: Bytes of an archive before compression that a file should hold.
 FILE_BYTES = 32 << 20
+#: Bytes that a reader inflates at a time.
+PIECE = 1 << 20
 #: Bytes of the table of repeated payloads up to which it is broadcast (about 100 bytes a row).
 BROADCAST_BYTES = 8 << 20
 #: Keys that a response's row is copied to for the join with its revisits.
@@ -60,11 +62,13 @@ def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     first = F.struct("page_id").eqNullSafe(F.col("__first")) & F.struct("url").eqNullSafe(F.col("__first_url"))
     joined = joined.withColumn("__leads", F.col("__n").isNull() | F.coalesce(first, F.lit(False)))
     if n:
-        # Rows repeated with id, url and payload can't be told apart by value; one of them leads.
-        twice = joined.where(F.col("__n").isNotNull() & F.col("__leads")).groupBy("__sha1").agg(F.count("*").alias("__m")).where("__m > 1")
+        # Rows repeated with id, url and payload can't be told apart by value: they get numbers, and the least leads.
+        leaders = F.col("__n").isNotNull() & F.col("__leads")
+        twice = joined.where(leaders).groupBy("__sha1").agg(F.count("*").alias("__m")).where("__m > 1")
         if twice.limit(1).count():
-            tied = Window.partitionBy("__sha1", "__leads").orderBy("page_id")
-            joined = joined.withColumn("__leads", F.col("__n").isNull() | (F.col("__leads") & (F.row_number().over(tied) == 1)))
+            joined = written(joined.withColumn("__row", F.monotonically_increasing_id()), "tied-pages")
+            least = joined.where(leaders).groupBy("__sha1").agg(F.min("__row").alias("__row")).select("__row", F.lit(True).alias("__first_row"))
+            joined = joined.join(least, "__row", "left").withColumn("__leads", F.col("__n").isNull() | F.coalesce("__first_row", F.lit(False))).drop("__row", "__first_row")
     return joined.withColumn("__revisit", ~F.col("__leads")).drop("__n", "__first_url", "__leads")
 
 
@@ -121,6 +125,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     small_batches(pages.sparkSession, 200)
     large = source.agg(F.max(F.octet_length("__html")).cast("long")).first()[0] or 0
     bounds = [1 << 16, 1 << 20, 1 << 24, large + 1]
+    if large >= bounds[0]:
+        decided = written(decided.select("page_id", "url", "__html", "__revisit", "__sha1", "__bytes"), "decided")
     low = 0
     for high in bounds:
         if low > large:
@@ -138,29 +144,60 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 # ------------------------------------------------------------------ reading
+def plain_pieces(data: bytes) -> Iterator[bytes]:
+    """A file's bytes in pieces, inflated if it is gzipped; a broken member ends it."""
+    if data[:2] != b"\x1f\x8b":
+        for i in range(0, len(data), PIECE):
+            yield data[i : i + PIECE]
+        return
+    at, one, rest = 0, zlib.decompressobj(31), b""
+    while rest or at < len(data):
+        if not rest:
+            rest, at = data[at : at + PIECE], at + PIECE
+        try:
+            piece = one.decompress(rest, PIECE)
+        except zlib.error:
+            return
+        if piece:
+            yield piece
+        rest = one.unconsumed_tail
+        if one.eof:
+            rest, one = one.unused_data, zlib.decompressobj(31)
+    if tail := one.flush():
+        yield tail
+
+
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record; repeated headers are joined by newlines.
 
-    Reads plain archives and gzipped ones of one or many members. What isn't a record is skipped up
-    to the next version line; a record that the file's end cuts short is left out.
+    Reads plain archives and gzipped ones of one or many members, piece by piece: besides the file as
+    it is, no more than a record and a piece are held. What isn't a record is skipped up to the next
+    version line; a record that the file's end cuts short is left out.
     """
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            one = zlib.decompressobj(31)
-            try:
-                parts.append(one.decompress(data))
-            except zlib.error:
-                break
-            data = one.unused_data
-        data = b"".join(parts)
+    pieces = plain_pieces(data)
+    held = bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
+    while True:
+        while (start := held.find(b"WARC/", at)) < 0:
+            del held[: max(0, len(held) - 4)]
+            at = 0
+            if not more():
+                return
+        end = -1
+        seen = start
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(start, len(held) - 3)
+            if not more():
+                return
         headers: dict[str, str] = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in held[start:end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, colon, value = line.partition(":")
             if colon:
                 name, value = name.strip().lower(), value.strip()
@@ -169,10 +206,14 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at = end
             continue
         size = int(headers["content-length"])
-        if end + 4 + size > len(data):
-            return
-        yield headers, data[end + 4 : end + 4 + size]
+        while end + 4 + size > len(held):
+            if not more():
+                return
+        yield headers, bytes(held[end + 4 : end + 4 + size])
         at = end + 4 + size
+        if at > PIECE:
+            del held[:at]
+            at = 0
 
 
 def read_records(spark: SparkSession, path: str, keep_blocks: bool = True) -> DataFrame:
@@ -200,7 +241,7 @@ def read_records(spark: SparkSession, path: str, keep_blocks: bool = True) -> Da
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
     return files.mapInArrow(parse, RECORD_SCHEMA)
 
 
@@ -218,9 +259,10 @@ def assemble(records: DataFrame) -> DataFrame:
     forward = names.join(ids, F.col("b") == F.col("anchor_id"), "left_semi").select(F.col("a").alias("record_id"), F.col("b").alias("anchor_id"))
     back = anchors.where(F.size("concurrent_to") > 0).select(F.col("record_id").alias("anchor_id"), F.explode("concurrent_to").alias("record_id")).select("record_id", "anchor_id")
     near = forward.unionByName(back)
-    # Two steps: by way of a record that is one step from the anchor.
-    loose = others.where(F.size("concurrent_to") > 0).select(F.col("record_id").alias("r"), F.explode("concurrent_to").alias("via"))
-    far = loose.join(near, F.col("via") == F.col("record_id")).select(F.col("r").alias("record_id"), "anchor_id")
+    # Two steps: by way of a record that is one step from the anchor, whichever of the two names the other.
+    named = others.where(F.size("concurrent_to") > 0).select("record_id", F.explode("concurrent_to").alias("other")).join(ids, F.col("other") == F.col("anchor_id"), "left_anti")
+    pairs = F.explode(F.array(F.struct(F.col("record_id").alias("r"), F.col("other").alias("via")), F.struct(F.col("other").alias("r"), F.col("record_id").alias("via")))).alias("p")
+    far = named.select(pairs).select("p.r", "p.via").join(near, F.col("via") == F.col("record_id")).select(F.col("r").alias("record_id"), "anchor_id")
     links = near.unionByName(far).distinct()
     nested = F.struct("record_id", "record_type", "target_uri", "block")
     satellites = (
@@ -250,7 +292,13 @@ def page_captures(captures: DataFrame) -> DataFrame:
 
 
 def warc_roundtrip(pages: DataFrame, min_bytes: int = 0, **columns: str) -> DataFrame:
-    """Write ``pages`` as archives in the shared folder, read them back and assemble the captures."""
+    """Write ``pages`` as archives in the shared folder, read them back and assemble the captures.
+
+    One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to. A null payload
+    is an empty one; a null id stays null and comes first among equal payloads; rows repeated as a whole
+    are pages of their own, one of them the response. An empty table gives an empty result; other
+    columns are not read.
+    """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_archives(pages, path, min_bytes=min_bytes, **columns)

@@ -66,3 +66,40 @@ def test_assembly_in_any_direction(spark):
     full = [(i, k, to, None, None, None, None, {}, None) for i, k, to in rows]
     got = {r.record_id: ([x.record_id for x in r.requests or []], [x.record_id for x in r.metadata or []]) for r in warc.assemble(spark.createDataFrame(full, warc.RECORD_SCHEMA)).collect()}
     assert got == {"r1": (["q1"], ["m1"]), "r2": (["q2"], ["m2"]), "r3": ([], [])}
+
+
+def test_archives_are_read_in_pieces(monkeypatch):
+    """Members, records and headers across pieces of any size, packed or plain."""
+    def record(rid, block):
+        return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: {rid}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    blocks = [b"", b"WARC/1.1\r\n\r\n" * 5, b"x" * 5000, bytes(range(256)) * 20, b"\r\n\r\n"]
+    parts = [record(i, b) for i, b in enumerate(blocks)]
+    for piece in (1, 7, 1000, 1 << 20):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        for data in (b"junk" + b"".join(parts), gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts))):
+            assert [b for _, b in warc.parse_archive(data)] == blocks, piece
+    assert [b for _, b in warc.parse_archive(gzip.compress(b"".join(parts))[:-30])][:2] == blocks[:2]
+
+
+def test_plain_archives_are_found(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r>\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+    (tmp_path / "a.warc").write_bytes(head + block + b"\r\n\r\n")
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(head.replace(b"<r>", b"<s>") + block + b"\r\n\r\n"))
+    (tmp_path / "c.txt").write_bytes(b"no archive")
+    got = {r.record_id: (r.payload_bytes, r.payload_digest) for r in warc.read_records(spark, str(tmp_path)).collect()}
+    assert got == {"<r>": (5, _digest("hello")), "<s>": (5, _digest("hello"))}
+
+
+def test_a_record_that_names_nobody_is_reached_through_one_that_names_both(spark):
+    rows = [("r1", "response", []), ("q1", "request", []), ("m1", "metadata", ["r1", "q1"])]
+    full = [(i, k, to, None, None, None, None, {}, None) for i, k, to in rows]
+    (got,) = warc.assemble(spark.createDataFrame(full, warc.RECORD_SCHEMA)).collect()
+    assert [x.record_id for x in got.requests] == ["q1"] and [x.record_id for x in got.metadata] == ["m1"]
+
+
+def test_a_long_page_and_repeated_rows(spark):
+    rows = [(1, "http://a", "z" * 8_000_000)] * 2 + [(2, "http://b", "s")] * 3
+    got = warc.warc_roundtrip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == [(1, 8_000_000, "response", 0), (1, 8_000_000, "revisit", 1), (2, 1, "response", 0), (2, 1, "revisit", 2), (2, 1, "revisit", 2)]
