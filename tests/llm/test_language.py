@@ -77,3 +77,58 @@ def test_long_texts_of_no_learned_language_are_rejected_and_short_clean_ones_sta
     got = language.identify(docs.union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).where("doc_id >= 1000000").collect()
     assert [r.doc_id for r in got if r.doc_id < 2 * 10**6 and not r.rejected] == []
     assert sum(r.rejected for r in got if r.doc_id >= 2 * 10**6) <= 3
+
+
+def _dimensions(text):
+    """Counts of hashed grams, each gram hashed by itself from its bytes."""
+    kept = bytearray()
+    for byte in (text or "").encode():
+        x = byte + 32 if 65 <= byte <= 90 else byte
+        x = x if 97 <= x <= 122 or x >= 128 else 32
+        if not (x == 32 and kept and kept[-1] == 32):
+            kept.append(x)
+    out: dict = {}
+    for n in (2, 3):
+        for i in range(len(kept) - n + 1):
+            b = [*kept[i : i + n], 0]
+            two = (b[0] * 0x9E3779B1 + b[1] * 0x85EBCA77) % 2**32
+            h = ((two ^ (two >> 13)) * 0x165667B1) % 2**32
+            if n == 3:
+                three = ((two ^ (two >> 15)) * 0xC2B2AE3D + b[2] * 0x27D4EB2F) % 2**32
+                h = ((three ^ (three >> 16)) * 0x9E3779B1) % 2**32
+            out[h >> 20] = out.get(h >> 20, 0) + 1
+    return out
+
+
+def test_frequencies_and_predictions_against_brute_force(spark, documents):
+    rows = [r for r in documents.orderBy("doc_id").limit(120).collect()]
+    docs = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id long, text string, lang string")
+    train = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.text and r.lang and any(c.isalpha() for c in r.text)]
+    model = language.fit(spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in train], "doc_id long, text string, lang string"))
+    frequency: dict = {}
+    for r in train:
+        for d in _dimensions(r.text):
+            frequency[d] = frequency.get(d, 0) + 1
+    idf = [np.log((1 + len(train)) / (1 + frequency.get(d, 0))) + 0.1 for d in range(language.DIMENSIONS)]
+    assert np.allclose(model.idf, idf, atol=1e-5)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5)
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    for r in rows:
+        x = {d: np.log1p(c) * idf[d] for d, c in _dimensions(r.text).items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        near = [sum(v * float(c[d]) for d, v in x.items()) / norm for c in model.centroids]
+        best = [max(s for s, o in zip(near, model.owner, strict=True) if o == k) for k in range(len(model.languages))]
+        top = max(best)
+        assert got[r.doc_id].lang_pred == model.languages[best.index(top)]
+        assert abs(got[r.doc_id].score - 1 / sum(np.exp((b - top) / language.TEMPERATURE) for b in best)) < 1e-3
+
+
+def test_clusters_fit_better_than_one_centroid():
+    rng = np.random.default_rng(1)
+    x = np.abs(rng.normal(size=(300, 20))) + np.repeat(np.eye(20)[[0, 5, 9]] * 9, 100, axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    one, three = (language.clusters(x, k, 5) for k in (1, 3))
+    assert (x @ three.T).max(axis=1).mean() > (x @ one.T).max(axis=1).mean() + 0.1

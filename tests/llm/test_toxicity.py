@@ -1,8 +1,11 @@
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from folio.llm import toxicity
+from folio.llm.hashing import word_hashes
 
 from tests.llm.conftest import ODD
 
@@ -18,6 +21,7 @@ def test_held_out_ranking(spark):
     pos, neg = ([s for s, y in held if y == v] for v in (1, 0))
     assert np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg]) > 0.95
     assert sum(s >= 0.5 for s in neg) <= 0.01 * len(neg)
+    assert sum(s >= 0.5 for s in pos) >= 0.9 * len(pos)
 
 
 def test_held_out_labels_change_nothing(spark, documents):
@@ -45,3 +49,66 @@ def test_odd_rows(spark, odd, none):
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in toxicity.score_toxicity(odd, labels.limit(0)).collect()} == {0.0}
     assert toxicity.score_toxicity(none, labels).count() == 0
+
+
+def _mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
+def _hash(word):
+    buf = np.frombuffer(word, np.uint8)
+    return int(word_hashes(buf, np.asarray([0]), np.asarray([len(buf)]))[0])
+
+
+def test_features_against_brute_force():
+    texts = ["You stupid, STUPID clown!", "", None, "one", "réeuxaux! 12 achlichkeiten a-b_c", "x " * 50]
+    for text, got in zip(texts, toxicity.features(pa.array(texts)), strict=True):
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+        h = [_hash(w) for w in words]
+        want = set(h) | {_mix((a * 3 + b * 0x9E3779B97F4A7C15) % 2**64) for a, b in zip(h, h[1:], strict=False)}
+        want |= {_mix((a * 5 + b * 0xC2B2AE3D27D4EB4F) % 2**64) for a, b in zip(h, h[2:], strict=False)}
+        want |= {_mix(_hash(w[:n]) ^ salt) for n, salt in toxicity.STEMS.items() for w in words if len(w) > n}
+        assert got.tolist() == sorted({x >> (64 - toxicity.FEATURE_BITS) for x in want}), text
+
+
+def test_ftrl_against_brute_force():
+    """One number at a time, in dictionaries: the same weights."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 400, 12)).astype(np.int32) for _ in range(150)]
+    y = np.asarray([float(3 in r or 17 in r or rng.random() < 0.1) for r in rows])
+    alpha, beta, l1, l2, heavy = 0.5, 1.0, 0.4, 1.0, 3.0
+    w, bias = toxicity.train_ftrl(rows, y, heavy, 3, alpha, beta, l1, l2, seed=8)
+    z, n = {}, {}
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        if i == "bias":
+            return -zi / ((beta + ni**0.5) / alpha)
+        return 0.0 if abs(zi) <= l1 else -(zi - (1 if zi > 0 else -1) * l1) / ((beta + ni**0.5) / alpha + l2)
+
+    order = np.random.default_rng(8)
+    for _ in range(3):
+        for d in order.permutation(len(rows)):
+            held = {i: weight(i) for i in [*rows[d].tolist(), "bias"]}
+            p = 1 / (1 + np.exp(-sum(held.values())))
+            g = (p - y[d]) * (heavy if y[d] else 1.0)
+            for i, wi in held.items():
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * wi
+                n[i] = n.get(i, 0.0) + g * g
+    assert np.allclose(bias, weight("bias"))
+    assert np.allclose(w[:400], [weight(i) for i in range(400)], atol=1e-5) and not w[400:].any()
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)
+    seen = []
+    train = toxicity.train_ftrl
+    monkeypatch.setattr(toxicity, "train_ftrl", lambda rows, y, **kw: seen.append(sum(r.nbytes for r in rows)) or train(rows, y, **kw))
+    docs = spark.createDataFrame([(i, f"some words {i} " * (i % 7)) for i in range(300)], "doc_id long, text string")
+    got = toxicity.score_toxicity(docs, docs.selectExpr("doc_id", "doc_id % 2 as toxic")).collect()
+    assert len(got) == 300 and 1000 < seen[0] <= 2000
