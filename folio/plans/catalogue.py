@@ -683,7 +683,7 @@ def md_same_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT p_partkey AS id, true AS norm, p_partkey % 3 = 0 AS blank, 'list' AS kind, 'x&lt;' || p_partkey || '&gt;' AS escaped, '/p%20' || p_partkey AS href, '<p>' || p_partkey || '</p>' || chr(10) AS html, 1::BIGINT AS blocks, 'p ' || p_partkey AS label,
-  4 AS cols, ['a', p_partkey::VARCHAR] AS cells FROM part""")
+  4 AS cols, 'a/' || p_partkey AS cells FROM part""")
 def md_sql_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalar and table functions by their SQL names."""
     sql.register(spark)
@@ -692,7 +692,7 @@ def md_sql_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         with b as (select d.doc_id, count(*) as blocks from folio_part, lateral md_blocks(p_partkey, concat('a ', p_partkey), 'gfm') d group by 1)
         select p_partkey as id, md_normalize(concat('a\r\n', p_name)) = concat('a\n', p_name) as norm, md_is_blank(if(p_partkey % 3 = 0, ' ', p_name)) as blank, md_line_kind(concat('- ', p_name)) as kind,
           md_escape_html(concat('x<', p_partkey, '>')) as escaped, md_href(concat('/p ', p_partkey)) as href, md_to_html(cast(p_partkey as string), 'gfm') as html, blocks, md_label_key(concat('P  ', p_partkey)) as label,
-          md_leading_columns(concat('\t', p_name)) as cols, md_split_row(concat('| a | ', p_partkey, ' |')) as cells
+          md_leading_columns(concat('\t', p_name)) as cols, array_join(md_split_row(concat('| a | ', p_partkey, ' |')), '/') as cells
         from folio_part join b on b.doc_id = p_partkey""")
 
 

@@ -14,7 +14,7 @@ MARKUP = st.text(alphabet="ab \n\t*_~`[]()<>!#-+.0123|:\\&;\"'^=@/xw", max_size=
 
 
 @given(MARKUP | st.text(max_size=60))
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=2000, deadline=None)
 def test_any_text_parses_in_both_dialects(text):
     for dialect in ("gfm", "commonmark"):
         doc = parse(text, Options(dialect))
@@ -32,7 +32,7 @@ def test_any_text_parses_in_both_dialects(text):
 
 
 @given(MARKUP)
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=1000, deadline=None)
 def test_quoting_keeps_a_document_in_one_quote(text):
     quoted = "\n".join("> " + line for line in text.split("\n"))
     assert [b.kind for b in parse(quoted, Options("commonmark")).blocks] == ["Blockquote"]
@@ -52,3 +52,28 @@ def test_hostile_inputs_return_in_time(name):
     began = time.monotonic()
     to_html(parse(HOSTILE[name]))
     assert time.monotonic() - began < 20
+
+
+def test_a_document_that_fails_is_an_error_row(spark, monkeypatch):
+    """In the permissive mode; the others are parsed. A parser that fails has to be made up."""
+    from folio.operators import relations as R
+
+    real = R._kernel
+
+    def failing(relation, options, only):
+        rows = real(relation, options, only)
+
+        def rows_of(doc_id, text):
+            if "boom" in text:
+                raise KeyError(text)
+            return rows(doc_id, text)
+
+        return rows_of
+
+    monkeypatch.setattr(R, "_kernel", failing)
+    docs = spark.createDataFrame([(1, "a"), (2, "boom"), (3, None), (4, "# b")], "doc_id long, text string")
+    assert [(r.doc_id, r.error) for r in R.parse_errors(docs).collect()] == [(2, "KeyError: 'boom'")]
+    assert sorted((r.doc_id, r.html) for r in R.render_html(docs, permissive=True).collect()) == [(1, "<p>a</p>\n"), (2, None), (3, None), (4, "<h1>b</h1>\n")]
+    assert sorted(r.doc_id for r in R.parse_blocks(docs, permissive=True).collect()) == [1, 4]
+    with pytest.raises(Exception, match="boom"):
+        R.parse_blocks(docs).collect()

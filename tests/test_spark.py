@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from folio.functions import native, sql
 from folio.kernel import lexer as lx
+from folio.kernel import parse
 from folio.operators import relations as R
 from folio.plans import catalogue
 from folio.sources import files
@@ -154,3 +155,50 @@ def test_words_of_documents_with_markup(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.words for r in catalogue.QUERIES["md_word_count_all"](spark, str(tmp_path)).collect()}
     assert got == {1: 3, 2: 4, 3: 5, 4: 3, 5: 0, 6: 3, 7: 0, 8: 7}
+
+
+def test_every_native_sql_name_gives_what_the_function_gives(spark):
+    sql.register(spark)
+    lines = [*catalogue._LINES, "'quoted' \\ back", "ΣΣ ß x", "`` ` ``", "| a \\| b | c\\\\| d |", "www.x"]
+    spark.createDataFrame([(x,) for x in lines], "x string").createOrReplaceTempView("native_lines")
+    own = {**sql.NATIVE, "md_leading_columns": native.leading_columns, "md_split_row": native.split_row, "md_label_key": native.label_norm}
+    assert set(own) == {*sql.NATIVE, *sql.HIGHER_ORDER}
+    want = spark.table("native_lines").select("x", *(f("x").alias(k) for k, f in own.items())).collect()
+    got = spark.sql(f"select x, {', '.join(f'{k}(x) as {k}' for k in own)} from native_lines").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_walks_and_ancestors_follow_the_tree(spark):
+    text = "> - a\n>   1. b\n>\n>      c\n> - d\n\n# e\n\n| x | y |\n|---|---|\n| 1 | 2 |\n"
+    docs = spark.createDataFrame([(1, text), (2, "f\n\n- g"), (3, "")], "doc_id long, text string")
+    blocks = R.parse_blocks(docs, more=True).cache()
+    want = []
+
+    def visit(doc_id, nodes):
+        for b in nodes:
+            want.append((doc_id, "enter", b.kind))
+            visit(doc_id, b.children)
+            want.append((doc_id, "leave", b.kind))
+
+    for i, t in ((1, text), (2, "f\n\n- g")):
+        visit(i, parse(t).blocks)
+    got = R.walk(blocks).orderBy("doc_id", "step").collect()
+    assert [(r.doc_id, r.event, r.kind) for r in got] == want
+    assert [r.step for r in got if r.doc_id == 1] == list(range(2 * blocks.where("doc_id = 1").count()))
+    plain = blocks.drop("ancestors", "text")
+    assert R.same_structure(R.descendants(blocks).select("doc_id", "node_id", "kind", "below_id", "below_kind"), R.descendants(plain).select("doc_id", "node_id", "kind", "below_id", "below_kind"))
+    assert R.same_structure(R.ancestors(blocks, blocks), R.ancestors(plain, plain))
+    assert sorted((r.doc_id, r.kind, r.text) for r in blocks.where("text is not null").collect()) == [(1, "Heading", "e"), (1, "Paragraph", "a"), (1, "Paragraph", "b"), (1, "Paragraph", "c"), (1, "Paragraph", "d"), *((1, "TableCell", x) for x in "12xy"), (2, "Paragraph", "f"), (2, "Paragraph", "g")]
+
+
+def test_dealing_a_table_runs_nothing(spark):
+    """Of one small file all cores get a part; nothing is run to find that out, above a join neither."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    joined = docs.join(docs.groupBy("doc_id").count().hint("merge"), "doc_id")
+    spark.sparkContext.setJobGroup("spread", "planning only")
+    try:
+        dealt, same = R.spread(docs), R.spread(joined)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("spread")
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and same.columns == joined.columns
