@@ -542,6 +542,14 @@ def md_pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.render_html(_t(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
 
 
+@query("SELECT page_id AS doc_id, string_split(html, chr(10))[1] AS literal, regexp_replace(string_split(html, chr(10))[1], '<(/?(title|textarea|style|xmp|iframe|noembed|noframes|script|plaintext)( |/?>))', '&lt;\\1', 'gi') || chr(10) AS html FROM pages WHERE starts_with(html, '<!DOCTYPE')")
+def md_pages_first_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declaration with which a page begins is an HTML block up to the end of its line; shown, its tags are filtered."""
+    pages = _t(spark, sf_dir, "pages").where("startswith(html, '<!DOCTYPE')").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    first = R.parse_blocks(R.spread(pages), kinds={"HtmlBlock"}).where("node_id = 0")
+    return first.select("doc_id", "literal", F.concat(native.filter_tags("literal"), F.lit("\n")).alias("html"))
+
+
 @query("SELECT conv_id AS doc_id, count(*) FILTER (trim(text) <> '') AS n FROM conversations GROUP BY 1")
 def md_conversation_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text")
