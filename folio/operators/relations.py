@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from folio.kernel.block import Options, parse
 from folio.kernel.flatten import Nodes, block_tuples, definition_rows, inline_rows, text_tuples
 from folio.kernel.html import to_html
-from folio.session import ship
+from folio.session import input_bytes, ship
 
 BLOCKS = (
     "doc_id long, node_id int, parent_id int, ordinal int, depth int, subtree_len int, kind string, level int, list_start long, list_delim string, "
@@ -50,20 +50,18 @@ def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-#: Bytes that a task reads of a small table, when it is dealt to all cores.
+#: Bytes of input a core, below which a table is dealt to all cores.
 SPREAD_BYTES = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table of few bytes, which one task would read, to all cores.
+    """Deal documents of a small input to all cores: one file, or few joined rows, may end up in one task.
 
-    A shuffle of the texts: worth it for one small file, never for a table of many. The plan's own
-    estimate decides, so nothing is run; of joins it is far too large, and they are left as they are
-    (their shuffles have dealt the rows already).
+    A shuffle of the texts, worth it for small inputs only; large ones are in many tasks anyway, and
+    left as they are. The sizes of the tables read decide, by the plan's statistics: nothing is run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if estimate < cores * SPREAD_BYTES else df
+    return df.repartition(cores) if input_bytes(df) < cores * SPREAD_BYTES else df
 
 
 def _kernel(relation: str, options: Options, only: frozenset[str] | None):
