@@ -74,13 +74,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the tables that ``df`` reads, by Spark's statistics; nothing is run. Inputs of unknown size count as none."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    return sum(n for n in sizes if n < 1 << 55)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import input_bytes, shuffle_partitions, small_batches, written
+from folio.llm.common import shuffle_partitions, small_batches, written
 from folio.llm.hashing import U64, shingle_sets, shingles, text_bytes, word_hashes, words
 from folio.llm.jaccard_join import all_links, components
+from folio.session import input_bytes
 
 PERMUTATIONS, SHINGLE_WORDS, SEED = 128, 5, 11
 #: Bits of a minimum that a signature keeps; two that differ agree in them once in 2**16.
