@@ -1,7 +1,10 @@
 import hashlib
 import re
 
+import pyarrow as pa
+
 from folio.llm import minhash
+from folio.llm.hashing import shingle_sets
 
 from tests.llm.conftest import ODD
 
@@ -102,3 +105,28 @@ def test_a_frequent_id_is_divided(spark, monkeypatch):
     assert len(got) == len(rows)
     want = sorted(hashlib.sha256(e.encode()).hexdigest() for e in _edited([r.text for r in own]))
     assert sorted(r.edited_sha256 for r in got) == want
+
+
+def test_fingerprints_against_a_plain_minhash(spark, documents):
+    """Row by row: each function over each shingle, one number at a time, and the share of equal values."""
+    a, b = (x[:, 0].tolist() for x in minhash._functions(minhash.PERMUTATIONS, minhash.SEED))
+    rows = sorted((r for r in documents.select("doc_id", "text").collect() if len(r.text or "") < 1500), key=lambda r: -r.doc_id)[:12]
+    docs = spark.createDataFrame([(r.doc_id, r.text) for r in rows] + [(-5, ""), (-6, None), (-7, "two words")], "doc_id long, text string")
+    texts = [r.text or "" for r in sorted(docs.collect(), key=lambda r: -r.doc_id)]
+
+    def plain(text):
+        (found,) = shingle_sets(pa.array([text]), minhash.SHINGLE_WORDS)
+        return [min((x * int(h) + y) % 2**64 for h in found) >> 48 for x, y in zip(a, b, strict=True)] if len(found) else [2**16 - 1] * len(a)
+
+    def alike(s, t, x, y):
+        if not s.split() or not t.split():
+            return float(not s.split() and not t.split())
+        return sum(u == v for u, v in zip(x, y, strict=True)) / len(x)
+
+    got = [r for r in sorted(minhash.fingerprints(docs).collect(), key=lambda r: -r.doc_id)]
+    own, edited = [plain(t) for t in texts], _edited(texts)
+    for i, r in enumerate(got):
+        changed = plain(edited[i])
+        assert r.fingerprint == "".join(f"{v:04x}" for v in own[i]) and r.edited_fingerprint == "".join(f"{v:04x}" for v in changed)
+        assert abs(r.near_edited - alike(texts[i], edited[i], own[i], changed)) < 1e-12
+        assert abs(r.near_next - alike(texts[i], texts[(i + 1) % len(texts)], own[i], own[(i + 1) % len(texts)])) < 1e-12

@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 from folio.llm import sharding
@@ -50,3 +51,15 @@ def test_odd_rows(odd, none):
     _check(rows, 40)
     assert {r.size for r in rows if r.doc_id in (3, 4)} == {16}
     assert sharding.interleave(none, 40).count() == 0
+
+
+def test_every_column_of_every_row(spark, documents):
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    rows = sharding.interleave(documents, 40).collect()
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    n = len(rows)
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "rows", None)
+    starts = [-(-s * n // 40) for s in range(41)]
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(40) for k in range(starts[s + 1] - starts[s])]
