@@ -36,7 +36,7 @@ from folio.llm.common import small_batches, written
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Documents that the field is fitted on, at most, and neighbouring nodes of one (at a random place in it).
-SAMPLE_DOCS, SAMPLE_NODES = 2000, 400
+SAMPLE_DOCS, SAMPLE_NODES = 1500, 80
 #: Copies of a sampled text that are spelled anew.
 RESPELLINGS = 3
 #: Belief from which a node becomes a span, if a skip edge leads from it to a base span, and if none does.
