@@ -106,8 +106,9 @@ def records_of(page_id: int | None, url: str | None, html: str, revisit: bool, s
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
     """Write ``pages`` as gzipped WARC files below ``path``; a null payload is an empty one.
 
-    Files hold about FILE_BYTES: pages are grouped by the power of two of their size, and each group
-    gets as many rows a file as fit. A page larger than that has a file of its own.
+    Files hold about FILE_BYTES: pages are grouped by their size, and each group gets as many rows a
+    file as fit. A page larger than that has a file of its own. Each of at most four groups reads the
+    pages for itself, so that their text is not written twice.
     """
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("__html"))
 
@@ -125,8 +126,6 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     small_batches(pages.sparkSession, 200)
     large = source.agg(F.max(F.octet_length("__html")).cast("long")).first()[0] or 0
     bounds = [1 << 16, 1 << 20, 1 << 24, large + 1]
-    if large >= bounds[0]:
-        decided = written(decided.select("page_id", "url", "__html", "__revisit", "__sha1", "__bytes"), "decided")
     low = 0
     for high in bounds:
         if low > large:
