@@ -172,7 +172,7 @@ class Document:
     waits in document order until all definitions are known.
     """
 
-    def __init__(self, text: str, options: Options):
+    def __init__(self, text: str, options: Options, inline: frozenset[str] | None = None):
         self.options = options
         self.gfm = options.dialect == "gfm"
         self.text = text
@@ -185,7 +185,10 @@ class Document:
         for d in self.definitions:
             self.refs.links.setdefault(lx.label_key(d.label), d)
         self.inline = Parser(self.refs, options.dialect, options.max_inline_depth)
+        skips = inline is not None and not self.refs.notes
         for block, how, source in self._waiting:
+            if skips and block.kind not in inline:
+                continue
             if how == "lines":
                 block.inline = self.inline.lines(source)
             elif how == "paragraph":
@@ -568,6 +571,10 @@ def _has_pipe(row: str) -> bool:
     return re.search(r"(?<!\\)(?:\\\\)*\|", row) is not None
 
 
-def parse(text: str, options: Options | None = None) -> Document:
-    """Parse a document whose lines end in \\n (see ``functions.native.normalize`` for others)."""
-    return Document(text, options or Options())
+def parse(text: str, options: Options | None = None, inline: frozenset[str] | None = None) -> Document:
+    """Parse a document whose lines end in \\n (see ``functions.native.normalize`` for others).
+
+    ``inline``: kinds of blocks whose inline content is wanted, all by default. Others have None, but in
+    a document with footnotes, whose numbers depend on all text before.
+    """
+    return Document(text, options or Options(), inline)

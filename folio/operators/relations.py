@@ -67,8 +67,11 @@ def spread(df: DataFrame) -> DataFrame:
 def _kernel(relation: str, options: Options, only: frozenset[str] | None):
     """The rows of one document, as tuples in the order of the relation's columns."""
 
+    # Blocks and definitions need no inline content; texts need that of the kinds asked for.
+    inline = frozenset() if relation in ("blocks", "link_defs") else only if relation == "texts" else None
+
     def rows_of(doc_id, text: str) -> list[tuple]:
-        doc = parse(text, options)
+        doc = parse(text, options, inline)
         if relation == "html":
             return [(doc_id, to_html(doc))]
         if relation == "link_defs":

@@ -156,3 +156,11 @@ def test_long_labels_and_titles():
     assert parse(f"[{'a' * 999}]: /x\n").definitions and not parse(f"[{'a' * 1000}]: /x\n").definitions
     assert not parse("[a]: /x 'b\n\nc'\n").definitions
     assert parse("[a]:\n  </x y>\n  'b\n  c'\n").definitions[0].url == "/x y"
+
+
+def test_inline_content_only_where_it_is_wanted():
+    text = "# *a*\n\n- b\n\n| c |\n|---|\n| `d` |\n"
+    full, some = parse(text), parse(text, inline=frozenset({"TableCell"}))
+    assert [{k: v for k, v in r.items()} for _, r in block_rows(full)] == [r for _, r in block_rows(some)]
+    assert {b.kind for b, _ in block_rows(some) if b.inline is not None} == {"TableCell"}
+    assert {b.kind for b, _ in block_rows(parse("x[^1]\n\n[^1]: y", inline=frozenset())) if b.inline is not None} == {"Paragraph"}
