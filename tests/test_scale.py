@@ -65,6 +65,7 @@ def test_items_and_shapes_are_what_grouping_gives(spark):
 PLANS = {
     "md_table_align": (1, 1, 0, 1),
     "md_emphasis": (1, 0, 0, 2),
+    "md_strong": (1, 1, 0, 2),
 }
 
 
