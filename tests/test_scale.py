@@ -72,6 +72,7 @@ PLANS = {
     "md_window_top_rows": (1, 1, 0, 5),
     "md_table_pivot": (1, 0, 0, 5),
     "md_headings": (1, 0, 0, 3),
+    "md_tasks": (1, 1, 0, 3),
 }
 
 
