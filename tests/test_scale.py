@@ -70,6 +70,7 @@ PLANS = {
     "md_near_dup_outline": (1, 1, 0, 2),
     "md_order_reports": (1, 2, 1, 4),
     "md_window_top_rows": (1, 1, 0, 5),
+    "md_task_rate": (1, 2, 1, 3),
     "md_table_pivot": (1, 0, 0, 5),
     "md_headings": (1, 0, 0, 3),
     "md_tasks": (1, 1, 0, 3),
