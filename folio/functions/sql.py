@@ -3,7 +3,8 @@
 ``register(spark)`` makes available the native line functions and escapes (``md_is_blank``,
 ``md_line_kind``, ``md_heading_level``, ... see NATIVE), then ``md_to_html(text, dialect)``, ``md_label_norm``,
 ``md_decode_entities``, ``md_href`` and ``md_link_title`` as Arrow-batched scalars, and ``md_blocks``,
-``md_inlines``, ``md_link_defs`` and ``md_texts`` as table functions, for use with LATERAL.
+``md_inlines``, ``md_link_defs`` and ``md_texts`` as table functions, for use with LATERAL. Their rows are pickled:
+an Arrow batch for each call costs more than it carries.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ SCALARS = (md_to_html, md_label_norm, md_decode_entities, md_href, md_autolink_h
 
 
 def _table_function(relation: str):
-    """A table function whose rows travel as Arrow batches."""
+    """A table function: each call gives the rows of one document."""
 
     class Rows:
         def eval(self, doc_id: int, text: str, dialect: str):
@@ -78,7 +79,7 @@ def _table_function(relation: str):
                 yield from relations._kernel(relation, Options(dialect), None)(doc_id, text)
 
     Rows.__name__ = f"Md{relation.title().replace('_', '')}"
-    return udtf(Rows, returnType=relations.SCHEMAS[relation], useArrow=True)
+    return udtf(Rows, returnType=relations.SCHEMAS[relation], useArrow=False)
 
 
 #: Native line functions by SQL name. Their expressions become the bodies of SQL functions, inlined into the query.

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from folio.functions import sql
 from folio.kernel import block, parse
 from folio.kernel.flatten import Nodes, block_tuples, inline_tuples, item_tuples, shape_of, text_tuples
 from folio.kernel.html import to_html
@@ -83,3 +84,15 @@ def test_nothing_is_parsed_twice_or_joined_to_itself(spark, name):
     above = plan[0]
     columns = plan[1].partition("[")[2].partition("]")[0].count("#") if len(plan) > 1 else 0
     assert (len(plan) - 1, above.count("Exchange"), above.count("Join"), columns) == PLANS[name]
+
+
+def test_table_functions_give_the_relations(spark):
+    """And not by an Arrow batch for each call: a small table's rows are dealt to all cores and pickled."""
+    sql.register(spark)
+    docs = spark.createDataFrame([*enumerate([*TABLES, "- ```x\n  a\n\tb\n  ```\n\n[l]: /u 't'\n\n[l] **b**", None])], "doc_id long, text string")
+    docs.createOrReplaceTempView("scale_docs")
+    for name, parsed in (("blocks", R.parse_blocks(docs)), ("inlines", R.parse_inlines(docs)), ("link_defs", R.parse_link_defs(docs)), ("texts", R.parse_texts(docs))):
+        got = spark.sql(f"select f.* from scale_docs d, lateral md_{name}(d.doc_id, d.text, 'gfm') f")
+        assert R.same_structure(got, parsed) and got.schema == parsed.schema
+    plan = catalogue.QUERIES["md_sql_names"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPythonUDTF" not in plan and "RoundRobinPartitioning" in plan.partition("PythonUDTF")[2]
