@@ -116,3 +116,9 @@ def test_table_functions_give_the_relations(spark):
         assert R.same_structure(got, parsed) and got.schema == parsed.schema
     plan = catalogue.QUERIES["md_sql_names"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPythonUDTF" not in plan and "RoundRobinPartitioning" in plan.partition("PythonUDTF")[2]
+
+
+@pytest.mark.parametrize("text", TABLES[:3])
+def test_rendering_makes_no_blocks_of_a_table(text):
+    doc = parse(text)
+    assert to_html(doc) == to_html(_made(text)) and all(b.made is None for b in doc.blocks if b.kind == "Table")
