@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import sql
 from folio.kernel import block, inline, parse
-from folio.kernel.flatten import Nodes, block_tuples, inline_tuples, item_tuples, shape_of, text_tuples
+from folio.kernel.flatten import Nodes, block_rows, block_tuples, inline_tuples, item_tuples, shape_of, text_tuples
 from folio.kernel.html import to_html
 from folio.operators import relations as R
 from folio.plans import catalogue
@@ -122,3 +122,52 @@ def test_table_functions_give_the_relations(spark):
 def test_rendering_makes_no_blocks_of_a_table(text):
     doc = parse(text)
     assert to_html(doc) == to_html(_made(text)) and all(b.made is None for b in doc.blocks if b.kind == "Table")
+
+
+LISTS = [*ITEMS, "- a\n- b\n- c", "- [x] a\n- [ ] b\n- c\n\nd", "- a\n- b\n+ c\n- d\n1. e", "- a\n- b\nlazy\n- c", "- a\n- b\n  - [x] c\n- d", "- a\n- b\n\n- c\n- d\n# e\n- f", "x[^a]\n- *a*[^a]\n- b[^b]\n\n[^b]: c\n[^a]: d", "> - a\n> - [x] b\n\n- c\n- d\n\n  > - [ ] e"]
+
+
+@pytest.mark.parametrize("text", LISTS)
+@pytest.mark.parametrize("dialect", ["gfm", "commonmark"])
+def test_lists_that_are_not_made_give_what_their_blocks_give(text, dialect, monkeypatch):
+    options = block.Options(dialect)
+    none = frozenset()
+    doc, made = parse(text, options, none), parse(text, options, none)
+    block_rows(made)  # makes them
+    for only in (None, frozenset({"ListItem"}), frozenset({"Paragraph"}), frozenset({"TableRow"})):
+        for rows in (block_tuples, lambda n, o: block_tuples(n, o, True), text_tuples, item_tuples):
+            assert rows(Nodes(doc), only) == rows(Nodes(made), only)
+    assert shape_of(Nodes(doc)) == shape_of(Nodes(made))
+    html = to_html(parse(text, options))
+    marked = inline_tuples(Nodes(parse(text, options, None, R._DELIMITER)), None, frozenset({"Italic"}), R._DELIMITER)
+    monkeypatch.setattr(block, "_PLAIN_ITEM", block.re.compile(r"(?!)"))
+    stacked = parse(text, options, none)
+    assert block_tuples(Nodes(doc)) == block_tuples(Nodes(stacked)) and html == to_html(parse(text, options))
+    assert marked == inline_tuples(Nodes(parse(text, options, None, R._DELIMITER)), None, frozenset({"Italic"}), R._DELIMITER)
+
+
+def test_items_are_made_only_where_they_are_asked_for():
+    lists = [b for b in parse("- a\n- [x] b\n- c\n", inline=frozenset({"TableCell"})).blocks if b.kind == "UnorderedList"]
+    assert [(b.made, b.tasks, b.sources, b.rest) for b in lists] == [(None, [None, "checked", None], ["a", "b", "c"], [])]
+
+
+@pytest.mark.parametrize("text", [*TABLES, "# a | b\n| - | - |\nc", "p\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |\n| 4 | 5 | 6 |", "| a |\n| b |", "p\n# h\nq\n## \n#x\n#", "|\n|-|", "- a\n# h\n| a |\n|---|", "| a |\n|---|\n| b  |\n|  c |", "| a |\n|---|\n| \u00e9 |\n| x_y |"])
+@pytest.mark.parametrize("dialect", ["gfm", "commonmark"])
+def test_headings_and_tables_at_the_margin_are_read_as_the_stack_reads_them(text, dialect, monkeypatch):
+    options = block.Options(dialect)
+    tidy = [r[-2] for r in item_tuples(Nodes(parse(text, options)))]
+    got = to_html(parse(text, options)), block_tuples(Nodes(parse(text, options)))
+    monkeypatch.setattr(block, "_TIDY", block.re.compile(r"(?!)"))
+    assert tidy == [r[-2] for r in item_tuples(Nodes(parse(text, options)))]
+    indented = "\n".join(f" {x}" if x[:1] in ("#", "|") else x for x in text.split("\n"))  # no margin: by the stack
+    assert got == (to_html(parse(indented, options)), block_tuples(Nodes(parse(indented, options))))
+
+
+def test_lines_are_gathered_once_and_in_order(spark):
+    """Dealt by order before they are gathered: no partial lists are sorted and shuffled."""
+    from folio.sources import compose
+
+    lines = compose.order_lines(spark, SF)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan.partition("Exchange")[2] and plan.count("Exchange") == 1
+    assert lines.where(~F.expr("items <=> array_sort(items)")).isEmpty() and lines.agg(F.sum(F.size("items"))).first()[0] == spark.read.parquet(f"{SF}/lineitem.parquet").count()
